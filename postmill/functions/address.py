@@ -33,14 +33,19 @@ def _dotted(c: Column) -> Column:
     return ~(c.startswith(".") | c.endswith(".") | c.contains(".."))
 
 
-def looks_like_address(c: Column) -> Column:
-    """Dot-atom local part at a host name with an alphabetic top label.
+def local_part(c: Column) -> Column:
+    return F.split_part(c, F.lit("@"), F.lit(1))
+
+
+def looks_like_address(c: Column, local: Column = None, domain: Column = None) -> Column:
+    """Dot-atom local part at a host name with an alphabetic top label. c is normalised.
 
     The rule is spelled as single character classes plus substring tests. One nested pattern would accept the same
     addresses, but Java's matcher recurses once per group repetition and can overflow the stack on a long junk cell.
     """
-    local, domain = F.split_part(c, F.lit("@"), F.lit(1)), F.split_part(c, F.lit("@"), F.lit(2))
-    one_at = F.length(c) - F.length(F.replace(c, F.lit("@"), F.lit(""))) == 1
+    local = local_part(c) if local is None else local
+    domain = email_domain(c) if domain is None else domain
+    one_at = F.length(c) == F.length(local) + F.length(domain) + 1
     hyphens = domain.startswith("-") | domain.contains(".-") | domain.contains("-.")
     return (
         one_at
@@ -50,23 +55,24 @@ def looks_like_address(c: Column) -> Column:
     )
 
 
-def syntax_detail(c: Column) -> Column:
+def syntax_detail(c: Column, local: Column = None, domain: Column = None) -> Column:
     """Why a normalised address fails the syntax layer; null when it passes. First failing rule wins."""
-    parts = F.split(c, "@")
-    local, domain = F.split_part(c, F.lit("@"), F.lit(1)), F.split_part(c, F.lit("@"), F.lit(2))
+    local = local_part(c) if local is None else local
+    domain = email_domain(c) if domain is None else domain
     return (
         F.when(c == "", K.DETAIL_EMPTY)
-        .when(~looks_like_address(c), K.DETAIL_SYNTAX)
-        .when(F.size(parts) != 2, K.DETAIL_FORMAT)
+        .when(~looks_like_address(c, local, domain), K.DETAIL_SYNTAX)
+        .when(F.length(c) != F.length(local) + F.length(domain) + 1, K.DETAIL_FORMAT)
         .when(F.length(local) > K.LOCAL_PART_MAX, K.DETAIL_LOCAL)
         .when(F.length(domain) > K.DOMAIN_MAX, K.DETAIL_DOMAIN)
         .when(~domain.contains("."), K.DETAIL_DOT)
     )
 
 
-def raw_syntax_detail(raw: Column, normalized: Column) -> Column:
+def raw_syntax_detail(raw: Column, normalized: Column, local: Column = None, domain: Column = None) -> Column:
     """Syntax detail for a raw cell, where a missing or empty cell has its own text."""
-    return F.when(raw.isNull() | (raw == ""), K.DETAIL_MISSING).otherwise(syntax_detail(normalized))
+    missing = raw.isNull() | (raw == "")
+    return F.when(missing, K.DETAIL_MISSING).otherwise(syntax_detail(normalized, local, domain))
 
 
 def disposable_detail(domain: Column) -> Column:

@@ -51,14 +51,22 @@ def dead_payload(payload: Column, error: Column, at: Column, attempts: Column) -
     return F.to_json(fields)
 
 
-def _given(body: Column, name) -> Column:
-    return F.nullif(field(body, name), F.lit(""))
+def response(body: Column) -> Column:
+    """The response fields that rules look at, parsed once; all null when the body is no JSON object."""
+    return F.from_json(body, model.RESPONSE)
 
 
-def message_id(body: Column) -> Column:
-    """Provider's message id under any of its names, else the response status."""
-    fallback = F.concat(F.lit("status:"), F.coalesce(field(body, "status"), F.lit("undefined")))
-    return F.coalesce(_given(body, "message_id"), _given(body, "messageId"), _given(body, "id"), fallback)
+def _given(answer: Column, name) -> Column:
+    return F.nullif(answer[name], F.lit(""))
+
+
+def _ident(answer):
+    return F.coalesce(_given(answer, "message_id"), _given(answer, "messageId"), _given(answer, "id"))
+
+
+def message_id(answer: Column) -> Column:
+    """Provider's message id under any of its names, else the response status. answer: see `response`."""
+    return F.coalesce(_ident(answer), F.concat(F.lit("status:"), F.coalesce(answer["status"], F.lit("undefined"))))
 
 
 def _as_json(body: Column) -> Column:
@@ -68,23 +76,21 @@ def _as_json(body: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), body).otherwise(quoted)
 
 
-def error_text(body: Column, transport: Column) -> Column:
+def error_text(answer: Column, body: Column, transport: Column) -> Column:
     """Body message, body error, whole body, else the transport message."""
     whole = F.when(body != "", _as_json(body))
-    return F.coalesce(_given(body, "message"), _given(body, "error"), whole, transport)
+    return F.coalesce(_given(answer, "message"), _given(answer, "error"), whole, transport)
 
 
-def safe_response(body: Column) -> Column:
+def safe_response(answer: Column) -> Column:
     """The only response fields a report may show."""
-    ident = F.coalesce(_given(body, "message_id"), _given(body, "messageId"), _given(body, "id"))
-    return F.struct(
-        ident.alias("messageId"), field(body, "status").alias("status"), field(body, "timestamp").alias("timestamp")
-    )
+    return F.struct(_ident(answer).alias("messageId"), answer["status"].alias("status"),
+                    answer["timestamp"].alias("timestamp"))
 
 
-def safe_error(http_status: Column, status_text: Column, body: Column) -> Column:
+def safe_error(http_status: Column, status_text: Column, answer: Column) -> Column:
     return F.struct(
         http_status.alias("status"),
         status_text.alias("statusText"),
-        F.coalesce(_given(body, "error"), F.lit("Unknown error")).alias("error"),
+        F.coalesce(_given(answer, "error"), F.lit("Unknown error")).alias("error"),
     )

@@ -11,37 +11,46 @@ def _listed(status: Column, table, rest) -> Column:
     return F.coalesce(F.try_element_at(lookup, status), F.concat(status.cast("string"), F.lit(rest)))
 
 
-def classify_error(status: Column, error: Column) -> Column:
-    """struct<retryable, category, reason> of a failed send; status null or 0 means that no answer came."""
-    text = F.coalesce(error, F.lit(""))
-    no_answer = status.isNull() | (status == 0)
-    network = text.rlike("|".join(K.NETWORK_WORDS))
-    client, server = status.between(400, 499), status.between(500, 599)
-    done = status.between(200, 299)
-
-    category = (
-        F.when(no_answer & network, "network")
-        .when(no_answer & text.contains(K.TIMEOUT_WORD), "timeout")
-        .when(no_answer, "unknown")
-        .when(status == 408, "timeout")
-        .when(status == 429, "rate_limit")
-        .when(client, "client_error")
-        .when(server, "server_error")
+def error_category(status: Column, error: Column) -> Column:
+    """Category of a failed send; status null or 0 means that no answer came."""
+    no_answer, network, timeout = _no_answer(status, error)
+    return (
+        F.when(no_answer & network, "network").when(no_answer & timeout, "timeout").when(no_answer, "unknown")
+        .when(status == 408, "timeout").when(status == 429, "rate_limit")
+        .when(status.between(400, 499), "client_error").when(status.between(500, 599), "server_error")
         .otherwise("unknown")
     )
-    reason = (
-        F.when(no_answer & network, K.TEXT_NETWORK)
-        .when(no_answer & text.contains(K.TIMEOUT_WORD), K.TEXT_TIMEOUT)
+
+
+def error_reason(status: Column, error: Column) -> Column:
+    no_answer, network, timeout = _no_answer(status, error)
+    code = status.cast("string")
+    return (
+        F.when(no_answer & network, K.TEXT_NETWORK).when(no_answer & timeout, K.TEXT_TIMEOUT)
         .when(no_answer, K.TEXT_UNKNOWN)
-        .when(client, _listed(status, K.CLIENT_ERROR_TEXT, " Client Error - permanent failure"))
-        .when(server, _listed(status, K.SERVER_ERROR_TEXT, " Server Error - temporary failure"))
-        .when(done, F.concat(status.cast("string"), F.lit(" Success - not an error")))
-        .otherwise(F.concat(status.cast("string"), F.lit(" Unknown status - will retry")))
+        .when(status.between(400, 499), _listed(status, K.CLIENT_ERROR_TEXT, " Client Error - permanent failure"))
+        .when(status.between(500, 599), _listed(status, K.SERVER_ERROR_TEXT, " Server Error - temporary failure"))
+        .when(status.between(200, 299), F.concat(code, F.lit(" Success - not an error")))
+        .otherwise(F.concat(code, F.lit(" Unknown status - will retry")))
     )
-    permanent = ~no_answer & (done | (client & ~status.isin(408, 429)))
+
+
+def is_retryable(status: Column) -> Column:
+    """Client errors other than 408 and 429 are permanent; so is a success that was taken for an error."""
+    permanent = status.between(200, 299) | (status.between(400, 499) & ~status.isin(408, 429))
+    return ~F.coalesce(permanent, F.lit(False))
+
+
+def _no_answer(status, error):
+    text = F.coalesce(error, F.lit(""))
+    return status.isNull() | (status == 0), text.rlike("|".join(K.NETWORK_WORDS)), text.contains(K.TIMEOUT_WORD)
+
+
+def classify_error(status: Column, error: Column) -> Column:
+    """struct<retryable, category, reason> of a failed send."""
     return F.struct(
-        (~F.coalesce(permanent, F.lit(False))).alias("retryable"), category.alias("category"), reason.alias("reason")
-    )
+        is_retryable(status).alias("retryable"), error_category(status, error).alias("category"),
+        error_reason(status, error).alias("reason"))
 
 
 def backoff_ms(attempt: Column, base=K.BACKOFF_BASE_MS, cap=K.BACKOFF_CAP_MS) -> Column:
@@ -61,22 +70,23 @@ def jittered_backoff_ms(
     return F.greatest(F.floor(delay + spread + F.lit(0.5)), F.lit(0)).cast("bigint")
 
 
-def retry_decision(attempt: Column, status: Column, error: Column, max_attempts=K.ENTRY_MAX_ATTEMPTS, delay=None):
-    """struct<should_retry, reason, delay_ms, move_to_dlq> for one failed attempt (counted from 1)."""
-    verdict = classify_error(status, error)
-    retryable, why = verdict["retryable"], verdict["reason"]
-    left = attempt < max_attempts
+def decision_reason(attempt: Column, retryable: Column, why: Column, max_attempts=K.ENTRY_MAX_ATTEMPTS) -> Column:
     tries = F.concat(attempt.cast("string"), F.lit(f"/{max_attempts}) - "), why)
-    reason = (
+    return (
         F.when(~retryable, F.concat(F.lit("Permanent error - "), why))
-        .when(~left, F.concat(F.lit("Max retries exceeded ("), tries))
+        .when(attempt >= max_attempts, F.concat(F.lit("Max retries exceeded ("), tries))
         .otherwise(F.concat(F.lit("Retryable error (attempt "), tries))
     )
-    again = retryable & left
-    wait = backoff_ms(attempt) if delay is None else delay
+
+
+def retry_decision(attempt: Column, status: Column, error: Column, max_attempts=K.ENTRY_MAX_ATTEMPTS) -> Column:
+    """struct<should_retry, reason, delay_ms, move_to_dlq> for one failed attempt (counted from 1)."""
+    retryable = is_retryable(status)
+    again = retryable & (attempt < max_attempts)
     return F.struct(
-        again.alias("should_retry"), reason.alias("reason"), F.when(again, wait).alias("delay_ms"),
-        (~again).alias("move_to_dlq"),
+        again.alias("should_retry"),
+        decision_reason(attempt, retryable, error_reason(status, error), max_attempts).alias("reason"),
+        F.when(again, backoff_ms(attempt)).alias("delay_ms"), (~again).alias("move_to_dlq"),
     )
 
 

@@ -47,6 +47,9 @@ PAYLOAD = _struct(
     ("mailingId", _S), ("filename", _S), ("storageUrl", _S), ("attempt", _I), ("createdAt", _S),
     ("lastError", _S), ("retriedAt", _S), ("finalError", _S), ("movedToDLQAt", _S), ("totalAttempts", _I),
 )
+RESPONSE = _struct(
+    ("message_id", _S), ("messageId", _S), ("id", _S), ("status", _S), ("timestamp", _S), ("message", _S), ("error", _S),
+)
 SEND_ATTEMPTS = _struct(
     ("mailing_id", _S), ("email", _S), ("attempt", _I), ("ts", _TS), ("http_status", _I), ("error", _S),
     ("message_id", _S), ("duration_s", _D),

@@ -102,17 +102,21 @@ def decided(attempts: DataFrame, max_attempts=K.ENTRY_MAX_ATTEMPTS, jitter_key=N
     columns used: attempt, http_status, error. With jitter_key (column names) the delay is spread by a hash of them.
     """
     status, error, attempt = F.col("http_status"), F.col("error"), F.col("attempt")
-    wait = retry.jittered_backoff_ms(attempt, *[F.col(k) for k in jitter_key]) if jitter_key else None
-    success = F.coalesce(status.between(200, 299), F.lit(False))
-    verdict = retry.classify_error(status, error)
-    decision = retry.retry_decision(attempt, status, error, max_attempts, wait)
+    if jitter_key:
+        wait = retry.jittered_backoff_ms(attempt, *[F.col(k) for k in jitter_key])
+    else:
+        wait = retry.backoff_ms(attempt)
+    failed, again = ~F.col("success"), F.col("should_retry")
     return attempts.withColumns({
-        "success": success,
-        "retryable": verdict["retryable"], "category": verdict["category"], "class_reason": verdict["reason"],
-        "should_retry": ~success & decision["should_retry"],
-        "move_to_dlq": ~success & decision["move_to_dlq"],
-        "reason": F.when(~success, decision["reason"]),
-        "delay_ms": F.when(~success, decision["delay_ms"]),
+        "success": F.coalesce(status.between(200, 299), F.lit(False)),
+        "retryable": retry.is_retryable(status),
+        "category": retry.error_category(status, error),
+        "class_reason": retry.error_reason(status, error),
+    }).withColumn("should_retry", failed & F.col("retryable") & (attempt < max_attempts)).withColumns({
+        "move_to_dlq": failed & ~again,
+        "reason": F.when(
+            failed, retry.decision_reason(attempt, F.col("retryable"), F.col("class_reason"), max_attempts)),
+        "delay_ms": F.when(again, wait),
     })
 
 

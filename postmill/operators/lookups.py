@@ -1,10 +1,13 @@
 """Filters, point lookups, ordered reads and pages."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from postmill import constants as K
 from postmill.functions.texts import status_filter
-from postmill.operators.spread import attach
+from postmill.operators.spread import attach, global_index
+
+# Deeper pages are found by distributed numbering instead of a top-k that one task would have to hold.
+TOP_ROWS = 100_000
 
 
 def moment(as_of, seconds_back=0):
@@ -111,10 +114,15 @@ def page(entries, mailing_id, status=None, limit=K.PAGE_LIMIT_DEFAULT, offset=0)
     _page_size(limit, offset)
     rows = entries_of(entries, mailing_id, status)
     total = rows.groupBy("mailing_id").agg(F.count("*").alias("total"))
-    part = rows.orderBy("created_at", "id").offset(offset).limit(limit)
-    here = part.groupBy("mailing_id").agg(F.count("*").alias("_here"))
-    # One mailing: both count tables have one row.
-    out = part.join(F.broadcast(total), "mailing_id").join(F.broadcast(here), "mailing_id")
+    if offset + limit <= TOP_ROWS:
+        part = rows.orderBy("created_at", "id").offset(offset).limit(limit)
+    else:
+        slot = F.col("_slot")
+        part = global_index(rows, ["created_at", "id"], "_slot").where((slot >= offset) & (slot < offset + limit))
+        part = part.drop("_slot")
+    # The page has at most PAGE_LIMIT_MAX rows and the total one row.
+    here = F.count("*").over(Window.partitionBy("mailing_id"))
+    out = part.withColumn("_here", here).join(F.broadcast(total), "mailing_id")
     return out.withColumn("has_more", F.lit(offset) + F.col("_here") < F.col("total")).drop("_here")
 
 

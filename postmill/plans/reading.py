@@ -268,7 +268,8 @@ def _responses(spark, sf_dir):
         .when(event == 3, F.lit('{"status":"accepted","error":"quota"}'))
         .otherwise(F.lit("gateway down"))
     )
-    return attempts_of(spark, sf_dir).select("event_id", "http_status", body.alias("body"))
+    rows = attempts_of(spark, sf_dir).select("event_id", "http_status", body.alias("body"))
+    return rows.withColumn("answer", payload.response(F.col("body")))
 
 
 RESPONSES = """responses AS (SELECT event_id, http_status, CASE event_id % 5
@@ -283,7 +284,7 @@ SELECT event_id, coalesce(json_extract_string(body, '$.message_id'), json_extrac
  json_extract_string(body, '$.id'), 'status:' || coalesce(json_extract_string(body, '$.status'), 'undefined'))
  AS message_id FROM responses"""))
 def message_ids(spark, sf_dir):
-    return _responses(spark, sf_dir).select("event_id", payload.message_id(F.col("body")).alias("message_id"))
+    return _responses(spark, sf_dir).select("event_id", payload.message_id(F.col("answer")).alias("message_id"))
 
 
 @query("error_texts", "P20 P25", sql(v.SEND_ATTEMPTS, RESPONSES, body="""
@@ -291,7 +292,7 @@ SELECT event_id, '[' || coalesce(CAST(http_status AS VARCHAR), 'N/A') || '] ' ||
 FROM (SELECT event_id, http_status, coalesce(json_extract_string(body, '$.message'),
  json_extract_string(body, '$.error'), body, '"gateway down"') AS error_text FROM responses)"""))
 def error_texts(spark, sf_dir):
-    text = payload.error_text(F.col("body"), F.lit("no answer"))
+    text = payload.error_text(F.col("answer"), F.col("body"), F.lit("no answer"))
     rows = _responses(spark, sf_dir).withColumn("error_text", text)
     return rows.select("event_id", texts.audit_text(F.col("http_status"), F.col("error_text")).alias("audit_text"),
                        "error_text")
@@ -303,10 +304,10 @@ SELECT event_id, coalesce(json_extract_string(body, '$.message_id'), json_extrac
  json_extract_string(body, '$.timestamp') AS sent_at,
  coalesce(json_extract_string(body, '$.error'), 'Unknown error') AS error FROM responses"""))
 def safe_fields(spark, sf_dir):
-    body = F.col("body")
+    answer = F.col("answer")
     rows = _responses(spark, sf_dir).select(
-        "event_id", payload.safe_response(body).alias("r"),
-        payload.safe_error(F.col("http_status"), F.lit("failed"), body).alias("e"))
+        "event_id", payload.safe_response(answer).alias("r"),
+        payload.safe_error(F.col("http_status"), F.lit("failed"), answer).alias("e"))
     return rows.select("event_id", F.col("r.messageId").alias("message_id"), F.col("r.status").alias("status"),
                        F.col("r.timestamp").alias("sent_at"), F.col("e.error").alias("error"))
 

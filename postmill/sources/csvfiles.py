@@ -8,6 +8,7 @@ from postmill import constants as K
 
 UTF8, UTF8_BOM, LATIN1 = "utf-8", "utf-8-bom", "iso-8859-1"
 SMALL_FILE = 16 << 20
+HEADER_BYTES = 64 << 10
 
 
 @dataclass(frozen=True)
@@ -47,18 +48,25 @@ def encoding_of(content):
     )
 
 
-def detect_encodings(spark: SparkSession, paths, small=SMALL_FILE) -> DataFrame:
-    """(path, length, encoding) per file.
+def first_line(head, encoding):
+    """First line with content of a file's leading bytes, decoded, without byte-order mark."""
+    text = F.when(encoding == LATIN1, F.decode(head, "ISO-8859-1")).otherwise(
+        F.make_valid_utf8(head.cast("string")))
+    return F.regexp_extract(text, "^[\\ufeff\\s]*([^\\r\\n]*)", 1)
+
+
+def catalogue(spark: SparkSession, paths, small=SMALL_FILE) -> DataFrame:
+    """(path, length, encoding, header) per file, header being its first line.
 
     Small files are looked at as bytes. Of a larger one only the leading lines are kept, cut down in the scanning task:
     4096 lines hold at least 4096 bytes. Line readers drop a byte-order mark, so larger files count as plain utf-8.
     """
     files = spark.read.format("binaryFile").load(paths).where(F.col("length") <= small)
-    looked = files.select("path", "length", encoding_of(F.col("content")).alias("encoding"))
+    looked = files.select("path", "length", F.col("content"))
     lines = spark.read.text(paths).where(F.col("_metadata.file_size") > small).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
         F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"),
-        F.substring(F.col("value").cast("binary"), 1, K.ENCODING_HEAD_BYTES).alias("_bytes"),
+        F.substring(F.col("value").cast("binary"), 1, HEADER_BYTES).alias("_bytes"),
     )
     order = Window.partitionBy("path", "length").orderBy("_n")
     heads = (
@@ -68,7 +76,13 @@ def detect_encodings(spark: SparkSession, paths, small=SMALL_FILE) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("_row", F.hex("_bytes").alias("h")))).alias("_lines"))
         .select("path", "length", F.unhex(F.array_join(F.transform("_lines", lambda x: x["h"]), "0A")).alias("content"))
     )
-    return looked.unionByName(heads.select("path", "length", encoding_of(F.col("content")).alias("encoding")))
+    found = looked.unionByName(heads).withColumn("encoding", encoding_of(F.col("content")))
+    start = head_bytes(F.col("content"), HEADER_BYTES)
+    return found.select("path", "length", "encoding", first_line(start, F.col("encoding")).alias("header"))
+
+
+def detect_encodings(spark: SparkSession, paths) -> DataFrame:
+    return catalogue(spark, paths).select("path", "length", "encoding")
 
 
 def read_csv(spark: SparkSession, paths, options=CsvOptions(), encoding="UTF-8", schema=None) -> DataFrame:
@@ -103,46 +117,28 @@ def read_recipients(spark: SparkSession, paths, mailing_id, options=CsvOptions()
     The catalogue of files - one short row per file with its encoding and header line - is planned on the driver, as any
     file listing is; file contents are only read by tasks. Files that share encoding and header share one scan.
     """
-    listed = detect_encodings(spark, paths).select("path", "encoding")
     groups = {}
-    for row in listed.toLocalIterator():
+    for row in catalogue(spark, paths).toLocalIterator():
         coding = "ISO-8859-1" if row["encoding"] == LATIN1 else "UTF-8"
-        groups.setdefault(coding, []).append(row["path"])
+        line = row["header"] or ""
+        layout = line if options.has_header else str(line.count(options.delimiter))
+        # Files with an unusually long first line are not compared with each other.
+        own = row["path"] if len(line) >= HEADER_BYTES // 4 else ""
+        groups.setdefault((coding, layout, own), []).append(row["path"])
     out = None
-    for coding, files in sorted(groups.items()):
-        for same in _by_header(spark, files, options, coding):
-            df = read_csv(spark, same, options, coding)
-            part = df.select(
-                email_cell(df, options).alias("raw_email"),
-                F.col("_metadata.file_path").alias("source_file"),
-                F.col("_metadata.file_block_start").alias("split_start"),
-                F.monotonically_increasing_id().alias("row_key"),
-            )
-            out = part if out is None else out.unionByName(part)
+    for (coding, _, _), files in sorted(groups.items()):
+        df = read_csv(spark, sorted(files), options, coding)
+        part = df.select(
+            email_cell(df, options).alias("raw_email"), F.col("_metadata.file_path").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("row_key"),
+        )
+        out = part if out is None else out.unionByName(part)
     if out is None:
         raise FileNotFoundError(f"no CSV file under {paths}")
     owner = F.lit(mailing_id) if isinstance(mailing_id, str) else mailing_id
     return out.withColumn("mailing_id", owner)
 
 
-def _by_header(spark, files, options, coding):
-    """Split files into lists that have the same header line (or, without header, the same width)."""
-    if len(files) == 1:
-        return [files]
-    lines = spark.read.option("encoding", coding).option("wholetext", False).text(files)
-    first = (
-        lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
-                     F.monotonically_increasing_id().alias("n"), "value")
-        .where((F.col("at") == 0) & (F.trim("value") != ""))
-        .groupBy("path").agg(F.min_by("value", "n").alias("line"))
-    )
-    same = {}
-    for row in first.toLocalIterator():
-        key = row["line"].lstrip("\ufeff") if options.has_header else row["line"].count(options.delimiter)
-        same.setdefault(key, []).append(row["path"])
-    return [sorted(group) for _, group in sorted(same.items(), key=lambda item: str(item[0]))]
-
-
 def with_line_numbers(rows: DataFrame) -> DataFrame:
     """Add line_no: the 1-based data row in its file.
 
