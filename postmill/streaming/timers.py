@@ -9,12 +9,13 @@ from postmill import constants as K
 from postmill.streaming import runner
 
 
-def _millis(moment):
-    return int(moment.timestamp() * 1000)
+def _micros(moment):
+    return round(moment.timestamp() * 1_000_000)
 
 
-def _moment(millis):
-    return datetime.datetime.fromtimestamp(millis / 1000)
+def _moment(micros):
+    whole, part = divmod(micros, 1_000_000)
+    return datetime.datetime.fromtimestamp(whole).replace(microsecond=part)
 
 
 class _Retry(StatefulProcessor):
@@ -33,12 +34,12 @@ class _Retry(StatefulProcessor):
         for row in rows:
             if self.seen.containsKey((row.attempt,)):
                 continue
-            self.seen.updateValue((row.attempt,), (_millis(row.ts),))
+            self.seen.updateValue((row.attempt,), (_micros(row.ts),))
             following = row.attempt + 1
             if following >= self.max_attempts:
                 yield Row(mailing_id=key[0], outcome="dead_letter", attempts=self.max_attempts, at=row.ts)
                 continue
-            at = _millis(row.ts) + 1000 * self.waits[0 if following == 1 else 1]
+            at = _micros(row.ts) // 1000 + 1000 * self.waits[0 if following == 1 else 1]
             waiting = list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []
             self.due.updateValue((at,), (waiting + [following],))
             self.handle.registerTimer(at)
@@ -49,7 +50,7 @@ class _Retry(StatefulProcessor):
             attempts = self.due.getValue((at,))[0]
             self.due.removeKey((at,))
             for attempt in attempts:
-                yield Row(mailing_id=key[0], outcome="redelivered", attempts=attempt, at=_moment(at))
+                yield Row(mailing_id=key[0], outcome="redelivered", attempts=attempt, at=_moment(at * 1000))
 
 
 def delayed_retry(
@@ -77,29 +78,31 @@ class _Timeout(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, ts timestamp, seq bigint, timer bigint")
+        self.last = handle.getValueState("last", "status string, micros bigint, seq bigint, timer bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         newest = max(rows, key=lambda r: (r.ts, r.seq))
+        micros = _micros(newest.ts)
         old = self.last.get() if self.last.exists() else None
-        if old is not None and (newest.ts, newest.seq) <= (old[1], old[2]):
+        if old is not None and (micros, newest.seq) <= (old[1], old[2]):
             return iter([])
         if old is not None and old[3] >= 0:
             self.handle.deleteTimer(old[3])
         timer = -1
         if newest.status in self.limits:
-            timer = _millis(newest.ts) + 1000 * self.limits[newest.status]
+            timer = micros // 1000 + 1000 * self.limits[newest.status]
             self.handle.registerTimer(timer)
-        self.last.update((newest.status, newest.ts, newest.seq, timer))
+        self.last.update((newest.status, micros, newest.seq, timer))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.last.exists():
             return
-        status, ts, seq, timer = self.last.get()
+        status, micros, seq, timer = self.last.get()
         if timer == expiredTimerInfo.getExpiryTimeInMs():
-            self.last.update((status, ts, seq, -1))
-            yield Row(mailing_id=key[0], email=key[1], status=status, last_attempt=ts, timed_out_at=_moment(timer))
+            self.last.update((status, micros, seq, -1))
+            yield Row(mailing_id=key[0], email=key[1], status=status, last_attempt=_moment(micros),
+                      timed_out_at=_moment(timer * 1000))
 
 
 def in_flight_timeout(events: DataFrame, delay="0 seconds", limits=None) -> DataFrame:
