@@ -1,5 +1,7 @@
 """Sources and sinks shared by the streaming jobs."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,10 +20,33 @@ def with_rocksdb(spark: SparkSession):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@contextmanager
+def _state_partitions(spark):
+    """One state partition per core unless the session says otherwise: each one is committed in every micro-batch.
+
+    A query keeps the number of its first start, whatever the session says later.
+    """
+    name = "spark.sql.shuffle.partitions"
+    current = spark.conf.get(name)
+    if current != "200" or spark.sparkContext.getConf().contains(name):
+        yield
+        return
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, current)
+
+
+def _start(stream, writer, checkpoint, trigger, path=None):
+    writer = writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    with _state_partitions(stream.sparkSession):
+        return writer.start(path) if path else writer.start()
+
+
 def to_files(stream: DataFrame, out, checkpoint, trigger=None):
     """Append the stream to a parquet folder; the sink's log makes a repeated micro-batch harmless."""
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start(out)
+    return _start(stream, stream.writeStream.format("parquet").outputMode("append"), checkpoint, trigger, out)
 
 
 def to_batches(stream: DataFrame, out, checkpoint, work=None, mode="append", trigger=None):
@@ -34,8 +59,7 @@ def to_batches(stream: DataFrame, out, checkpoint, work=None, mode="append", tri
         result = batch if work is None else work(batch, batch_id)
         result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return _start(stream, stream.writeStream.foreachBatch(store).outputMode(mode), checkpoint, trigger)
 
 
 def finish(query):
