@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postmill import model
 from postmill.operators.intake import KEY
+from postmill.operators.spread import attach
 from postmill.session import written
 
 BUCKETS = 256
@@ -76,6 +77,28 @@ def write_snapshot(df: DataFrame, path, name, version):
     _writer(_placed(df, name), name, "errorifexists").parquet(f"{path}/{name}/v{version}")
 
 
+def commit(path, run, **tables):
+    """Write rows for several tables as one run: readers see all of them or, when a write failed, none.
+
+    Each table gets its own folder of the run; the marker that makes the run visible is written last. Writing the same
+    run again replaces its folders.
+    """
+    for name, df in tables.items():
+        _placed(df, name).write.mode("overwrite").parquet(f"{path}/{name}/run={run}")
+    spark = next(iter(tables.values())).sparkSession
+    marker = spark.range(1).select(F.lit(run).cast("string").alias("run"))
+    marker.write.mode("overwrite").json(f"{path}/commits/{run}")
+
+
+def read_committed(spark: SparkSession, path, name) -> DataFrame:
+    """Rows of the finished runs of a table written by `commit`."""
+    schema = model.T.StructType([*model.TABLES[name].fields, model.T.StructField("run", model.T.StringType())])
+    if name in BUCKETED:
+        schema = schema.add("bucket", "int")
+    done = spark.read.schema("run string").json(f"{path}/commits/*").distinct()
+    return attach(spark.read.schema(schema).parquet(f"{path}/{name}"), done, ["run"], "left_semi")
+
+
 def archive_raw(rows: DataFrame, path):
     """Raw rows of uploads, in one folder per mailing with the name of their source file.
 

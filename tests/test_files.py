@@ -146,6 +146,25 @@ def test_snapshot_versions(spark, tmp_path):
         tables.write_snapshot(progress, str(tmp_path), "mailing_progress", 1)
 
 
+def test_two_tables_are_visible_together(spark, tmp_path, rows):
+    from postmill.operators import outbox
+
+    path = str(tmp_path)
+    uploads = spark.createDataFrame([("a", "a.csv", "/s/a", 3), ("b", "b.csv", "/s/b", 4)],
+                                    "id string, filename string, storage_url string, total_lines int")
+    first, second = uploads.where("id = 'a'"), uploads.where("id = 'b'")
+    mailings, messages = outbox.register(first, AS_OF)
+    tables.commit(path, "r1", mailings=mailings, outbox_messages=messages)
+    mailings, messages = outbox.register(second, AS_OF)
+    broken = messages.withColumn("attempts", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        tables.commit(path, "r2", mailings=mailings, outbox_messages=broken)
+    assert rows(tables.read_committed(spark, path, "mailings"), "id") == [("a",)]
+    tables.commit(path, "r2", mailings=mailings, outbox_messages=messages)
+    assert rows(tables.read_committed(spark, path, "mailings"), "id") == [("a",), ("b",)]
+    assert rows(tables.read_committed(spark, path, "outbox_messages"), "mailing_id", "attempts") == [("a", 0), ("b", 0)]
+
+
 def test_resume_after_stop(spark, rows):
     """50 lines, stop after 20, go on: 50 entries, each once; a second resume is refused."""
     lines = load(spark, [f"u{i}@x.org" for i in range(50)])
