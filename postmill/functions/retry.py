@@ -5,45 +5,53 @@ from pyspark.sql import Column, functions as F
 from postmill import constants as K
 
 
-def _listed(status: Column, table, rest) -> Column:
-    """Text of a listed status code, else the general text."""
-    lookup = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
-    return F.coalesce(F.try_element_at(lookup, status), F.concat(status.cast("string"), F.lit(rest)))
+# The rules below name their inputs as seldom as they can: a filter on a rule's result is pushed through projections, and
+# every mention repeats the whole expression behind the input in the generated code.
 
 
-def error_category(status: Column, error: Column) -> Column:
-    """Category of a failed send; status null or 0 means that no answer came."""
-    no_answer, network, timeout = _no_answer(status, error)
+def _lookup(table, key: Column) -> Column:
+    """Value of a constant table, null for other keys."""
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), key)
+
+
+def _hundreds(status: Column) -> Column:
+    return F.floor(status / 100).cast("int")
+
+
+def _no_answer(status: Column) -> Column:
+    return F.coalesce(status, F.lit(0)) == 0
+
+
+def _by_text(error: Column, network, timeout, other) -> Column:
+    text = F.coalesce(error, F.lit(""))
     return (
-        F.when(no_answer & network, "network").when(no_answer & timeout, "timeout").when(no_answer, "unknown")
-        .when(status == 408, "timeout").when(status == 429, "rate_limit")
-        .when(status.between(400, 499), "client_error").when(status.between(500, 599), "server_error")
-        .otherwise("unknown")
+        F.when(text.rlike("|".join(K.NETWORK_WORDS)), network).when(text.contains(K.TIMEOUT_WORD), timeout)
+        .otherwise(F.lit(other))
     )
 
 
+def error_category(status: Column, error: Column) -> Column:
+    """Category of a failed send; status null or 0 means that no answer came."""
+    by_code = F.coalesce(
+        _lookup({408: "timeout", 429: "rate_limit"}, status),
+        _lookup({4: "client_error", 5: "server_error"}, _hundreds(status)), F.lit("unknown"))
+    return F.when(_no_answer(status), _by_text(error, "network", "timeout", "unknown")).otherwise(by_code)
+
+
 def error_reason(status: Column, error: Column) -> Column:
-    no_answer, network, timeout = _no_answer(status, error)
-    code = status.cast("string")
-    return (
-        F.when(no_answer & network, K.TEXT_NETWORK).when(no_answer & timeout, K.TEXT_TIMEOUT)
-        .when(no_answer, K.TEXT_UNKNOWN)
-        .when(status.between(400, 499), _listed(status, K.CLIENT_ERROR_TEXT, " Client Error - permanent failure"))
-        .when(status.between(500, 599), _listed(status, K.SERVER_ERROR_TEXT, " Server Error - temporary failure"))
-        .when(status.between(200, 299), F.concat(code, F.lit(" Success - not an error")))
-        .otherwise(F.concat(code, F.lit(" Unknown status - will retry")))
-    )
+    general = {2: " Success - not an error", 4: " Client Error - permanent failure",
+               5: " Server Error - temporary failure"}
+    rest = F.coalesce(_lookup(general, _hundreds(status)), F.lit(" Unknown status - will retry"))
+    by_code = F.coalesce(
+        _lookup(K.CLIENT_ERROR_TEXT | K.SERVER_ERROR_TEXT, status), F.concat(status.cast("string"), rest))
+    no_answer = _by_text(error, K.TEXT_NETWORK, K.TEXT_TIMEOUT, K.TEXT_UNKNOWN)
+    return F.when(_no_answer(status), no_answer).otherwise(by_code)
 
 
 def is_retryable(status: Column) -> Column:
     """Client errors other than 408 and 429 are permanent; so is a success that was taken for an error."""
-    permanent = status.between(200, 299) | (status.between(400, 499) & ~status.isin(408, 429))
-    return ~F.coalesce(permanent, F.lit(False))
-
-
-def _no_answer(status, error):
-    text = F.coalesce(error, F.lit(""))
-    return status.isNull() | (status == 0), text.rlike("|".join(K.NETWORK_WORDS)), text.contains(K.TIMEOUT_WORD)
+    code = F.coalesce(status, F.lit(0))
+    return code.isin(408, 429) | ~_hundreds(code).isin(2, 4)
 
 
 def classify_error(status: Column, error: Column) -> Column:
@@ -71,11 +79,12 @@ def jittered_backoff_ms(
 
 
 def decision_reason(attempt: Column, retryable: Column, why: Column, max_attempts=K.ENTRY_MAX_ATTEMPTS) -> Column:
-    tries = F.concat(attempt.cast("string"), F.lit(f"/{max_attempts}) - "), why)
-    return (
-        F.when(~retryable, F.concat(F.lit("Permanent error - "), why))
+    tries = F.concat(attempt.cast("string"), F.lit(f"/{max_attempts})"))
+    return F.concat(
+        F.when(~retryable, F.lit("Permanent error"))
         .when(attempt >= max_attempts, F.concat(F.lit("Max retries exceeded ("), tries))
-        .otherwise(F.concat(F.lit("Retryable error (attempt "), tries))
+        .otherwise(F.concat(F.lit("Retryable error (attempt "), tries)),
+        F.lit(" - "), why,
     )
 
 

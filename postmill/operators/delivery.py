@@ -108,7 +108,7 @@ def decided(attempts: DataFrame, max_attempts=K.ENTRY_MAX_ATTEMPTS, jitter_key=N
         wait = retry.backoff_ms(attempt)
     failed, again = ~F.col("success"), F.col("should_retry")
     return attempts.withColumns({
-        "success": F.coalesce(status.between(200, 299), F.lit(False)),
+        "success": F.coalesce(F.floor(status / 100) == 2, F.lit(False)),
         "retryable": retry.is_retryable(status),
         "category": retry.error_category(status, error),
         "class_reason": retry.error_reason(status, error),
