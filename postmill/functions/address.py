@@ -9,10 +9,12 @@ BLANKS = (
     " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-LOCAL_CHARS = r"^[a-z0-9!#$%&'*+/=?^_`{|}~.-]+\z"
-DOMAIN_CHARS = r"^[a-z0-9.-]+\z"
-LONG_LABEL = r"[a-z0-9-]{64}"
-TOP_LABEL = r"[.][a-z]{2,63}\z"
+# Dot-atom local part at a host name with an alphabetic top label. No group is repeated: Java's matcher recurses once per
+# repetition of a group and could overflow the stack on a long junk cell, while single-character loops do not recurse.
+ADDRESS = (
+    r"^(?![.])(?!.*[.][.])[a-z0-9!#$%&'*+/=?^_`{|}~.-]++(?<![.])"
+    r"@(?!.*(?:-[.]|[.]-))(?!.*[a-z0-9-]{64})[a-z0-9][a-z0-9.-]*[.][a-z]{2,63}\z"
+)
 
 
 def trim_blanks(c: Column) -> Column:
@@ -28,51 +30,26 @@ def email_domain(c: Column) -> Column:
     return F.lower(F.split_part(c, F.lit("@"), F.lit(2)))
 
 
-def _dotted(c: Column) -> Column:
-    """No empty piece between dots."""
-    return ~(c.startswith(".") | c.endswith(".") | c.contains(".."))
-
-
-def local_part(c: Column) -> Column:
-    return F.split_part(c, F.lit("@"), F.lit(1))
-
-
-def looks_like_address(c: Column, local: Column = None, domain: Column = None) -> Column:
-    """Dot-atom local part at a host name with an alphabetic top label. c is normalised.
-
-    The rule is spelled as single character classes plus substring tests. One nested pattern would accept the same
-    addresses, but Java's matcher recurses once per group repetition and can overflow the stack on a long junk cell.
-    """
-    local = local_part(c) if local is None else local
-    domain = email_domain(c) if domain is None else domain
-    one_at = F.length(c) == F.length(local) + F.length(domain) + 1
-    hyphens = domain.startswith("-") | domain.contains(".-") | domain.contains("-.")
-    return (
-        one_at
-        & local.rlike(LOCAL_CHARS) & _dotted(local)
-        & domain.rlike(DOMAIN_CHARS) & _dotted(domain) & ~hyphens
-        & ~domain.rlike(LONG_LABEL) & domain.rlike(TOP_LABEL)
-    )
+def looks_like_address(c: Column) -> Column:
+    """Whether a normalised text has the form of an address."""
+    return c.rlike(ADDRESS)
 
 
-def syntax_detail(c: Column, local: Column = None, domain: Column = None) -> Column:
+def syntax_detail(c: Column) -> Column:
     """Why a normalised address fails the syntax layer; null when it passes. First failing rule wins."""
-    local = local_part(c) if local is None else local
-    domain = email_domain(c) if domain is None else domain
     return (
         F.when(c == "", K.DETAIL_EMPTY)
-        .when(~looks_like_address(c, local, domain), K.DETAIL_SYNTAX)
-        .when(F.length(c) != F.length(local) + F.length(domain) + 1, K.DETAIL_FORMAT)
-        .when(F.length(local) > K.LOCAL_PART_MAX, K.DETAIL_LOCAL)
-        .when(F.length(domain) > K.DOMAIN_MAX, K.DETAIL_DOMAIN)
-        .when(~domain.contains("."), K.DETAIL_DOT)
+        .when(~looks_like_address(c), K.DETAIL_SYNTAX)
+        .when(~c.rlike(r"^[^@]*@[^@]*\z"), K.DETAIL_FORMAT)
+        .when(c.rlike(r"^[^@]{%d}" % (K.LOCAL_PART_MAX + 1)), K.DETAIL_LOCAL)
+        .when(c.rlike(r"@[^@]{%d}" % (K.DOMAIN_MAX + 1)), K.DETAIL_DOMAIN)
+        .when(~c.rlike(r"@[^@]*[.]"), K.DETAIL_DOT)
     )
 
 
-def raw_syntax_detail(raw: Column, normalized: Column, local: Column = None, domain: Column = None) -> Column:
+def raw_syntax_detail(raw: Column, normalized: Column) -> Column:
     """Syntax detail for a raw cell, where a missing or empty cell has its own text."""
-    missing = raw.isNull() | (raw == "")
-    return F.when(missing, K.DETAIL_MISSING).otherwise(syntax_detail(normalized, local, domain))
+    return F.when(F.coalesce(raw, F.lit("")) == "", K.DETAIL_MISSING).otherwise(syntax_detail(normalized))
 
 
 def disposable_detail(domain: Column) -> Column:

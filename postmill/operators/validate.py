@@ -35,8 +35,7 @@ def validate(df: DataFrame, disposable=None, domain_mx=None, raw=None, email="em
     """
     c = F.col(email)
     cell = F.col(raw) if raw else c
-    out = df.withColumn("_local", address.local_part(c)).withColumn("domain", address.email_domain(c))
-    out = out.withColumn("_syntax", address.raw_syntax_detail(cell, c, F.col("_local"), F.col("domain")))
+    out = df.withColumns({"domain": address.email_domain(c), "_syntax": address.raw_syntax_detail(cell, c)})
     reason = F.when(F.col("_syntax").isNotNull(), K.REASON_SYNTAX)
     details = F.when(F.col("_syntax").isNotNull(), F.col("_syntax"))
     if disposable is not None:
@@ -52,7 +51,7 @@ def validate(df: DataFrame, disposable=None, domain_mx=None, raw=None, email="em
     out = out.withColumn("reason", reason).withColumn("details", details)
     return (
         out.withColumn("is_valid", F.col("reason").isNull())
-        .drop("_syntax", "_local", "_disposable", "domain", "mx_ok", "mx_known", "mx_error")
+        .drop("_syntax", "_disposable", "domain", "mx_ok", "mx_known", "mx_error")
     )
 
 
