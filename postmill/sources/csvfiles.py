@@ -72,6 +72,8 @@ def catalogue(spark: SparkSession, paths, small=SMALL_FILE) -> DataFrame:
     heads = (
         lines.where(F.col("_at") == 0).withColumn("_row", F.row_number().over(order))
         .where(F.col("_row") <= K.ENCODING_HEAD_BYTES)
+        .withColumn("_before", F.sum(F.length("_bytes") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        .where(F.coalesce("_before", F.lit(0)) < HEADER_BYTES)
         .groupBy("path", "length")
         .agg(F.array_sort(F.collect_list(F.struct("_row", F.hex("_bytes").alias("h")))).alias("_lines"))
         .select("path", "length", F.unhex(F.array_join(F.transform("_lines", lambda x: x["h"]), "0A")).alias("content"))

@@ -22,7 +22,7 @@ def read_queue(spark: SparkSession, path) -> DataFrame:
     return rows.select("target_queue", parsed(F.col("value")).alias("job"))
 
 
-def log_events(decided: DataFrame) -> DataFrame:
+def log_events(decided: DataFrame, service="postmill") -> DataFrame:
     """Event-log rows of decided attempts: sent, failed (to be tried again) or dead letter."""
     event = (
         F.when(F.col("success"), "email.sent").when(F.col("should_retry"), "email.failed")
@@ -39,7 +39,7 @@ def log_events(decided: DataFrame) -> DataFrame:
     )
     return decided.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), level.alias("level"),
-        F.lit("email-mailing-api").alias("service"), event.alias("event"),
+        F.lit(service).alias("service"), event.alias("event"),
         F.col("mailing_id").alias("mailingId"), "email", status.alias("status"), F.col("attempt").alias("attempts"),
         "http_status", F.when(~F.col("success"), text).alias("error"), F.col("duration_s").alias("duration"),
         message.alias("message"),
