@@ -45,12 +45,14 @@ def _placed(df, name):
 
 
 def _writer(df, name, mode):
-    out = df.write.mode(mode)
-    return out.partitionBy("bucket") if name in BUCKETED else out
+    """Rows gathered by folder into files of even size; run-time re-planning splits a folder that one mailing fills."""
+    if name not in BUCKETED:
+        return df.write.mode(mode)
+    return df.hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket")
 
 
 def append(df: DataFrame, path, name):
-    """Add rows. Tasks keep their own rows, so a folder that one mailing fills is written by many tasks."""
+    """Add rows."""
     _writer(_placed(df, name), name, "append").parquet(f"{path}/{name}")
 
 
