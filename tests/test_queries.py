@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
-from postmill.plans.registry import OPERATORS
+from postmill.plans.registry import OPERATORS, QUERIES
 
 SF = "/root/testdata/sf0.001"
 INVENTORY = {"S": 12, "P": 26, "F": 12, "J": 10, "A": 22, "W": 6, "O": 6, "U": 3, "T": 14}
@@ -17,7 +17,7 @@ def db():
     return compare.database(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_as_sql(spark, db, name):
     assert compare.compare(spark, db, SF, name) == ""
 
@@ -40,7 +40,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_")])
 def test_plan_has_no_product_and_no_python(spark, name):
     plan = _plan(entry.queries()[name](spark, SF))
     for bad in ("CartesianProduct", "NestedLoop", "EvalPython", "MapInPandas", "FlatMapGroups"):
