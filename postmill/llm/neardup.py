@@ -6,13 +6,8 @@
    principle some chunk differs in no more values than it is allowed. Each chunk's allowed errors are enumerated by leaving
    out every choice of so many values, so every such pair shares a key. Two sets at the threshold differ in more than
    MAX_DIFFERENT of 64 values with a probability of about one in a million, and less above it.
-3. Members of a key are first compared with one of them: the one that has the most company over all its keys, which in a
-   group of copies is their common original, if it is there. Pairs within MAX_DIFFERENT are confirmed on the full sets and
-   united.
-4. Then the remaining pairs of a key whose members are not united yet are compared, so no link between different sets is
-   lost. So that large groups of documents that are alike, yet under the threshold, are not compared each with each, such
-   a pair must also share one of its rarest shingles early enough: with both sets in one order, the first common shingle
-   must leave room for the overlap that the threshold asks for (the prefix and positional filters, which are exact).
+3. Members of shared keys are compared and united as in `pairs.united`: pairs within MAX_DIFFERENT are confirmed on the full
+   sets, and no link between different sets is lost.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; shorter texts than a shingle are one
 shingle as a whole; rows that repeat a doc_id are one document for linking; rows without a doc_id follow the documents with
@@ -25,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from postmill.llm.graph import components
+from postmill.llm.pairs import united
 from postmill.llm.registry import query, table
 from postmill.session import written
 
@@ -148,8 +143,8 @@ def _near(pairs, signatures):
     return pairs.join(left, "a").join(right, "b").where(_different("_sa", "_sb") <= MAX_DIFFERENT).select("a", "b")
 
 
-def _sets(df, ids, words):
-    """(id, own) with the full shingle sets of the documents named in column id of `ids`."""
+def _sets_of(df, words):
+    """A function from documents (id) to their full shingle sets (id, own)."""
 
     def sets_part(batches):
         hashes = _Hashes()
@@ -161,46 +156,12 @@ def _sets(df, ids, words):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.ListArray.from_arrays(ends, np.concatenate(sets))], ["id", "own"])
 
-    wanted = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return written(wanted.mapInArrow(sets_part, "id long, own array<long>"), "neardup-sets")
-
-
-def _confirmed(pairs, df, words, percent):
-    """Pairs whose full shingle sets overlap enough. Sets are made only for documents that stand in a pair."""
-    sets = _sets(df, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), words)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("_xa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("own").alias("_xb")), "b")
-    common = F.size(F.array_intersect("_xa", "_xb"))
-    return both.where(100 * common >= percent * (F.size("_xa") + F.size("_xb") - common)).select("a", "b")
-
-
-def _sharing_rare(left, df, words, percent):
-    """Pairs (a, b) of different groups among `left` (id, group) that pass the prefix and positional filters."""
-    sets = _sets(df, left, words)
-    tokens = sets.select("id", F.size("own").alias("size"), F.explode("own").alias("token"))
-    known = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = tokens.join(known, "token", "left").groupBy("id", "size").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "token"))).alias("all"))
-    length = (F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1).cast("int")
-    prefix = ranked.join(left, "id").select(
-        "id", "group", "size", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "t")).where("t.often > 1").select(
-        "id", "group", "size", "at", "t.token")
-    prefix = written(prefix, "neardup-prefixes")
-    # Every pair of two groups has a side outside the token's most common group, so a large group never meets itself.
-    common = prefix.groupBy("token", "group").agg(F.count("*").alias("n")).groupBy("token").agg(
-        F.max_by("group", F.struct("n", "group")).alias("main"))
-    outside = prefix.join(common, "token").where("group <> main").drop("main")
-    other = prefix.select("token", F.col("id").alias("b"), F.col("group").alias("_group"), F.col("size").alias("_size"),
-                          F.col("at").alias("_at"))
-    room = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
-    enough = (100 + percent) * room >= percent * (F.col("size") + F.col("_size"))
-    return outside.withColumnRenamed("id", "a").join(other, "token").where((F.col("group") != F.col("_group")) & enough).select(
-        "a", "b")
-
-
-def _ordered(pairs):
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    def sets_of(ids):
+        wanted = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+            ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        return written(wanted.mapInArrow(sets_part, "id long, own array<long>"), "neardup-sets")
+
+    return sets_of
 
 
 def links(df: DataFrame, sketches: DataFrame, words, percent) -> DataFrame:
@@ -209,32 +170,18 @@ def links(df: DataFrame, sketches: DataFrame, words, percent) -> DataFrame:
         F.min("doc_id").alias("id"), F.min("signature").alias("signature")).where("id IS NOT NULL")
     classes = written(classes.select("id", "signature"), "neardup-classes")
     index = _index(classes)
-    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Only members of shared keys go on; most documents have none.
+    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(index.join(shared, "key"), "neardup-keys")
-    # The original of a group of copies shares keys with most of them, while two copies may share few.
-    central = members.groupBy("id").agg(F.sum("n").alias("company"))
-    hubs = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("hub"))
-    starred = members.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    tried = written(_near(_ordered(starred), classes), "neardup-pairs")
-    found = written(_confirmed(tried, df, words, percent), "neardup-links")
-    united = components(found)
-    # What is left: keys whose members are not all united.
-    placed = members.join(united.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("group"))
-    mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    rest = written(placed.join(mixed.select("key"), "key", "left_semi"), "neardup-rest")
-    pairs = _sharing_rare(rest.select("id", "group").distinct(), df, words, percent)
-    more = written(_near(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), classes), "neardup-pairs")
-    return components(found.union(_confirmed(more, df, words, percent)))
+    return united(members, _sets_of(df, words), percent, lambda pairs: _near(pairs, classes))
 
 
 def near_duplicates(df: DataFrame, words=WORDS, percent=PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) and kept per document."""
     sketches = written(sketch(df, words), "neardup-sketches")
-    united = links(df, sketches, words, percent)
+    linked = links(df, sketches, words, percent)
     ids = sketches.where("n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    named = ids.join(united.withColumnRenamed("node", "id"), "id", "left").select(
+    named = ids.join(linked.withColumnRenamed("node", "id"), "id", "left").select(
         "fingerprint", F.coalesce("component", "id").alias("_component"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("_component"))
     return sketches.select("doc_id", "n_shingles", "fingerprint").join(named, "fingerprint", "left").select(
