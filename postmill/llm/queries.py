@@ -1,4 +1,4 @@
 """All queries of this subpackage and their SQL twins."""
 
-from postmill.llm import bpe, neardup, ring, urltree, warc  # noqa: F401
+from postmill.llm import bpe, linedup, neardup, ring, urltree, warc  # noqa: F401
 from postmill.llm.registry import ORACLES, QUERIES  # noqa: F401
