@@ -22,15 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from postmill.llm import crf
 from postmill.llm.registry import query, table
 
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 20_000
 #: Training tokens: all lines with a labelled token, and clean lines up to as many tokens.
 TRAIN_TOKENS = 150_000
-STEPS = 60
-RATE = 0.15
-RIDGE = 1e-4
 #: A word or beginning marks tokens from this log ratio of document shares and this log-likelihood ratio (G) on.
 LEAST_RATIO = 3.0
 LEAST_G = 16.0
@@ -71,52 +69,6 @@ def labelled_features(docs):
     return {f for f, n in seen[1].items() if marks(f, n)}
 
 
-class _Chains:
-    """Flat tokens of many chains, walked step by step over all chains at once, longest first."""
-
-    def __init__(self, lengths):
-        lengths = np.asarray(lengths, np.int64)
-        order = np.argsort(-lengths, kind="stable")
-        starts = (np.cumsum(lengths) - lengths)[order]
-        falling = lengths[order]
-        longest = int(falling[0]) if len(falling) else 0
-        alive = np.searchsorted(-falling, -np.arange(longest), side="left")
-        self.steps = [starts[:n] + t for t, n in enumerate(alive)]
-
-    def forward_backward(self, unary, trans):
-        """Normalised forward and backward probabilities of state 1 per token; unary are log odds, trans a 2x2 of weights."""
-        odds, ahead, behind = np.exp(np.clip(unary, -30, 30)), np.empty(len(unary)), np.full(len(unary), 0.5)
-        before = None
-        for at in self.steps:
-            if before is None:
-                up, down = odds[at], 1.0
-            else:
-                p = before[: len(at)]
-                up, down = odds[at] * ((1 - p) * trans[0][1] + p * trans[1][1]), (1 - p) * trans[0][0] + p * trans[1][0]
-            before = ahead[at] = up / (up + down)
-        for at, after in zip(self.steps[-2::-1], self.steps[:0:-1]):
-            at = at[: len(after)]
-            q, e = behind[after], odds[after]
-            up, down = trans[1][0] * (1 - q) + trans[1][1] * e * q, trans[0][0] * (1 - q) + trans[0][1] * e * q
-            behind[at] = up / (up + down)
-        return odds, ahead, behind
-
-    def marginals(self, unary, trans):
-        _, ahead, behind = self.forward_backward(unary, trans)
-        up = ahead * behind
-        return up / (up + (1 - ahead) * (1 - behind))
-
-    def pairs(self, odds, ahead, behind, trans):
-        """Expected counts of neighbouring states, 2x2."""
-        total = np.zeros((2, 2))
-        for at, after in zip(self.steps, self.steps[1:]):
-            p, q, e = ahead[at[: len(after)]], behind[after], odds[after]
-            cell = np.stack([(1 - p) * trans[0][0] * (1 - q), (1 - p) * trans[0][1] * e * q,
-                             p * trans[1][0] * (1 - q), p * trans[1][1] * e * q])
-            total += (cell / cell.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        return total
-
-
 class Model:
     """Weights of the field and of the document score; `score` needs no labels."""
 
@@ -146,7 +98,7 @@ class Model:
             sizes.append(len(words) - before)
         if not words:
             return [np.zeros(0) for _ in texts]
-        return np.split(_Chains(lengths).marginals(self.unary(words), self.trans), np.cumsum(sizes)[:-1])
+        return np.split(crf.Chains(lengths).marginals(self.unary(words), self.trans), np.cumsum(sizes)[:-1])
 
     def score(self, marginals):
         return float(1 / (1 + np.exp(-np.clip(_evidence(marginals) @ self.document, -30, 30))))
@@ -199,38 +151,8 @@ def fit(docs):
             break
         chains.append((line, marks))
         held, room = held + len(line), room - len(line)
-    names = {}
-    for line, _ in chains:
-        for w in line:
-            for f in of[w]:
-                names[f] = names.get(f, 0) + 1
-    names = {f: i for i, f in enumerate(f for f, n in names.items() if n >= 3)}
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for line, _ in chains for w in line))}
-    links = [(i, names[f]) for w, i in vocabulary.items() for f in of[w] if f in names]
-    word_of, feature_of = np.array(links, np.int64).reshape(-1, 2).T
-    tokens = np.array([vocabulary[w] for line, _ in chains for w in line], np.int64)
-    y = np.array([m for _, marks in chains for m in marks], float)
-    steps = _Chains([len(line) for line, _ in chains])
-    seen = np.zeros((2, 2))
-    for at, after in zip(steps.steps, steps.steps[1:]):
-        np.add.at(seen, (y[at[: len(after)]].astype(int), y[after].astype(int)), 1)
-    values, mean, square = [np.zeros(len(names)), -4.0, np.zeros((2, 2))], [0.0] * 3, [0.0] * 3
-    for step in range(1, STEPS + 1):  # Adam
-        theta, bias, link = values
-        per_word = np.bincount(word_of, theta[feature_of], len(vocabulary))
-        odds, ahead, behind = steps.forward_backward(bias + per_word[tokens], np.exp(link))
-        up = ahead * behind
-        off = y - up / (up + (1 - ahead) * (1 - behind))
-        by_word = np.bincount(tokens, off, len(vocabulary))
-        slopes = [np.bincount(feature_of, by_word[word_of], len(names)) / len(y) - RIDGE * theta,
-                  off.mean(), (seen - steps.pairs(odds, ahead, behind, np.exp(link))) / len(y) - RIDGE * link]
-        mean = [0.9 * m + 0.1 * g for m, g in zip(mean, slopes)]
-        square = [0.99 * v + 0.01 * g * g for v, g in zip(square, slopes)]
-        values = [v + RATE * m / (1 - 0.9 ** step) / (np.sqrt(q / (1 - 0.99 ** step)) + 1e-6)
-                  for v, m, q in zip(values, mean, square)]
-    theta, bias, link = values
-    weights = {f: float(theta[i]) for f, i in names.items() if theta[i]}
-    model = Model(weights, float(bias), np.exp(link), np.zeros(4))
+    weights, bias, trans = crf.fit([([of[w] for w in line], marks) for line, marks in chains], bias=-4.0)
+    model = Model(weights, bias, trans, np.zeros(4))
     rest = docs[2 * len(docs) // 3:]
     model.document = _logistic([_evidence(m) for m in model.tag([text for text, _ in rest])], [toxic for _, toxic in rest])
     model.known = {}

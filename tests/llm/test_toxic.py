@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from postmill.llm import toxic
+from postmill.llm import crf, toxic
 
 SCHEMA = "doc_id long, text string, score string, spans int, toxic string"
 
@@ -14,7 +14,7 @@ def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     lengths, trans = [3, 1, 6, 2, 5], np.exp(rng.normal(size=(2, 2)))
     unary = rng.normal(size=sum(lengths))
-    chains = toxic._Chains(lengths)
+    chains = crf.Chains(lengths)
     got, pairs = chains.marginals(unary, trans), chains.pairs(*chains.forward_backward(unary, trans), trans)
     want, links, at = [], np.zeros((2, 2)), 0
     for n in lengths:
@@ -33,6 +33,15 @@ def test_marginals_equal_enumeration():
     assert np.allclose(got, want) and np.allclose(pairs, links)
 
 
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 5, 9):
+        unary, trans = rng.normal(size=n), np.exp(rng.normal(size=(2, 2)))
+        paths = itertools.product((0, 1), repeat=n)
+        weight = lambda p: sum(u for u, s in zip(unary, p) if s) + sum(math.log(trans[a][b]) for a, b in zip(p, p[1:]))
+        assert crf.viterbi(unary, trans) == list(max(paths, key=weight))
+
+
 def made(n, seed=0):
     rng = random.Random(seed)
     plain = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(300)]
