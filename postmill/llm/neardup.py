@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from postmill.llm.pairs import united
+from postmill.llm.pairs import Wanted, united, without
 from postmill.llm.registry import query, table
 from postmill.session import written
 
@@ -146,20 +146,23 @@ def _near(pairs, signatures):
 def _sets_of(df, words):
     """A function from documents (id) to their full shingle sets (id, own)."""
 
-    def sets_part(batches):
-        hashes = _Hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingles(t.as_py(), words, hashes).view(np.int64) for t in part.column("text")]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(ends, np.concatenate(sets))], ["id", "own"])
-
     def sets_of(ids):
-        wanted = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-            ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        return written(wanted.mapInArrow(sets_part, "id long, own array<long>"), "neardup-sets")
+        wanted = Wanted(ids)
+
+        def sets_part(batches):
+            hashes = _Hashes()
+            for batch in batches:
+                batch = batch.filter(pa.array(wanted(batch.column("doc_id").to_numpy())))
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    sets = [shingles(t.as_py(), words, hashes).view(np.int64) for t in part.column("text")]
+                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), pa.ListArray.from_arrays(ends, np.concatenate(sets))], ["id", "own"])
+
+        # Sets are made where the texts are read, so that no texts are shuffled.
+        rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+        return written(rows.mapInArrow(sets_part, "id long, own array<long>"), "neardup-sets")
 
     return sets_of
 
@@ -188,6 +191,12 @@ def near_duplicates(df: DataFrame, words=WORDS, percent=PERCENT) -> DataFrame:
         "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without_copies(df: DataFrame, words=WORDS, percent=PERCENT) -> DataFrame:
+    """The documents without those that are linked to one with a smaller doc_id; rows without a doc_id stay."""
+    judged = near_duplicates(df, words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    return without(df, written(judged.select(F.col("doc_id").alias("id")).distinct(), "neardup-dropped"))
+
+
 @query("op4_near_dedup")
 def op4(spark, sf_dir):
     """Links all documents by shingles of three words with a similarity of 85 percent or more."""

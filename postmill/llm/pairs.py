@@ -1,16 +1,61 @@
 """From members of shared keys to groups of alike items: comparisons, exact confirmation and union, without all pairs.
 
 An item has an id and a set of 64-bit shingles (`own`). `sets_of(ids)` returns the sets (id, own) of the items named in
-column id, one row per id (several rows stand for several sets of one item). Two items are linked when
+column id, one row per id (several rows stand for several sets of one item), and may return sets of others too. Two items are linked when
 100 * common >= percent * union.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from postmill.llm.graph import components
 from postmill.session import written
 
 
+#: Bits of the filter that names wanted items to tasks: 4 MB, whatever the data. More items only make it less selective.
+FILTER_BITS = 1 << 25
+
+
+class Wanted:
+    """Tells of an array of ids which may be among the ids it was made from; never misses one."""
+
+    def __init__(self, ids):
+        at = F.pmod(F.col("id"), F.lit(FILTER_BITS)) + 1
+        pieces = ids.select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit")).groupBy(
+            "piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        bits = np.zeros((FILTER_BITS // (1 << 15), 1 << 12), np.uint8)
+        for row in pieces.collect():  # FILTER_BITS / 32768 rows of 4 KB at most
+            bits[row["piece"] - 1] = np.frombuffer(row["bits"], np.uint8)
+        self.bits = ids.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def __call__(self, ids):
+        at = ids % FILTER_BITS
+        return (self.bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def parted(df, ids):
+    """(rows whose doc_id is surely not among `ids` (id), rows whose doc_id may be); rows without one are in the former.
+
+    The first part, most rows as a rule, needs no join to be told apart, so that its texts are not shuffled.
+    """
+    wanted = Wanted(ids)
+
+    @F.arrow_udf(BooleanType())
+    def among(own: pa.Array) -> pa.Array:
+        return pa.array(wanted(own.to_numpy(zero_copy_only=False)))
+
+    maybe = F.coalesce(F.col("doc_id").isNotNull() & among(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.lit(False))
+    return df.where(~maybe), df.where(maybe)
+
+
+def without(df, ids):
+    """The rows of df whose doc_id is not among `ids` (id); rows without a doc_id stay."""
+    others, maybe = parted(df, ids)
+    return others.unionByName(maybe.join(ids, maybe["doc_id"].cast("long") == ids["id"], "left_anti"))
+
+
 def confirmed(pairs, sets_of, percent):
     """Pairs (a, b) whose full sets overlap enough."""
     sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
