@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from postmill.llm.pairs import without
 from postmill.llm.registry import query, table
+from postmill.session import written
 
 RATE = 0.1
 GRAM = 8
@@ -227,8 +229,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, rate=RATE) -> Data
 
 def clean(documents: DataFrame, benchmark: DataFrame, rate=RATE) -> DataFrame:
     """The documents in which no benchmark item is found. Rows without a doc_id are judged by no id and stay."""
-    found = contamination(documents, benchmark, rate).select(F.col("doc_id").alias("_found")).distinct()
-    return documents.join(found, F.col("doc_id").cast("long") == F.col("_found"), "left_anti")
+    found = contamination(documents, benchmark, rate).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    return without(documents, written(found, "decontamination"))
 
 
 @query("op6_decontamination")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postmill.llm.pairs import united
+from postmill.llm.pairs import Wanted, parted, united
 from postmill.llm.registry import query, table
 from postmill.session import written
 
@@ -111,17 +111,6 @@ def lines_of(df: DataFrame) -> DataFrame:
 def _sets_of(df):
     """A function from items (id) to their shingle sets (id, own); a set is made once per item."""
 
-    def items_part(batches):
-        for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                rows += [(xxhash.xxh3_64_intdigest(x) - (1 << 63), x) for x in map(normal, (text.as_py() or "").encode().split(b"\n")) if x]
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["id", "line"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["id", "line"])
-
     def sets_part(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -133,7 +122,24 @@ def _sets_of(df):
                     [part.column("id"), pa.ListArray.from_arrays(ends, np.concatenate(own))], ["id", "own"])
 
     def sets_of(ids):
-        lines = df.select("text").mapInArrow(items_part, "id long, line binary").join(ids, "id", "left_semi")
+        wanted = Wanted(ids)
+
+        def items_part(batches):
+            for batch in batches:
+                lines, held = [], 0
+                for i, text in enumerate(batch.column("text")):
+                    lines += [x for x in map(normal, (text.as_py() or "").encode().split(b"\n")) if x]
+                    held += len(text.as_py())
+                    if held > BLOCK_BYTES or i + 1 == batch.num_rows:
+                        items = np.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines], np.int64)
+                        among = np.flatnonzero(wanted(items)) if len(items) else []
+                        if len(among):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(items[among]), pa.array([lines[k] for k in among], pa.binary())], ["id", "line"])
+                        lines, held = [], 0
+
+        # Wanted lines are found where the texts are read, so that few texts are shuffled.
+        lines = df.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(items_part, "id long, line binary")
         return written(lines.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(sets_part, "id long, own array<long>"),
                        "lines-sets")
 
@@ -173,12 +179,15 @@ def without_duplicates(df: DataFrame, percent=PERCENT, **columns) -> DataFrame:
     dropped = judged.groupBy("doc_id").agg(
         F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_dropped"), F.count_if("kept").alias("_left")).where(
         F.size("_dropped") > 0)
-    joined = df.join(dropped.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
+    dropped = written(dropped.withColumnRenamed("doc_id", "id"), "lines-dropped")
+    others, maybe = parted(df, dropped.where("id IS NOT NULL").select("id"))
+    nulls = others.where("doc_id IS NULL").unionByName(maybe)
+    joined = nulls.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left")
     lines = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("_dropped", at))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     out = joined.where("_left IS NULL OR _left > 0").withColumn("text", text)
     changed = {name: F.when(F.col("_dropped").isNull(), F.col(name)).otherwise(make(F.col("text"))) for name, make in columns.items()}
-    return out.withColumns(changed).select(*df.columns)
+    return others.where("doc_id IS NOT NULL").unionByName(out.withColumns(changed).select(*df.columns))
 
 
 @query("op9_line_dedup")

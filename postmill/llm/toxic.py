@@ -27,6 +27,8 @@ from postmill.llm.registry import query, table
 
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 20_000
+#: A smaller sample is not split in two.
+SMALL_SAMPLE = 300
 #: Training tokens: all lines with a labelled token, and clean lines up to as many tokens.
 TRAIN_TOKENS = 150_000
 #: A word or beginning marks tokens from this log ratio of document shares and this log-likelihood ratio (G) on.
@@ -130,7 +132,7 @@ def _logistic(rows, marks, ridge=1e-3, steps=40):
 
 
 def fit(docs):
-    """A model from [(text, toxic)], or None without both labels. The last third of the documents fits the score."""
+    """A model from [(text, toxic)], or None without both labels. The last third of the documents fits the score, all of a small sample."""
     if len({toxic for _, toxic in docs}) < 2:
         return None
     words = [[WORD.findall(line) for line in text.split("\n")] for text, _ in docs]
@@ -138,7 +140,7 @@ def fit(docs):
     marked = labelled_features([({f for line in lines for w in line for f in of[w]}, toxic) for lines, (_, toxic) in zip(words, docs)])
     hit = {w: any(f in marked for f in own) for w, own in of.items()}
     chains, clean, held = [], [], 0
-    for lines, (_, toxic) in list(zip(words, docs))[: max(2, 2 * len(docs) // 3)]:
+    for lines, (_, toxic) in list(zip(words, docs))[: len(docs) if len(docs) < SMALL_SAMPLE else 2 * len(docs) // 3]:
         for line in lines:
             if toxic and any(hit[w] for w in line):
                 chains.append((line, [hit[w] for w in line]))
@@ -153,7 +155,7 @@ def fit(docs):
         held, room = held + len(line), room - len(line)
     weights, bias, trans = crf.fit([([of[w] for w in line], marks) for line, marks in chains], bias=-4.0)
     model = Model(weights, bias, trans, np.zeros(4))
-    rest = docs[2 * len(docs) // 3:]
+    rest = docs if len(docs) < SMALL_SAMPLE else docs[2 * len(docs) // 3:]
     model.document = _logistic([_evidence(m) for m in model.tag([text for text, _ in rest])], [toxic for _, toxic in rest])
     model.known = {}
     return model
@@ -218,6 +220,25 @@ def score(df: DataFrame, model) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score_part, SCORED)
 
 
+def without_toxic(df: DataFrame, model, least=0.5) -> DataFrame:
+    """The rows of df whose text scores under `least`, with all their columns."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def keep_part(batches):
+        for batch in batches:
+            kept, block, held = [], [], 0
+            texts = batch.column("text")
+            for i in range(len(texts)):
+                block.append(texts[i].as_py())
+                held += len(block[-1] or "")
+                if held > BLOCK_CHARS or i + 1 == len(texts):
+                    kept += [sent.value.score(m) < least for m in sent.value.tag(block)] if sent.value else [True] * len(block)
+                    block, held = [], 0
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return df.mapInArrow(keep_part, df.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and spans per document."""
     scored = score(documents, fit(training_sample(documents, labels)))
