@@ -13,7 +13,7 @@ def _struct(*fields):
 ENTRIES = _struct(
     ("id", _S), ("mailing_id", _S), ("email", _S), ("token", _S), ("status", _S), ("attempts", _I),
     ("last_attempt", _TS), ("external_id", _S), ("invalid_reason", _S), ("validation_details", _S),
-    ("created_at", _TS), ("updated_at", _TS),
+    ("created_at", _TS), ("updated_at", _TS), ("next_attempt_at", _TS),
 )
 PROGRESS = _struct(
     ("mailing_id", _S), ("total_rows", _I), ("processed_rows", _I), ("last_processed_line", _I), ("status", _S),
@@ -21,7 +21,7 @@ PROGRESS = _struct(
 )
 DEAD_LETTERS = _struct(
     ("id", _S), ("mailing_id", _S), ("email", _S), ("reason", _S), ("attempts", _I), ("last_error", _S),
-    ("created_at", _TS), ("updated_at", _TS),
+    ("created_at", _TS), ("updated_at", _TS), ("kind", _S),
 )
 MAILINGS = _struct(
     ("id", _S), ("filename", _S), ("storage_url", _S), ("status", _S), ("attempts", _I), ("last_attempt", _TS),

@@ -23,17 +23,29 @@ def numbered_attempts(attempts: DataFrame, order=("ts", "event_id"), **options)
     return running(attempts, KEY, list(order), number="attempt_no", **options)
 
 
+def _with(table, joined, changed):
+    """The table's columns from `joined`, in their order, with the changed ones in place and new ones at the end."""
+    kept = [F.col(c) for c in KEY] + [changed[c].alias(c) if c in changed else F.col(c) for c in table.columns if c not in KEY]
+    return joined.select(*kept, *[c.alias(name) for name, c in changed.items() if name not in table.columns])
+
+
 def upsert_outcomes(entries: DataFrame, outcomes: DataFrame, order=("ts", "event_id")) -> DataFrame:
     """Next entries after send outcomes (mailing_id, email, token, status, external_id, reason, ts, ...).
 
-    A known recipient takes status and time of its last outcome and one more attempt per outcome; it keeps its token,
-    and its external id when the outcome has none. Reason and details stay only while the status is FAILED. Unknown
-    recipients are inserted. Both sides have one row per key when they meet.
+    The result is that of taking the outcomes one by one: a known recipient takes status and time of its last outcome and
+    one more attempt per outcome; it keeps its token, and takes the last external id that an outcome has, if any. Reason
+    and details stay only while the status is FAILED. An unknown recipient is inserted by its first outcome, which gives
+    its token and creation time. Other columns of the entries stay. Both sides have one row per key when they meet.
     """
-    last = latest_outcomes(outcomes, order).select(
-        *KEY, F.lit(True).alias("_hit"), F.col("status").alias("n_status"), F.col("token").alias("n_token"),
-        F.col("external_id").alias("n_external_id"), F.col("reason").alias("n_reason"), F.col("ts").alias("n_ts"),
-        "tries",
+    at = F.struct(*order)
+    folded = last_per_key(
+        outcomes, KEY, list(order), F.count("*").alias("tries"), F.min_by("token", at).alias("first_token"),
+        F.min_by("ts", at).alias("first_ts"),
+        F.max_by("external_id", F.when(F.col("external_id").isNotNull(), at)).alias("last_external_id"))
+    last = folded.select(
+        *KEY, F.lit(True).alias("_hit"), F.col("status").alias("n_status"), F.col("first_token").alias("n_token"),
+        F.col("first_ts").alias("n_first_ts"), F.col("last_external_id").alias("n_external_id"),
+        F.col("reason").alias("n_reason"), F.col("ts").alias("n_ts"), "tries",
     )
     hit, new = F.coalesce("_hit", F.lit(False)), F.col("id").isNull()
     status, reason = F.col("n_status"), F.col("n_reason")
@@ -49,15 +61,17 @@ def upsert_outcomes(entries: DataFrame, outcomes: DataFrame, order=("ts", "event
             _column(entries, "invalid_reason", "string")),
         "validation_details": F.when(hit, texts.failure_details(status, reason)).otherwise(
             _column(entries, "validation_details", "string")),
-        "created_at": F.when(new, F.col("n_ts")).otherwise(F.col("created_at")),
+        "created_at": F.when(new, F.col("n_first_ts")).otherwise(F.col("created_at")),
         "updated_at": F.when(hit, F.col("n_ts")).otherwise(_column(entries, "updated_at", "timestamp_ntz")),
     }
-    joined = entries.join(last, KEY, "full_outer")
-    return joined.select(*KEY, *[c.alias(name) for name, c in changed.items()])
+    return _with(entries, entries.join(last, KEY, "full_outer"), changed)
 
 
 def upsert_invalid(entries: DataFrame, rejected: DataFrame, as_of) -> DataFrame:
-    """Next entries after rejected addresses (mailing_id, email, reason, details), whatever their status was."""
+    """Next entries after rejected addresses (mailing_id, email, reason, details), whatever their status was.
+
+    Columns that a rejection does not touch, such as external_id and next_attempt_at, stay.
+    """
     now = F.lit(as_of).cast("timestamp_ntz")
     marks = rejected.groupBy(*KEY).agg(F.min(F.struct("reason", "details")).alias("_r")).select(
         *KEY, F.coalesce(F.nullif(F.col("_r.reason"), F.lit("")), F.lit("Unknown")).alias("n_reason"),
@@ -65,21 +79,18 @@ def upsert_invalid(entries: DataFrame, rejected: DataFrame, as_of) -> DataFrame:
                            F.col("_r.details").alias("details"))).alias("n_details"),
     )
     hit, new = F.col("n_reason").isNotNull(), F.col("id").isNull()
-    joined = entries.join(marks, KEY, "full_outer")
-    return joined.select(
-        *KEY,
-        F.coalesce(F.col("id").cast("string"), keys.row_id(F.lit("entry"), F.col("mailing_id"), F.col("email")))
-        .alias("id"),
-        F.when(new, "").otherwise(_column(entries, "token", "string")).alias("token"),
-        F.when(hit, "INVALID").otherwise(F.col("status")).alias("status"),
-        F.coalesce("attempts", F.lit(0)).alias("attempts"),
-        "last_attempt",
-        F.when(hit, F.col("n_reason")).otherwise(_column(entries, "invalid_reason", "string")).alias("invalid_reason"),
-        F.when(hit, F.col("n_details")).otherwise(_column(entries, "validation_details", "string"))
-        .alias("validation_details"),
-        F.when(new, now).otherwise(F.col("created_at")).alias("created_at"),
-        F.when(hit, now).otherwise(_column(entries, "updated_at", "timestamp_ntz")).alias("updated_at"),
-    )
+    changed = {
+        "id": F.coalesce(F.col("id").cast("string"), keys.row_id(F.lit("entry"), F.col("mailing_id"), F.col("email"))),
+        "token": F.when(new, "").otherwise(_column(entries, "token", "string")),
+        "status": F.when(hit, "INVALID").otherwise(F.col("status")),
+        "attempts": F.coalesce("attempts", F.lit(0)),
+        "last_attempt": F.col("last_attempt"),
+        "invalid_reason": F.when(hit, F.col("n_reason")).otherwise(_column(entries, "invalid_reason", "string")),
+        "validation_details": F.when(hit, F.col("n_details")).otherwise(_column(entries, "validation_details", "string")),
+        "created_at": F.when(new, now).otherwise(F.col("created_at")),
+        "updated_at": F.when(hit, now).otherwise(_column(entries, "updated_at", "timestamp_ntz")),
+    }
+    return _with(entries, entries.join(marks, KEY, "full_outer"), changed)
 
 
 def count_attempts(table: DataFrame, failures: DataFrame, on, order, error="error") -> DataFrame:
@@ -141,15 +152,18 @@ def dead_letters(stepped: DataFrame) -> DataFrame:
 
 
 def apply_failures(entries: DataFrame, stepped: DataFrame, order=("ts", "event_id")) -> DataFrame:
-    """Next entries: the last failure of a recipient sets its status and earliest next attempt."""
+    """Next entries: the last failure of a recipient sets its status and earliest next attempt; others keep theirs."""
     last = last_per_key(stepped.select(*KEY, *order, "next_status", "next_attempt_at", "attempt"), KEY, list(order))
-    last = last.select(*KEY, "next_status", "next_attempt_at", F.col("attempt").alias("_attempt"),
+    last = last.select(*KEY, "next_status", F.col("next_attempt_at").alias("_next"), F.col("attempt").alias("_attempt"),
                        F.col("ts").alias("_ts"))
+    waits = F.when(F.col("next_status").isNotNull(), F.col("_next")).otherwise(
+        _column(entries, "next_attempt_at", "timestamp_ntz"))
     return entries.join(last, KEY, "left").withColumns({
         "status": F.coalesce("next_status", "status"),
         "attempts": F.coalesce("_attempt", "attempts"),
         "last_attempt": F.coalesce("_ts", "last_attempt"),
-    }).drop("_attempt", "_ts", "next_status")
+        "next_attempt_at": waits,
+    }).drop("_attempt", "_ts", "_next", "next_status")
 
 
 def ready(entries: DataFrame, as_of) -> DataFrame:

@@ -9,6 +9,8 @@ from postmill.plans import views as v
 from postmill.plans.reading import DEAD, attempts_of, entries_of
 from postmill.plans.registry import query
 from postmill.plans.views import sql
+from postmill.session import new_folder
+from postmill.sources import tables
 
 
 def outcomes_of(spark, sf_dir):
@@ -191,13 +193,16 @@ def attempt_numbers(spark, sf_dir):
 
 UPSERT = """
 SELECT coalesce(k.mailing_id, n.mailing_id) AS mailing_id, coalesce(k.email, n.email) AS email,
- coalesce(k.token, n.token) AS token, coalesce(n.status, k.status) AS status,
+ coalesce(k.token, n.first_token) AS token, coalesce(n.status, k.status) AS status,
  CAST(coalesce(k.attempts, 0) + coalesce(n.tries, 0) AS INT) AS attempts, coalesce(n.ts, k.last_attempt) AS last_attempt,
- coalesce(n.external_id, k.external_id) AS external_id,
+ coalesce(n.any_external_id, k.external_id) AS external_id,
  CASE WHEN n.email IS NULL THEN k.invalid_reason WHEN n.status = 'FAILED' THEN substr(n.reason, 1, 50) END
- AS invalid_reason, coalesce(k.created_at, n.ts) AS created_at
-FROM known k FULL JOIN (SELECT *, row_number() OVER (PARTITION BY mailing_id, email ORDER BY ts DESC, event_id DESC)
-  AS rn, count(*) OVER (PARTITION BY mailing_id, email) AS tries FROM outcomes QUALIFY rn = 1) n
+ AS invalid_reason, CASE WHEN n.status = 'FAILED' THEN '{"error":"' || n.reason || '"}' END AS validation_details,
+ coalesce(k.created_at, n.first_ts) AS created_at, coalesce(n.ts, k.created_at) AS updated_at
+FROM known k FULL JOIN (SELECT *, row_number() OVER (w ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER w AS tries,
+  first(token) OVER (w ORDER BY ts, event_id) AS first_token, first(ts) OVER (w ORDER BY ts, event_id) AS first_ts,
+  last(external_id IGNORE NULLS) OVER (w ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+  AS any_external_id FROM outcomes WINDOW w AS (PARTITION BY mailing_id, email) QUALIFY rn = 1) n
  ON n.mailing_id = k.mailing_id AND n.email = k.email"""
 
 
@@ -205,7 +210,28 @@ FROM known k FULL JOIN (SELECT *, row_number() OVER (PARTITION BY mailing_id, em
 def upsert_outcomes(spark, sf_dir):
     out = D.upsert_outcomes(known_of(spark, sf_dir), outcomes_of(spark, sf_dir))
     return out.select("mailing_id", "email", "token", "status", "attempts", "last_attempt", "external_id",
-                      "invalid_reason", "created_at")
+                      "invalid_reason", "validation_details", "created_at", "updated_at")
+
+
+@query("store_roundtrip", "T08 S07", sql(v.SEND_ATTEMPTS, v.CLASSIFIED, v.KNOWN, body="""
+SELECT k.mailing_id, k.email, k.external_id,
+ coalesce(CASE WHEN f.should_retry THEN 'PENDING' WHEN f.event_id IS NOT NULL THEN 'FAILED' END, k.status) AS status,
+ CASE WHEN f.should_retry THEN f.ts + (f.delay_ms // 1000) * INTERVAL '1' SECOND END AS next_attempt_at,
+ f.should_retry IS NOT NULL AND f.should_retry
+  AND f.ts + (f.delay_ms // 1000) * INTERVAL '1' SECOND <= TIMESTAMP '2024-01-15 12:00:00' AS ready
+FROM known k LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY mailing_id, email ORDER BY ts DESC, event_id DESC)
+ AS rn FROM decided WHERE NOT success) f ON f.mailing_id = k.mailing_id AND f.email = k.email AND f.rn = 1"""))
+def store_roundtrip(spark, sf_dir):
+    """Failures applied twice with the entries stored in between, then what is ready at a given time."""
+    path, stepped = new_folder(spark, "roundtrip"), D.failure_step(attempts_of(spark, sf_dir))
+    tables.append(D.apply_failures(known_of(spark, sf_dir), stepped), path, "mailing_entries")
+    again = D.apply_failures(tables.read_table(spark, path, "mailing_entries").drop("bucket"), stepped)
+    second = new_folder(spark, "roundtrip")
+    tables.append(again, second, "mailing_entries")
+    stored = tables.read_table(spark, second, "mailing_entries")
+    due = D.ready(stored, "2024-01-15 12:00:00").select("mailing_id", "email", F.lit(True).alias("ready"))
+    return stored.join(due, ["mailing_id", "email"], "left").select(
+        "mailing_id", "email", "external_id", "status", "next_attempt_at", F.coalesce("ready", F.lit(False)).alias("ready"))
 
 
 STORED_AND_BAD = """stored AS (SELECT mailing_id, email, min(line_no) AS id FROM checked WHERE email <> '' AND line_no % 3 = 0

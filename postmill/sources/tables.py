@@ -38,6 +38,10 @@ def of_mailing(table: DataFrame, mailing_id) -> DataFrame:
 
 
 def _placed(df, name):
+    """The table's columns; missing ones are null, and a column that the table does not have is an error."""
+    unknown = [c for c in df.columns if c not in model.TABLES[name].names and c != "bucket"]
+    if unknown:
+        raise ValueError(f"{name} has no column {', '.join(unknown)}")
     kept = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
             else F.lit(None).cast(f.dataType).alias(f.name) for f in model.TABLES[name].fields]
     out = df.select(*kept)

@@ -241,3 +241,40 @@ def test_removal(spark):
     left = C.purge(gone, mailing_entries=entries, mailings=mailings)
     assert [r.mailing_id for r in left["mailing_entries"].collect()] == ["n"]
     assert [r.id for r in left["mailings"].collect()] == ["n"]
+
+
+def test_outcomes_at_once_are_like_one_by_one(spark):
+    schema = "event_id int, ts timestamp_ntz, mailing_id string, email string, token string, status string, external_id string, reason string"
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    rows = [(1, at(1), "m", "a@x", "n1", "FAILED", None, "why"), (2, at(2), "m", "a@x", "n2", "SENT", "msg-3", None),
+            (3, at(3), "m", "a@x", "n3", "FAILED", None, "again"), (4, at(2), "m", "b@x", "n4", "SENT", "msg-1", None),
+            (5, at(4), "m", "b@x", "n5", "FAILED", None, "late")]
+    entries = spark.createDataFrame(
+        [("7", "m", "b@x", "old", "SENDING", 1, None, at(9))],
+        "id string, mailing_id string, email string, token string, status string, attempts int, last_attempt timestamp_ntz, next_attempt_at timestamp_ntz"
+    ).withColumn("created_at", F.lit(at(0)))
+    at_once, single = D.upsert_outcomes(entries, spark.createDataFrame(rows, schema)), entries
+    for row in rows:
+        single = D.upsert_outcomes(single, spark.createDataFrame([row], schema))
+    wanted = ["email", "id", "token", "status", "attempts", "external_id", "invalid_reason", "created_at", "last_attempt", "next_attempt_at"]
+    got = sorted(map(tuple, at_once.select(wanted).collect()))
+    assert got == sorted(map(tuple, single.select(wanted).collect()))
+    assert [(r[0], r[2], r[5], r[7], r[9]) for r in got] == [
+        ("a@x", "n1", "msg-3", at(1), None), ("b@x", "old", "msg-1", at(0), at(9))]
+
+
+def test_a_rejection_keeps_other_columns(spark):
+    stored = spark.createDataFrame(
+        [("1", "m", "a@x", "t", "SENT", 1, "ext", 5), ("2", "m", "b@x", "t", "SENT", 1, "ext2", 6)],
+        "id string, mailing_id string, email string, token string, status string, attempts int, external_id string, next_attempt_at int"
+    ).withColumns({"last_attempt": F.lit(None).cast("timestamp_ntz"), "created_at": F.lit(None).cast("timestamp_ntz")})
+    bad = spark.createDataFrame([("m", "a@x", "why", "more")], "mailing_id string, email string, reason string, details string")
+    out = {r.email: (r.status, r.external_id, r.next_attempt_at) for r in D.upsert_invalid(stored, bad, NOW).collect()}
+    assert out == {"a@x": ("INVALID", "ext", 5), "b@x": ("SENT", "ext2", 6)}
+
+
+def test_unknown_columns_are_not_dropped_silently(spark, tmp_path):
+    from postmill.sources import tables
+
+    with pytest.raises(ValueError, match="colour"):
+        tables.append(spark.createDataFrame([("m", "red")], "mailing_id string, colour string"), str(tmp_path), "mailing_entries")
