@@ -31,24 +31,24 @@ def parsed(payload: Column) -> Column:
     return F.from_json(payload, model.PAYLOAD)
 
 
+def _merged(payload: Column, **values) -> Column:
+    """The payload's JSON object with some keys set; other keys stay as they are, null values are not set."""
+    whole = F.from_json(payload, "map<string,variant>")
+    given = F.map_from_entries(F.array(*[
+        F.struct(F.lit(k).alias("key"), F.to_json(F.struct(value.alias("v"))).alias("value")) for k, value in values.items()]))
+    # A null field leaves no key in its one-field object.
+    given = F.map_filter(given, lambda k, v: v != "{}")
+    given = F.transform_values(given, lambda k, v: F.variant_get(F.parse_json(v), "$.v", "variant"))
+    kept = F.map_filter(whole, lambda k, v: ~F.map_contains_key(given, k))
+    return F.to_json(F.map_concat(kept, given), {"ignoreNullFields": "false"})
+
+
 def retry_payload(payload: Column, attempt: Column, error: Column, at: Column) -> Column:
-    fields = (
-        parsed(payload)
-        .withField("attempt", attempt.cast("int"))
-        .withField("lastError", error)
-        .withField("retriedAt", iso_text(at))
-    )
-    return F.to_json(fields)
+    return _merged(payload, attempt=attempt.cast("int"), lastError=error, retriedAt=iso_text(at))
 
 
 def dead_payload(payload: Column, error: Column, at: Column, attempts: Column) -> Column:
-    fields = (
-        parsed(payload)
-        .withField("finalError", error)
-        .withField("movedToDLQAt", iso_text(at))
-        .withField("totalAttempts", attempts.cast("int"))
-    )
-    return F.to_json(fields)
+    return _merged(payload, finalError=error, movedToDLQAt=iso_text(at), totalAttempts=attempts.cast("int"))
 
 
 def response(body: Column) -> Column:

@@ -93,6 +93,20 @@ def upsert_invalid(entries: DataFrame, rejected: DataFrame, as_of) -> DataFrame:
     return _with(entries, entries.join(marks, KEY, "full_outer"), changed)
 
 
+def claim_entries(entries: DataFrame, claims: DataFrame) -> DataFrame:
+    """Next entries after workers took them up (claims: mailing_id, email, attempt, ts): SENDING, with the number and time
+    of the attempt. Entries that are already SENT stay; of several claims the one with the highest attempt counts.
+    """
+    taken = claims.groupBy(*KEY).agg(F.max(F.struct("attempt", "ts")).alias("_c"))
+    hit = F.col("_c").isNotNull() & (F.col("status") != "SENT")
+    return entries.join(taken, KEY, "left").withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumns({
+        "status": F.when(F.col("_hit"), "SENDING").otherwise(F.col("status")),
+        "attempts": F.when(F.col("_hit"), F.col("_c.attempt").cast("int")).otherwise(F.col("attempts")),
+        "last_attempt": F.when(F.col("_hit"), F.col("_c.ts")).otherwise(F.col("last_attempt")),
+        "updated_at": F.when(F.col("_hit"), F.col("_c.ts")).otherwise(_column(entries, "updated_at", "timestamp_ntz")),
+    }).drop("_c", "_hit")
+
+
 def count_attempts(table: DataFrame, failures: DataFrame, on, order, error="error") -> DataFrame:
     """Add one attempt per failure row, with the time and text of the last one. failures: key, ts, error."""
     on = list(on)

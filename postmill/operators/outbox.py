@@ -198,6 +198,19 @@ def publish_decision(outbox, results, as_of, max_attempts=K.OUTBOX_MAX_ATTEMPTS)
     }).drop("_ok", "_error")
 
 
+def publish_batch(outbox: DataFrame, results, as_of, size=K.OUTBOX_BATCH, max_attempts=K.OUTBOX_MAX_ATTEMPTS) -> DataFrame:
+    """One poll: the decision on the `size` oldest unpublished messages. Failed ones stay unpublished for a later poll."""
+    due = outbox.where(~F.col("published")).orderBy("created_at", "id").limit(size)
+    return publish_decision(due, results, as_of, max_attempts)
+
+
+def count_lines(mailings: DataFrame, progress: DataFrame) -> DataFrame:
+    """Next mailings with the number of lines handled so far (progress: mailing_id, processed_lines; the highest counts)."""
+    seen = progress.groupBy(F.col("mailing_id").alias("id")).agg(F.max("processed_lines").alias("_lines"))
+    return mailings.join(seen, "id", "left").withColumn(
+        "processed_lines", F.coalesce(F.col("_lines").cast("int"), F.col("processed_lines"))).drop("_lines")
+
+
 def split_published(decided: DataFrame, as_of):
     """(next outbox, outbox dead letters): a dead letter is copied over and leaves the outbox."""
     dead = decided.where(F.col("outcome") == "dead_letter").select(

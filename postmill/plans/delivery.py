@@ -213,6 +213,18 @@ def upsert_outcomes(spark, sf_dir):
                       "invalid_reason", "validation_details", "created_at", "updated_at")
 
 
+@query("claim_entries", "T15", sql(v.SEND_ATTEMPTS, v.KNOWN, body="""
+SELECT k.id, k.mailing_id, k.email, CASE WHEN c.attempt IS NOT NULL THEN 'SENDING' ELSE k.status END AS status,
+ CAST(coalesce(c.attempt, k.attempts) AS INT) AS attempts, coalesce(c.ts, k.last_attempt) AS last_attempt
+FROM known k LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY mailing_id, email ORDER BY attempt DESC, ts DESC) AS rn
+ FROM send_attempts WHERE event_id % 3 = 0) c ON c.mailing_id = k.mailing_id AND c.email = k.email AND c.rn = 1"""))
+def claim_entries(spark, sf_dir):
+    """Entries that workers took up for an attempt."""
+    claims = attempts_of(spark, sf_dir).where(F.col("event_id") % 3 == 0)
+    return D.claim_entries(known_of(spark, sf_dir), claims).select(
+        "id", "mailing_id", "email", "status", "attempts", "last_attempt")
+
+
 @query("store_roundtrip", "T08 S07", sql(v.SEND_ATTEMPTS, v.CLASSIFIED, v.KNOWN, body="""
 SELECT k.mailing_id, k.email, k.external_id,
  coalesce(CASE WHEN f.should_retry THEN 'PENDING' WHEN f.event_id IS NOT NULL THEN 'FAILED' END, k.status) AS status,

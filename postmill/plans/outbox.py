@@ -151,6 +151,27 @@ def publish_step(spark, sf_dir):
         "id", "mailing_id", "outcome", "published", "published_at", "attempts", "last_error")
 
 
+@query("count_lines", "T16", sql(v.MAILINGS, body="""
+SELECT id, CASE WHEN id % 3 = 0 THEN total_lines // 2 + 1 ELSE processed_lines END AS processed_lines FROM mailings"""))
+def count_lines(spark, sf_dir):
+    """Lines handled so far, reported after some lines and again later."""
+    mailings = mailings_of(spark, sf_dir)
+    half = mailings.where(F.col("id") % 3 == 0).select(
+        F.col("id").alias("mailing_id"), F.floor(F.col("total_lines") / 2).alias("processed_lines"))
+    reports = half.unionByName(half.withColumn("processed_lines", F.col("processed_lines") + 1))
+    return ob.count_lines(mailings, reports).select("id", "processed_lines")
+
+
+@query("publish_batch", "T17", sql(v.OUTBOX, v.PUBLISH_RESULTS, DECIDED, body="""
+SELECT id, outcome, attempts + CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END AS attempts
+FROM judged WHERE NOT published ORDER BY created_at, id LIMIT 10"""))
+def publish_batch(spark, sf_dir):
+    """The ten oldest unpublished messages, as one poll takes them."""
+    messages = v.outbox_from(v.table(spark, sf_dir, "part"))
+    results = v.publish_results_from(v.table(spark, sf_dir, "part"))
+    return ob.publish_batch(messages, results, v.AS_OF_2024).select("id", "outcome", "attempts")
+
+
 @query("move_dead_messages", "U03 T10", sql(v.OUTBOX, v.PUBLISH_RESULTS, DECIDED, body="""
 SELECT 'outbox' AS side, id AS message_id, mailing_id, attempts + CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END
  AS attempts, CASE WHEN outcome = 'failed' THEN new_error ELSE last_error END AS error

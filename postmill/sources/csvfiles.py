@@ -1,5 +1,6 @@
 """Recipient CSV files in any of the known encodings and layouts."""
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -97,18 +98,16 @@ def read_csv(spark: SparkSession, paths, options=CsvOptions(), encoding="UTF-8",
     return (reader.schema(schema) if schema else reader).csv(paths)
 
 
-def email_cell(df: DataFrame, options=CsvOptions()):
-    """The address cell by exact header text or position; null when the file has no such column."""
-    names = [c for c in df.columns if not c.startswith("_metadata")]
+def header_cells(line, delimiter=","):
+    """The cells of a header line, trimmed."""
+    return [cell.strip() for cell in next(csv.reader([line], delimiter=delimiter), [])]
+
+
+def email_place(cells, options=CsvOptions()):
+    """Position of the address cell by exact header text or by index; None when there is no such column."""
     if options.has_header:
-        if options.email_column not in names:
-            return F.lit(None).cast("string")
-        at = names.index(options.email_column)
-    else:
-        at = options.email_index
-        if at >= len(names):
-            return F.lit(None).cast("string")
-    return df[names[at]] if names.count(names[at]) == 1 else F.col(names[at])
+        return cells.index(options.email_column) if options.email_column in cells else None
+    return options.email_index if options.email_index < len(cells) else None
 
 
 def read_recipients(spark: SparkSession, paths, mailing_id, options=CsvOptions()) -> DataFrame:
@@ -128,10 +127,15 @@ def read_recipients(spark: SparkSession, paths, mailing_id, options=CsvOptions()
         own = row["path"] if len(line) >= HEADER_BYTES // 4 else ""
         groups.setdefault((coding, layout, own), []).append(row["path"])
     out = None
-    for (coding, _, _), files in sorted(groups.items()):
-        df = read_csv(spark, sorted(files), options, coding)
+    for (coding, layout, _), files in sorted(groups.items()):
+        cells = header_cells(layout, options.delimiter) if options.has_header else [""] * (int(layout) + 1)
+        place = email_place(cells, options)
+        # Cells are read by position: Spark would rename headers that differ in case only.
+        schema = ", ".join(f"_c{i} string" for i in range(max(1, len(cells))))
+        df = read_csv(spark, sorted(files), options, coding, schema)
+        cell = F.lit(None).cast("string") if place is None else df[f"_c{place}"]
         part = df.select(
-            email_cell(df, options).alias("raw_email"), F.col("_metadata.file_path").alias("source_file"),
+            cell.alias("raw_email"), F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("row_key"),
         )
         out = part if out is None else out.unionByName(part)

@@ -26,17 +26,18 @@ def dedupe_within(rows: DataFrame, time, delay, on=KEY) -> DataFrame:
 
 
 def store_unseen(rows: DataFrame, out, checkpoint, on=KEY, **options):
-    """Store each key once without stream state: copies inside a micro-batch are combined before the shuffle, stored
-    keys are excluded by an anti join. A repeated micro-batch ignores what it had stored itself."""
+    """Store each key once without stream state: copies inside a micro-batch are combined before the shuffle, and keys that
+    any other micro-batch of any run has stored are excluded by an anti join. A repeated micro-batch ignores what it had
+    stored itself, and a run with a new checkpoint adds only keys that earlier runs have not stored."""
     on = list(on)
     rest = [c for c in rows.columns if c not in on]
 
     def fresh(batch, batch_id):
-        once = batch.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_r")).select(*on, "_r.*")
-        if batch_id == 0:
+        once = batch.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_r")).select(*on, "_r.*") if rest else batch.distinct()
+        if not runner.anything_stored(batch.sparkSession, out):
             return once
-        seen = runner.stored(batch.sparkSession, out).where(F.col("batch") < batch_id).select(*on)
-        return once.join(seen, on, "left_anti")
+        own = (F.col("run").cast("string") == runner.run_of(batch)) & (F.col("batch") == batch_id)
+        return once.join(runner.stored(batch.sparkSession, out).where(~own).select(*on), on, "left_anti")
 
     return runner.to_batches(rows, out, checkpoint, fresh, **options)
 

@@ -49,15 +49,21 @@ def to_files(stream: DataFrame, out, checkpoint, trigger=None):
     return _start(stream, stream.writeStream.format("parquet").outputMode("append"), checkpoint, trigger, out)
 
 
+def run_of(batch: DataFrame) -> str:
+    """The id of the streaming query that a micro-batch belongs to; it lives in the checkpoint and survives restarts."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def to_batches(stream: DataFrame, out, checkpoint, work=None, mode="append", trigger=None):
-    """Write work(batch, batch_id) of every micro-batch to its own folder out/batch=<id>.
+    """Write work(batch, batch_id) of every micro-batch to a folder of its own, out/run=<query>/batch=<id>.
 
-    A micro-batch that runs again after a failure overwrites its own folder, so nothing is stored twice.
+    A micro-batch that runs again after a failure overwrites its own folder, so nothing is stored twice. A query with a
+    new checkpoint is a new run, so it never replaces what an earlier one has stored.
     """
 
     def store(batch, batch_id):
         result = batch if work is None else work(batch, batch_id)
-        result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        result.write.mode("overwrite").parquet(f"{out}/run={run_of(batch)}/batch={batch_id}")
 
     return _start(stream, stream.writeStream.foreachBatch(store).outputMode(mode), checkpoint, trigger)
 
@@ -71,7 +77,13 @@ def finish(query):
 def stored(spark: SparkSession, out, schema=None) -> DataFrame:
     """What the batches have written so far."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.option("basePath", out).parquet(f"{out}/batch=*")
+    return reader.option("basePath", out).parquet(f"{out}/run=*/batch=*")
+
+
+def anything_stored(spark: SparkSession, out) -> bool:
+    """Whether some batch has written into the folder."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/run=*/batch=*")
+    return bool(pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern))
 
 
 def combine_last(stream: DataFrame, keys, order) -> DataFrame:

@@ -193,3 +193,11 @@ def test_event_log_schema_reads_other_events(spark, tmp_path):
     log = messages.known_events(messages.read_log(spark, str(tmp_path)))
     assert sorted((r.event, r.processedRows, r.staleJobs) for r in log.collect()) == [
         ("crash.recovery", None, 3), ("csv.progress", 5, None)]
+
+
+def test_headers_that_differ_in_case_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Email,email,name\nX@no.org,u@x.org,n\n")
+    (tmp_path / "b.csv").write_text("name, email \nn,v@x.org\n")
+    (tmp_path / "c.csv").write_text("Email,name\nw@x.org,n\n")
+    rows = C.read_recipients(spark, str(tmp_path), "m")
+    assert sorted((r.raw_email or "") for r in rows.collect()) == ["", "u@x.org", "v@x.org"]

@@ -9,7 +9,7 @@ import compare
 from postmill.plans.registry import OPERATORS, QUERIES
 
 SF = "/root/testdata/sf0.001"
-INVENTORY = {"S": 12, "P": 26, "F": 12, "J": 10, "A": 22, "W": 6, "O": 6, "U": 3, "T": 14}
+INVENTORY = {"S": 12, "P": 26, "F": 12, "J": 10, "A": 22, "W": 6, "O": 6, "U": 3, "T": 17}
 
 
 @pytest.fixture(scope="module")

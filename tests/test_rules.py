@@ -133,7 +133,7 @@ def test_payloads(spark):
     again, dead = one(spark, payload.retry_payload(F.lit(text), F.lit(1), F.lit("boom"), at),
                       payload.dead_payload(F.lit(text), F.lit("boom"), at, F.lit(3)))
     assert json.loads(again)["attempt"] == 1 and json.loads(again)["lastError"] == "boom"
-    assert json.loads(dead) == {"mailingId": "m", "filename": "f.csv", "attempt": 0, "createdAt": "2024-01-02T03:04:05.000Z",
+    assert json.loads(dead) == {"mailingId": "m", "filename": "f.csv", "storageUrl": None, "attempt": 0, "createdAt": "2024-01-02T03:04:05.000Z",
                                 "finalError": "boom", "movedToDLQAt": "2024-01-02T03:04:05.000Z", "totalAttempts": 3}
 
 
@@ -155,3 +155,16 @@ def test_failure_reason_only_when_failed(spark):
                texts.failure_details(F.lit("FAILED"), F.lit("a")), texts.failure_details(F.lit("SENT"), F.lit("a")),
                texts.audit_text(F.lit(None).cast("int"), F.lit("down"))) == (
         "x" * 50, None, '{"error":"a"}', None, "[N/A] down")
+
+
+def test_payload_updates_keep_unknown_keys_and_nulls(spark):
+
+    from postmill.functions import payload
+
+    text = '{"mailingId":"7","storageUrl":null,"extra":{"a":[1,2.5]},"attempt":0,"lastError":"old"}'
+    row = spark.createDataFrame([(text, "why", None)], "p string, e string, none string").select(
+        payload.retry_payload(F.col("p"), F.lit(2), F.col("e"), F.lit(None).cast("timestamp")).alias("a"),
+        payload.dead_payload(F.col("p"), F.col("none"), F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit(3)).alias("b")).first()
+    assert json.loads(row.a) == {"mailingId": "7", "storageUrl": None, "extra": {"a": [1, 2.5]}, "attempt": 2, "lastError": "why"}
+    assert json.loads(row.b) == {"mailingId": "7", "storageUrl": None, "extra": {"a": [1, 2.5]}, "attempt": 0, "lastError": "old",
+                                 "movedToDLQAt": "2024-01-01T00:00:00.000Z", "totalAttempts": 3}
