@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postmill.llm.pairs import without
-from postmill.llm.registry import query, table
+from postmill.llm.registry import Sent, query, table
 from postmill.session import written
 
 RATE = 0.1
@@ -190,10 +190,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, rate=RATE) -> Data
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], MATCHES)
     for block in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(Items(block, rate))  # at most a block of the benchmark
+        sent = Sent(spark, Items(block, rate))  # at most a block of the benchmark
 
         def search_part(batches, sent=sent):
-            items = sent.value
+            items = sent.get()
             for batch in batches:
                 ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text"), []
                 joint, owners, held = [], [], 0

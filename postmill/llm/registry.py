@@ -1,5 +1,7 @@
 """Where the operator modules of this subpackage put their queries and SQL twins."""
 
+from pyspark import cloudpickle
+
 QUERIES = {}
 ORACLES = {}
 
@@ -18,5 +20,16 @@ def query(name, sql=None):
     return put
 
 
+class Sent:
+    """An object sent to all tasks once, together with the code of its class, so that workers need not have this package."""
+
+    def __init__(self, spark, value):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        """The object; ask once per task."""
+        return cloudpickle.loads(self.data.value)
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postmill.llm import crf
-from postmill.llm.registry import query, table
+from postmill.llm.registry import Sent, query, table
 
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 20_000
@@ -182,7 +182,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, docs=TRAIN_DOCS, ch
 
 def score(df: DataFrame, model) -> DataFrame:
     """doc_id, score and spans (character offsets of runs of toxic tokens, with their largest probability)."""
-    model = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    sent = Sent(df.sparkSession, model)  # bounded by the training sample
 
     def spans_of(text, marginals):
         out, at = [], 0
@@ -201,6 +201,7 @@ def score(df: DataFrame, model) -> DataFrame:
         return out
 
     def score_part(batches):
+        model = sent.get()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
             scores, spans, block, held = [], [], [], 0
@@ -209,9 +210,9 @@ def score(df: DataFrame, model) -> DataFrame:
                 block.append(texts[i].as_py())
                 held += len(block[-1] or "")
                 if held > BLOCK_CHARS or i + 1 == len(texts):
-                    tagged = model.value.tag(block) if model.value else [np.zeros(0) for _ in block]
+                    tagged = model.tag(block) if model else [np.zeros(0) for _ in block]
                     for text, m in zip(block, tagged):
-                        scores.append(model.value.score(m) if model.value else 0.0)
+                        scores.append(model.score(m) if model else 0.0)
                         spans.append(spans_of(text, m) if len(m) and m.max() >= SPAN else [])
                     block, held = [], 0
             yield pa.RecordBatch.from_arrays(
@@ -222,9 +223,10 @@ def score(df: DataFrame, model) -> DataFrame:
 
 def without_toxic(df: DataFrame, model, least=0.5) -> DataFrame:
     """The rows of df whose text scores under `least`, with all their columns."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(df.sparkSession, model)
 
     def keep_part(batches):
+        model = sent.get()
         for batch in batches:
             kept, block, held = [], [], 0
             texts = batch.column("text")
@@ -232,7 +234,7 @@ def without_toxic(df: DataFrame, model, least=0.5) -> DataFrame:
                 block.append(texts[i].as_py())
                 held += len(block[-1] or "")
                 if held > BLOCK_CHARS or i + 1 == len(texts):
-                    kept += [sent.value.score(m) < least for m in sent.value.tag(block)] if sent.value else [True] * len(block)
+                    kept += [model.score(m) < least for m in model.tag(block)] if model else [True] * len(block)
                     block, held = [], 0
             yield batch.filter(pa.array(kept, pa.bool_()))
 
