@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType
 
 from postmill.llm.pairs import Wanted, parted, united
 from postmill.llm.registry import query, table
@@ -27,7 +28,8 @@ BINS = BANDS * ROWS
 #: Items that a task remembers, so that a repeated line enters the candidate search once per task.
 KEPT_LINES = 500_000
 BLOCK_BYTES = 1 << 20
-LINES = "doc_id long, line_no int, item long, keys array<long>"
+LINES = "doc_id long, line_no int, item long"
+KINDS = (pa.int64(), pa.int32(), pa.int64())
 
 
 def normal(line):
@@ -67,49 +69,90 @@ def band_keys(lines):
         (full - np.arange(BINS)).astype(np.uint64) << np.uint64(32))
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), BANDS))
     for row in range(ROWS):
-        keys = _mixed(keys) + values[:, row::ROWS]
+        # Bins far apart, since neighbours may have borrowed from the same one.
+        keys = _mixed(keys) + values[:, row * BANDS:(row + 1) * BANDS]
     return _mixed(keys).view(np.int64)
 
 
+def _items(text):
+    """(line number, item, line in normal form) of the lines of a text that are not blank."""
+    for number, line in enumerate((text or "").encode().split(b"\n")):
+        if line := normal(line):
+            yield number, xxhash.xxh3_64_intdigest(line) - (1 << 63), line
+
+
 def lines_of(df: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), item and band keys of every line that is not blank; keys once per item and task at least."""
+    """doc_id, line_no (from 0) and item of every line that is not blank."""
 
     def lines_part(batches):
-        seen = set()
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                rows += [(doc, number, item) for number, item, _ in _items(text.as_py())]
+                if len(rows) >= 50_000:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, t) for x, t in zip(zip(*rows), KINDS)], ["doc_id", "line_no", "item"])
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*rows), KINDS)], ["doc_id", "line_no", "item"])
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lines_part, LINES)
+
+
+def index_of(df: DataFrame) -> DataFrame:
+    """(id, key) for every item and each of its bands; at least once, and once per task while the task remembers it."""
 
-        def block_of(rows, fresh):
-            keys = dict(zip(fresh, band_keys(list(fresh.values())).tolist())) if fresh else {}
-            columns = list(zip(*rows))
-            given = [keys.pop(item, None) for item in columns[2]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
-                 pa.array(given, pa.list_(pa.int64()))], ["doc_id", "line_no", "item", "keys"])
+    def block_of(fresh):
+        keys = band_keys(list(fresh.values()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(list(fresh), np.int64), BANDS)), pa.array(keys.ravel())], ["id", "key"])
 
-        rows, fresh, held = [], {}, 0
+    def index_part(batches):
+        seen, fresh, held = set(), {}, 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                for number, line in enumerate((text.as_py() or "").encode().split(b"\n")):
-                    if not (line := normal(line)):
+            for text in batch.column("text"):
+                for _, item, line in _items(text.as_py()):
+                    if item in seen:
                         continue
-                    item = xxhash.xxh3_64_intdigest(line) - (1 << 63)
-                    rows.append((doc, number, item))
-                    if item not in seen:
-                        if len(seen) >= KEPT_LINES:
-                            seen.clear()
-                        seen.add(item)
-                        fresh[item] = line
-                        held += len(line)
-                    if held > BLOCK_BYTES or len(rows) >= 20_000:
-                        yield block_of(rows, fresh)
-                        rows, fresh, held = [], {}, 0
-        if rows:
-            yield block_of(rows, fresh)
+                    if len(seen) >= KEPT_LINES:
+                        seen.clear()
+                    seen.add(item)
+                    fresh[item] = line
+                    held += len(line)
+                    if held > BLOCK_BYTES:
+                        yield block_of(fresh)
+                        fresh, held = {}, 0
+        if fresh:
+            yield block_of(fresh)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lines_part, LINES)
+    return df.select("text").mapInArrow(index_part, "id long, key long")
+
+
+def _lines_of_items(df, ids):
+    """(id, line) for the items named in column id of `ids`, and maybe others; found where the texts are read."""
+    wanted = Wanted(ids)
+
+    def items_part(batches):
+        for batch in batches:
+            lines, held = {}, 0
+            for i, text in enumerate(batch.column("text")):
+                for _, item, line in _items(text.as_py()):
+                    lines[item] = line
+                    held += len(line)
+                if held > BLOCK_BYTES or i + 1 == batch.num_rows:
+                    items = np.array(list(lines), np.int64)
+                    among = wanted(items) if len(items) else items.astype(bool)
+                    if among.any():
+                        texts = [line for line, yes in zip(lines.values(), among) if yes]
+                        yield pa.RecordBatch.from_arrays([pa.array(items[among]), pa.array(texts, pa.binary())], ["id", "line"])
+                    lines, held = {}, 0
+
+    return df.select("text").mapInArrow(items_part, "id long, line binary").groupBy("id").agg(F.min("line").alias("line"))
 
 
 def _sets_of(df):
-    """A function from items (id) to their shingle sets (id, own); a set is made once per item."""
+    """A function from items (id) to their shingle sets (id, own)."""
 
     def sets_part(batches):
         for batch in batches:
@@ -121,29 +164,28 @@ def _sets_of(df):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.ListArray.from_arrays(ends, np.concatenate(own))], ["id", "own"])
 
-    def sets_of(ids):
-        wanted = Wanted(ids)
+    return lambda ids: written(_lines_of_items(df, ids).mapInArrow(sets_part, "id long, own array<long>"), "lines-sets")
+
+
+def _confirm(df, percent):
+    """A function from pairs (a, b) to those that are alike. Lines travel to their pairs, being far smaller than their sets."""
 
-        def items_part(batches):
-            for batch in batches:
-                lines, held = [], 0
-                for i, text in enumerate(batch.column("text")):
-                    lines += [x for x in map(normal, (text.as_py() or "").encode().split(b"\n")) if x]
-                    held += len(text.as_py())
-                    if held > BLOCK_BYTES or i + 1 == batch.num_rows:
-                        items = np.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines], np.int64)
-                        among = np.flatnonzero(wanted(items)) if len(items) else []
-                        if len(among):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(items[among]), pa.array([lines[k] for k in among], pa.binary())], ["id", "line"])
-                        lines, held = [], 0
+    @F.arrow_udf(BooleanType())
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(left.to_pylist(), right.to_pylist()):
+            a, b = np.unique(_shingles([a])[0]), np.unique(_shingles([b])[0])
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(100 * common >= percent * (len(a) + len(b) - common))
+        return pa.array(out, pa.bool_())
 
-        # Wanted lines are found where the texts are read, so that few texts are shuffled.
-        lines = df.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(items_part, "id long, line binary")
-        return written(lines.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(sets_part, "id long, own array<long>"),
-                       "lines-sets")
+    def confirm(pairs):
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        lines = written(_lines_of_items(df, ids), "lines-texts")
+        return pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("_la")), "a").join(
+            lines.select(F.col("id").alias("b"), F.col("line").alias("_lb")), "b").where(alike("_la", "_lb")).select("a", "b")
 
-    return sets_of
+    return confirm
 
 
 def duplicate_lines(df: DataFrame, percent=PERCENT) -> DataFrame:
@@ -152,13 +194,13 @@ def duplicate_lines(df: DataFrame, percent=PERCENT) -> DataFrame:
     first_* name the line that stands for all lines alike; `kept` marks it.
     """
     lines = written(lines_of(df), "lines")
-    index = lines.where("keys IS NOT NULL").select(F.col("item").alias("id"), F.explode("keys").alias("key"))
+    index = index_of(df)
     # One shuffle: rows of a key meet once, distinct items of one key are few unless they are alike.
     inside = Window.partitionBy("key")
     members = index.withColumns({"low": F.min("id").over(inside), "high": F.max("id").over(inside)}).where("low < high").select(
         "key", "id").distinct()
     members = written(members.withColumn("n", F.lit(1)), "lines-keys")
-    groups = united(members, _sets_of(df), percent)
+    groups = united(members, _sets_of(df), percent, confirm=_confirm(df, percent))
     named = lines.select("doc_id", "line_no", "item").join(groups.withColumnRenamed("node", "item"), "item", "left").select(
         "doc_id", "line_no", F.coalesce("component", "item").alias("group"))
     named = written(named, "lines-groups")

@@ -97,22 +97,25 @@ def ordered(pairs):
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def united(members, sets_of, percent, near=lambda pairs: pairs):
+def united(members, sets_of, percent, near=lambda pairs: pairs, confirm=None):
     """(node, component) of the items linked with another one, from members (key, id, n) of keys that n items share.
 
     Members of a key are first compared with its hub: the member with the most company over all its keys, which in a group
-    of copies is their common original, if it is there. `near` may drop pairs that cannot be alike. What is left are keys
-    whose members are not all united; their pairs go through `sharing_rare`.
+    of copies is their common original, if it is there. `near` may drop pairs that cannot be alike; `confirm` may tell linked
+    pairs in another way than by the sets. What is left are keys
+    whose other members are not all united; their pairs go through `sharing_rare`.
     """
+    confirm = confirm or (lambda pairs: confirmed(pairs, sets_of, percent))
     central = members.groupBy("id").agg(F.sum("n").alias("company"))
     hubs = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("hub"))
-    starred = members.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    tried = written(near(ordered(starred)), "pairs-tried")
-    found = written(confirmed(tried, sets_of, percent), "pairs-links")
-    placed = members.join(components(found).withColumnRenamed("node", "id"), "id", "left").select(
+    starred = written(members.join(hubs, "key").where("id <> hub").select("key", "id", "hub"), "pairs-hubs")
+    tried = written(near(ordered(starred.select(F.col("id").alias("a"), F.col("hub").alias("b")))), "pairs-tried")
+    found = written(confirm(tried), "pairs-links")
+    # The hub has met every member; what is left are keys whose other members are not all united.
+    placed = starred.join(components(found).withColumnRenamed("node", "id"), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("group"))
     mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
     rest = written(placed.join(mixed.select("key"), "key", "left_semi").select("id", "group").distinct(), "pairs-rest")
     pairs = ordered(sharing_rare(rest, sets_of, percent)).join(tried, ["a", "b"], "left_anti")
     more = written(near(pairs), "pairs-tried")
-    return components(found.union(confirmed(more, sets_of, percent)))
+    return components(found.union(confirm(more)))
