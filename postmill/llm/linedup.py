@@ -2,9 +2,11 @@
 
 Lines are compared with A-Z in lower case, runs of white space as one space, and none at the ends. Equal lines are one item.
 Items are alike when their sets of shingles (SHINGLE bytes of UTF-8 text each; a shorter line is one shingle) have a
-Jaccard similarity of `percent` or more, which is checked on the full sets. Candidates come from MinHash signatures of one
-hash, with one minimum for each of BANDS * ROWS bins (empty bins borrow from the next full one), and banding: lines at a
-similarity of 0.8 share a band with a probability of about 0.9998. Alike lines are united over chains of links.
+Jaccard similarity of `percent` or more, which is checked on the full sets. Candidates come from MinHash signatures and
+banding: lines at a similarity of 0.8 share a band with a probability of about 0.9998. Lines with fewer than SHORT shingles
+have BANDS * ROWS independent MinHash functions, longer ones the minima of one hash in as many bins (empty bins borrow from
+the next full one, which few bins of a short line would spoil). Lines so little longer that they may be like a short one
+have both. Alike lines are united over chains of links.
 
 Defined cases: blank lines are never dropped; a null text has no lines; lines of any length count; the first line is the one
 with the smallest (doc_id, line number), null ids first; rows that repeat a doc_id are one document, and a line of theirs
@@ -25,6 +27,8 @@ SHINGLE = 8
 PERCENT = 80
 BANDS, ROWS = 16, 4
 BINS = BANDS * ROWS
+#: Lines with fewer different shingles have independent functions.
+SHORT = 100
 #: Items that a task remembers, so that a repeated line enters the candidate search once per task.
 KEPT_LINES = 500_000
 BLOCK_BYTES = 1 << 20
@@ -53,13 +57,62 @@ def _shingles(lines):
     return windows[first + np.arange(counts.sum())], counts
 
 
-def band_keys(lines):
-    """One key per band for each line: a matrix of BANDS columns."""
+def _functions():
+    """Factors and offsets of the independent MinHash functions."""
+    rng = np.random.default_rng(20_241)
+    return [(np.uint64(a) | np.uint64(1), np.uint64(b)) for a, b in rng.integers(1 << 63, dtype=np.uint64, size=(BINS, 2)) * np.uint64(2)]
+
+
+def _different(hashes, counts):
+    """How many different shingles each line has; lines with fewer than SHORT in all are not looked at more closely."""
+    out = counts.copy()
+    long = counts >= SHORT
+    if long.any():
+        # One sort for all lines; so few bits of two shingles of a line are hardly ever equal by chance.
+        line = np.repeat(np.arange(long.sum(), dtype=np.uint64), counts[long])
+        bits = np.uint64(max(int(long.sum()), 2).bit_length())
+        keys = np.sort((line << (np.uint64(64) - bits)) | (hashes[np.repeat(long, counts)] >> bits))
+        first = np.append(True, keys[1:] != keys[:-1])
+        out[long] = np.bincount((keys[first] >> (np.uint64(64) - bits)).astype(np.int64), minlength=long.sum())
+    return out
+
+
+def band_keys(lines, percent=PERCENT):
+    """(number of a line, key) for each band of each line, as arrays."""
     hashes, counts = _shingles(lines)
     hashes = _mixed(hashes)
+    different = _different(hashes, counts)
+    # A line like one with fewer than SHORT shingles has fewer than SHORT * 100 / percent; some more for equal bits.
+    few, many = different <= SHORT * 100 // max(percent, 1) + 5, different >= SHORT
+    out = []
+    for mine, keys_of in ((few, _independent_keys), (many, _sketch_keys)):
+        if mine.any():
+            keys = keys_of(hashes[np.repeat(mine, counts)], counts[mine])
+            out.append((np.repeat(np.flatnonzero(mine), BANDS), keys.ravel()))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _independent_keys(hashes, counts):
+    """One key per band for each line, from independent functions: a matrix of BANDS columns."""
+    functions, ends = _functions(), np.cumsum(counts)
+    out = np.empty((len(counts), BANDS), np.int64)
+    for at in range(0, len(counts), 256):  # so many lines fit in the cache
+        upto = min(at + 256, len(counts))
+        low = ends[at] - counts[at]
+        own, starts = hashes[low:ends[upto - 1]], ends[at:upto] - counts[at:upto] - low
+        for band in range(BANDS):
+            key = np.full(upto - at, BANDS + 1 + band, np.uint64)
+            for factor, offset in functions[band * ROWS:(band + 1) * ROWS]:
+                key = _mixed(key) + np.minimum.reduceat(own * factor + offset, starts)
+            out[at:upto, band] = _mixed(key).view(np.int64)
+    return out
+
+
+def _sketch_keys(hashes, counts):
+    """One key per band for each line, from the minima of one hash in bins: a matrix of BANDS columns."""
     empty = np.uint32(0xFFFFFFFF)
-    least = np.full(len(lines) * BINS, empty, np.uint32)
-    at = np.repeat(np.arange(len(lines)) * BINS, counts) + (hashes >> np.uint64(58)).astype(np.int64)
+    least = np.full(len(counts) * BINS, empty, np.uint32)
+    at = np.repeat(np.arange(len(counts)) * BINS, counts) + (hashes >> np.uint64(58)).astype(np.int64)
     np.minimum.at(least, at, (hashes >> np.uint64(20)).astype(np.uint32) & np.uint32(0xFFFFFFFE))
     least = least.reshape(-1, BINS)
     place = np.where(least == empty, 4 * BINS, np.arange(BINS))
@@ -67,7 +120,7 @@ def band_keys(lines):
     full = np.minimum.accumulate(place, axis=1)[:, ::-1][:, :BINS]
     values = np.take_along_axis(least, full % BINS, axis=1).astype(np.uint64) + (
         (full - np.arange(BINS)).astype(np.uint64) << np.uint64(32))
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), BANDS))
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(counts), BANDS))
     for row in range(ROWS):
         # Bins far apart, since neighbours may have borrowed from the same one.
         keys = _mixed(keys) + values[:, row * BANDS:(row + 1) * BANDS]
@@ -100,13 +153,12 @@ def lines_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lines_part, LINES)
 
 
-def index_of(df: DataFrame) -> DataFrame:
+def index_of(df: DataFrame, percent=PERCENT) -> DataFrame:
     """(id, key) for every item and each of its bands; at least once, and once per task while the task remembers it."""
 
     def block_of(fresh):
-        keys = band_keys(list(fresh.values()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array(list(fresh), np.int64), BANDS)), pa.array(keys.ravel())], ["id", "key"])
+        which, keys = band_keys(list(fresh.values()), percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(list(fresh), np.int64)[which]), pa.array(keys)], ["id", "key"])
 
     def index_part(batches):
         seen, fresh, held = set(), {}, 0
@@ -194,7 +246,7 @@ def duplicate_lines(df: DataFrame, percent=PERCENT) -> DataFrame:
     first_* name the line that stands for all lines alike; `kept` marks it.
     """
     lines = written(lines_of(df), "lines")
-    index = index_of(df)
+    index = index_of(df, percent)
     # One shuffle: rows of a key meet once, distinct items of one key are few unless they are alike.
     inside = Window.partitionBy("key")
     members = index.withColumns({"low": F.min("id").over(inside), "high": F.max("id").over(inside)}).where("low < high").select(

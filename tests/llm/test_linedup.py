@@ -58,6 +58,40 @@ def test_fuzzy_lines_and_odd_rows(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def share_a_band(pairs):
+    """How many of the pairs of lines share a band."""
+    number, keys = linedup.band_keys([line for pair in pairs for line in pair])
+    own = [set() for _ in range(2 * len(pairs))]
+    for i, key in zip(number.tolist(), keys.tolist()):
+        own[i].add(key)
+    return sum(bool(a & b) for a, b in zip(own[::2], own[1::2]))
+
+
+def test_short_lines_that_differ_at_their_ends(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    lines = [" ".join(word() for _ in range(rng.randrange(3, 5))) for _ in range(400)]
+    rows = [(i, line, 0, 0, "", "") for i, line in enumerate(lines)]
+    rows += [(1000 + i, line + "." if i % 2 else "a" + line, 0, 0, "", "") for i, line in enumerate(lines)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_alike_lines_of_every_length_share_a_band():
+    rng = random.Random(6)
+    pairs = []
+    for size in [5, 9, 15, 20, 40, 80, 92, 99, 100, 105, 124, 125, 126, 200]:
+        # size shingles are in common and an eighth more is cut from both sides, so the similarity is 0.8 or just above.
+        for _ in range(400):
+            line = bytes(rng.randrange(97, 123) for _ in range(size + 7 + 2 * (size // 8)))
+            pairs.append((line[size // 8:], line[:len(line) - size // 8]))
+        line = bytes(rng.randrange(97, 123) for _ in range(size + 7 + size // 4))
+        pairs.append((line, line[:size + 7]))
+    repeated = [(b"abcdefghij" * 30 + bytes([97 + i % 26, 98 + i // 26]) + b"x", b"abcdefghij" * 30 + bytes([97 + i % 26, 98 + i // 26]))
+                for i in range(300)]
+    assert share_a_band(pairs) >= len(pairs) - 8  # 0.0002 of 5600 pairs is about one
+    assert share_a_band(repeated) >= len(repeated) - 2
+
+
 def test_documents_without_their_duplicate_lines(spark):
     rows = [(1, "A first line of some length\n\nand another one", 5, 1, "k", "f"), (2, "a FIRST line of some length\nthe end", 5, 1, "k", "f"),
             (3, "and another one\n\n", 5, 1, "k", "f"), (4, None, None, None, None, None), (5, "", 0, 1, "k", "f"), (6, "kept", 5, 1, "k", "f")]
