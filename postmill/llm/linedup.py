@@ -9,8 +9,10 @@ the next full one, which few bins of a short line would spoil). Lines so little
 have both. Alike lines are united over chains of links.
 
 Defined cases: blank lines are never dropped; a null text has no lines; lines of any length count; the first line is the one
-with the smallest (doc_id, line number), null ids first; rows that repeat a doc_id are one document, and a line of theirs
-is judged by its number; an empty table gives no rows. Items are named by 64-bit hashes of their text.
+with the smallest (doc_id, line number), null ids first, and then that of the row with the smallest hash of its text. Rows
+are told apart by doc_id and a 64-bit hash of the whole text, so rows with a null doc_id, or a repeated one with another text,
+are documents of their own; rows that repeat both are one document and judged alike. An empty table gives no rows. Items are
+named by 64-bit hashes of their text.
 """
 
 import numpy as np
@@ -32,8 +34,8 @@ SHORT = 100
 #: Items that a task remembers, so that a repeated line enters the candidate search once per task.
 KEPT_LINES = 500_000
 BLOCK_BYTES = 1 << 20
-LINES = "doc_id long, line_no int, item long"
-KINDS = (pa.int64(), pa.int32(), pa.int64())
+LINES = "doc_id long, row long, line_no int, item long"
+KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
 
 def normal(line):
@@ -134,23 +136,27 @@ def _items(text):
             yield number, xxhash.xxh3_64_intdigest(line) - (1 << 63), line
 
 
+def _row():
+    """Column that tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64("text")
+
+
 def lines_of(df: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and item of every line that is not blank."""
+    """doc_id, row, line_no (from 0) and item of every line that is not blank; `row` tells rows of a doc_id apart."""
+    names = ["doc_id", "row", "line_no", "item"]
 
     def lines_part(batches):
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                rows += [(doc, number, item) for number, item, _ in _items(text.as_py())]
+            for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text")):
+                rows += [(doc, row, number, item) for number, item, _ in _items(text.as_py())]
                 if len(rows) >= 50_000:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*rows), KINDS)], ["doc_id", "line_no", "item"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), KINDS)], names)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows), KINDS)], ["doc_id", "line_no", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), KINDS)], names)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lines_part, LINES)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").mapInArrow(lines_part, LINES)
 
 
 def index_of(df: DataFrame, percent=PERCENT) -> DataFrame:
@@ -245,6 +251,11 @@ def duplicate_lines(df: DataFrame, percent=PERCENT) -> DataFrame:
 
     first_* name the line that stands for all lines alike; `kept` marks it.
     """
+    return _judged(df, percent).drop("row")
+
+
+def _judged(df, percent):
+    """The columns of duplicate_lines, and row."""
     lines = written(lines_of(df), "lines")
     index = index_of(df, percent)
     # One shuffle: rows of a key meet once, distinct items of one key are few unless they are alike.
@@ -253,14 +264,14 @@ def duplicate_lines(df: DataFrame, percent=PERCENT) -> DataFrame:
         "key", "id").distinct()
     members = written(members.withColumn("n", F.lit(1)), "lines-keys")
     groups = united(members, _sets_of(df), percent, confirm=_confirm(df, percent))
-    named = lines.select("doc_id", "line_no", "item").join(groups.withColumnRenamed("node", "item"), "item", "left").select(
-        "doc_id", "line_no", F.coalesce("component", "item").alias("group"))
+    named = lines.join(groups.withColumnRenamed("node", "item"), "item", "left").select(
+        "doc_id", "row", "line_no", F.coalesce("component", "item").alias("group"))
     named = written(named, "lines-groups")
-    first = named.groupBy("group").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where(
+    first = named.groupBy("group").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count("*").alias("n")).where(
         "n > 1").select("group", "first")
-    own = F.struct("doc_id", "line_no")
+    own = F.struct("doc_id", "line_no", "row")
     return named.join(first, "group", "left").withColumn("first", F.coalesce("first", own)).select(
-        "doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
+        "doc_id", "row", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
         F.col("first").eqNullSafe(own).alias("kept"))
 
 
@@ -269,14 +280,15 @@ def without_duplicates(df: DataFrame, percent=PERCENT, **columns) -> DataFrame:
 
     `columns`: further columns to set from the new text, as {name: function of the text column}.
     """
-    judged = duplicate_lines(df, percent)
-    dropped = judged.groupBy("doc_id").agg(
+    judged = _judged(df, percent)
+    dropped = judged.groupBy("doc_id", "row").agg(
         F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_dropped"), F.count_if("kept").alias("_left")).where(
         F.size("_dropped") > 0)
     dropped = written(dropped.withColumnRenamed("doc_id", "id"), "lines-dropped")
     others, maybe = parted(df, dropped.where("id IS NOT NULL").select("id"))
     nulls = others.where("doc_id IS NULL").unionByName(maybe)
-    joined = nulls.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left")
+    # By the hash of the text first, so that rows without a doc_id are not gathered in one task.
+    joined = nulls.join(dropped, (_row() == F.col("row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left")
     lines = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("_dropped", at))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     out = joined.where("_left IS NULL OR _left > 0").withColumn("text", text)

@@ -102,6 +102,22 @@ def test_documents_without_their_duplicate_lines(spark):
     assert got == {1: (rows[0][1], 5), 2: ("the end", 7), 4: (None, None), 5: ("", 0), 6: ("kept", 5)}
 
 
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    line = "a line that every one of these documents has"
+    texts = {None: [f"{line}\nfirst own text\nthis is only here", f"another own text\n{line}\nand that is only there", line,
+                    "nothing in common\nwith any other row"],
+             7: [f"own beginning\n{line}", "quite another text\nof the same id", line], 8: [f"{line}\nthe tail"] * 2}
+    rows = [(doc, text, 0, 0, "", "") for doc, own in texts.items() for text in own]
+    got = [(r.doc_id, r.text) for r in linedup.without_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    for doc, own in texts.items():
+        for text in own:
+            left = "\n".join(x for x in text.split("\n") if x != line)
+            assert not left or (doc, left) in got or (doc is None and (doc, text) in got), (doc, text, got)
+    # The line itself stays once, in a row without an id, which come first.
+    assert [doc for doc, text in got if line in text.split("\n")] == [None]
+    assert sorted(str(doc) for doc, _ in got) in (["7"] * 2 + ["8"] * 2 + ["None"] * n for n in (3, 4))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert linedup.duplicate_lines(empty).count() == 0 and linedup.without_duplicates(empty).count() == 0
