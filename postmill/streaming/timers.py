@@ -18,6 +18,13 @@ def _moment(micros):
     return datetime.datetime.fromtimestamp(whole).replace(microsecond=part)
 
 
+def _with_ticks(rows, delay):
+    """Each row (with ts) twice: as a tick with `clock`, which moves the watermark, and without one, so that the row itself
+    is never too late for its state; the watermark only decides when timers fire."""
+    clock = F.explode(F.array("ts", F.lit(None).cast("timestamp")))
+    return rows.withColumn("clock", clock).withWatermark("clock", delay)
+
+
 class _Retry(StatefulProcessor):
     """State: the attempt counters already handled, and the attempts to redeliver at each due time."""
 
@@ -32,6 +39,8 @@ class _Retry(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         for row in rows:
+            if row.clock is not None:
+                continue
             if self.seen.containsKey((row.attempt,)):
                 continue
             self.seen.updateValue((row.attempt,), (_micros(row.ts),))
@@ -59,12 +68,13 @@ def delayed_retry(
 ) -> DataFrame:
     """Failed jobs (mailing_id, attempt, ts) -> redeliveries when their wait is over, or dead letters at once.
 
-    A failure that arrives twice counts once. `at` is the time of redelivery or of the last failure.
+    A failure that arrives twice counts once. `at` is the time of redelivery or of the last failure. A failure counts however
+    late it arrives; a redelivery that is overdue by then is given the next time timers fire.
     """
     runner.with_rocksdb(failures.sparkSession)
     timed = failures.select("mailing_id", "attempt", F.col("ts").cast("timestamp").alias("ts"))
     once = runner.combine_last(timed, ["mailing_id", "attempt"], ["ts"])
-    return once.withWatermark("ts", delay).groupBy("mailing_id").transformWithState(
+    return _with_ticks(once, delay).groupBy("mailing_id").transformWithState(
         statefulProcessor=_Retry(max_attempts, tuple(waits)),
         outputStructType="mailing_id string, outcome string, attempts int, at timestamp",
         outputMode="append", timeMode="eventTime")
@@ -81,7 +91,9 @@ class _Timeout(StatefulProcessor):
         self.last = handle.getValueState("last", "status string, micros bigint, seq bigint, timer bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = max(rows, key=lambda r: (r.ts, r.seq))
+        newest = max((r for r in rows if r.clock is None), key=lambda r: (r.ts, r.seq), default=None)
+        if newest is None:
+            return iter([])
         micros = _micros(newest.ts)
         old = self.last.get() if self.last.exists() else None
         if old is not None and (micros, newest.seq) <= (old[1], old[2]):
@@ -108,13 +120,14 @@ class _Timeout(StatefulProcessor):
 def in_flight_timeout(events: DataFrame, delay="0 seconds", limits=None) -> DataFrame:
     """Status events (mailing_id, email, status, ts, seq) -> keys whose last status stayed in flight too long.
 
-    limits: seconds per status; other statuses stop the clock.
+    limits: seconds per status; other statuses stop the clock. A status counts however late it arrives, if it is the key's
+    last by its time; one that is overdue by then is given the next time timers fire.
     """
     runner.with_rocksdb(events.sparkSession)
     limits = limits or {"SENDING": K.RECOVERY_STALE_SECONDS, "PROCESSING": K.CLAIM_STALE_SECONDS}
     timed = events.select("mailing_id", "email", "status", F.col("ts").cast("timestamp").alias("ts"), "seq")
     last = runner.combine_last(timed, ["mailing_id", "email"], ["ts", "seq"])
-    return last.withWatermark("ts", delay).groupBy("mailing_id", "email").transformWithState(
+    return _with_ticks(last, delay).groupBy("mailing_id", "email").transformWithState(
         statefulProcessor=_Timeout(limits),
         outputStructType="mailing_id string, email string, status string, last_attempt timestamp, "
                          "timed_out_at timestamp",

@@ -100,6 +100,30 @@ def test_retry_timers(spark, tmp_path, rows):
     assert set(twin) <= set(got)
 
 
+def test_late_rows_reach_their_state(spark, tmp_path, rows):
+    sec = lambda n: START + datetime.timedelta(seconds=n)
+    schema = "mailing_id string, attempt int, ts timestamp_ntz"
+    source = str(tmp_path / "failures")
+    for row in [("a", 0, sec(4000)), ("z", 0, sec(4001)), ("b", 2, sec(10)), ("c", 0, sec(20)), ("z", 1, sec(9000))]:
+        add(spark, source, [row], schema)
+    stream = runner.files(spark, source, schema, per_trigger=1)
+    runner.finish(runner.to_files(timers.delayed_retry(stream), str(tmp_path / "out"), str(tmp_path / "check")))
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "mailing_id", "outcome", "attempts", F.col("at").cast("timestamp_ntz"))
+    assert got == sorted([("a", "redelivered", 1, sec(4060)), ("z", "redelivered", 1, sec(4061)),
+                          ("b", "dead_letter", 3, sec(10)), ("c", "redelivered", 1, sec(80))], key=repr)
+
+    schema = "mailing_id string, email string, status string, ts timestamp_ntz, seq bigint"
+    source = str(tmp_path / "events")
+    # When the third and fourth arrive, the watermark is at 5000; a's late SENT comes after its SENDING, b has only a late row.
+    for row in [("m", "a", "SENDING", sec(4900), 1), ("m", "z", "SENT", sec(5000), 2), ("m", "a", "SENT", sec(4950), 3),
+                ("m", "b", "SENDING", sec(100), 4), ("m", "z", "SENT", sec(9000), 5)]:
+        add(spark, source, [row], schema)
+    stream = runner.files(spark, source, schema, per_trigger=1)
+    runner.finish(runner.to_files(timers.in_flight_timeout(stream), str(tmp_path / "out2"), str(tmp_path / "check2")))
+    assert rows(spark.read.parquet(str(tmp_path / "out2")), "email", "status", F.col("last_attempt").cast("timestamp_ntz"),
+                F.col("timed_out_at").cast("timestamp_ntz")) == [("b", "SENDING", sec(100), sec(400))]
+
+
 def test_timeouts_follow_the_last_status(spark, tmp_path, rows):
     schema = "mailing_id string, email string, status string, ts timestamp_ntz, seq bigint"
     sec = lambda n: START + datetime.timedelta(seconds=n)
