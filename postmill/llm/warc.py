@@ -31,10 +31,10 @@ ARCHIVE_BYTES = 64 << 20
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 READ_BYTES = 1 << 20
-#: A header block longer than this is taken as damage.
-HEADER_BYTES = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: A header block is of any length; at such a line another record starts.
+NEXT = re.compile(rb"\r\nWARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = "archive string, records long, bytes long"
@@ -195,7 +195,7 @@ def _checked(take, start, size, with_payload):
     if not VERSION.match(head):
         return "no version line"
     cut = head.find(b"\r\n\r\n")
-    while cut < 0 and len(head) < min(HEADER_BYTES, size - start):
+    while cut < 0 and len(head) < size - start and not NEXT.search(head):
         head = take(start, 2 * len(head))
         cut = head.find(b"\r\n\r\n")
     fields = _parsed(head[:cut]) if cut >= 0 else None

@@ -36,6 +36,17 @@ def test_round_trip(compressed):
     assert [x["start"] for x in got] == [sum(map(len, parts[:i])) for i in range(5)]
 
 
+@pytest.mark.parametrize("compressed", [False, True])
+def test_urls_of_any_length(compressed):
+    urls = ["http://a.b/1", "http://a.b/" + "x" * 3_000_000, "http://a.b/3"]
+    parts = [warc._record(i, url, b"<p>page</p>", warc.hashlib.sha256(b"<p>page</p>").hexdigest(), None) for i, url in enumerate(urls)]
+    got = read(b"".join(gzip.compress(x) if compressed else x for x in parts), compressed)
+    assert [(x["target_uri"], x["payload"]) for x in got] == [(url, b"<p>page</p>") for url in urls]
+    # A header block without an end costs its own record only.
+    broken = parts[0].replace(b"\r\n\r\n", b"\r\n--", 2).replace(b"\r\n\r\n", b"\r\n")
+    assert [x.get("target_uri") for x in read(broken + parts[1] + parts[2], False)] == [None, *urls[1:]]
+
+
 @pytest.mark.parametrize("compressed", [False, True])
 @pytest.mark.parametrize("damage", ["flip", "cut", "junk", "zero"])
 @pytest.mark.parametrize("which", [0, 2, 4])
