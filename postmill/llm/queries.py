@@ -1,4 +1,4 @@
 """All queries of this subpackage and their SQL twins."""
 
-from postmill.llm import bm25, bpe, decon, linedup, mainhtml, neardup, ring, toxic, urltree, warc  # noqa: F401
+from postmill.llm import bm25, bpe, decon, linedup, mainhtml, neardup, ring, toxic, urltree, warc, whiten  # noqa: F401
 from postmill.llm.registry import ORACLES, QUERIES  # noqa: F401
