@@ -28,6 +28,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from postmill.llm.bpe import RANKS, load_ranks
 from postmill.llm.registry import Sent, query, table
 from postmill.operators.spread import global_index
 from postmill.session import written
@@ -35,43 +36,53 @@ from postmill.session import written
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
 END = 0
-#: Characters of text that one call tokenises together.
+#: Code points of a text that are handled together.
 BLOCK_CHARS = 1 << 20
 #: Between a letter and a space that begins a word: no token of a byte-level vocabulary goes across.
 GAP = re.compile("[A-Za-z](?= [A-Za-z])")
+#: Longer runs without a change between text and white space go to the tokenizer itself, whose merging is n log n.
+RUN = 2000
+BLANK = re.compile(r"\s{%d}" % RUN)
+
+
+class Coder:
+    """Ids as the tokenizer file gives them, without special tokens added.
+
+    `ranks` are the tokenizer's merges as ranks of byte strings. With them, texts are encoded by the rank encoder, which
+    gives the same ids several times faster; texts with a special token's string or a very long run go to the tokenizer.
+    """
+
+    def __init__(self, tokenizer, ranks, pattern=public_tokenizers.PATTERN):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.slow = Tokenizer.from_str(tokenizer)
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+
+    def ids(self, text):
+        """The ids of a text (None: empty), read in blocks of bounded size."""
+        parts = [self._block(block) for block in cut(text or "")]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, "<u4"), *parts])
+
+    def _block(self, text):
+        odd = len(text) >= RUN and (max(map(len, text.split()), default=0) >= RUN or BLANK.search(text))
+        if odd or any(s in text for s in self.special):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.fast.encode_ordinary(text), "<u4")
 
 
 def cut(text):
     """The text in pieces of about BLOCK_CHARS that can be tokenised by themselves."""
     at = 0
     while at < len(text):
-        gap = GAP.search(text, at + BLOCK_CHARS)
+        gap = GAP.search(text, at + BLOCK_CHARS) if len(text) - at > BLOCK_CHARS else None
         end = gap.end() if gap else len(text)
         yield text[at:end]
         at = end
 
 
-def tokenised(texts, tokenizer):
-    """Arrays of ids of texts (None: empty), tokenised in blocks of bounded size."""
-    block, held = [], 0
-
-    def ids(some):
-        for e in tokenizer.encode_batch_fast(some, add_special_tokens=False):
-            yield np.array(e.ids, "<u4")
-
-    for text in texts:
-        text = text or ""
-        if held + len(text) > BLOCK_CHARS:
-            yield from ids(block)
-            block, held = [], 0
-        if len(text) > BLOCK_CHARS:
-            yield np.concatenate([x for piece in cut(text) for x in ids([piece])])
-        else:
-            block.append(text)
-            held += len(text)
-    yield from ids(block)
-
-
 def halves(length):
     """Descending powers of two that add up to length."""
     return [1 << bit for bit in range(length.bit_length() - 1, -1, -1) if length >> bit & 1]
@@ -90,20 +101,17 @@ def pieces_of(ids, capacity=CAPACITY):
         yield start, length, zlib.crc32(piece), parts
 
 
-def pieces(df: DataFrame, tokenizer, key="doc_id", text="text", capacity=CAPACITY, end=END) -> DataFrame:
-    """(key, doc_tokens, start, length, crc, parts) of all documents; `tokenizer` is the text of a tokenizer file."""
+def pieces(df: DataFrame, tokenizer, ranks, key="doc_id", text="text", capacity=CAPACITY, end=END) -> DataFrame:
+    """(key, doc_tokens, start, length, crc, parts) of all documents; tokenizer, ranks: as in Coder."""
     schema = "key long, doc_tokens long, start long, length int, crc long, parts array<long>"
-    sent = df.sparkSession.sparkContext.broadcast(tokenizer)  # the vocabulary, whose size is fixed
+    sent = df.sparkSession.sparkContext.broadcast((tokenizer, ranks))  # the vocabulary, whose size is fixed
 
     def part(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        coder = Tokenizer.from_str(sent.value)
+        coder = Coder(*sent.value)
         for batch in batches:
             out = []
-            texts = (v.as_py() for v in batch.column(1))
-            for name, ids in zip(batch.column(0), tokenised(texts, coder)):
-                ids = np.append(ids, np.uint32(end))
+            for name, value in zip(batch.column(0), batch.column(1)):
+                ids = np.append(coder.ids(value.as_py()), np.uint32(end))
                 out.extend((name.as_py(), len(ids), *piece) for piece in pieces_of(ids, capacity))
                 if len(out) > 20_000:
                     yield _batch(out)
@@ -253,10 +261,10 @@ def plan(whole, capacity=CAPACITY):
         sequences += times
 
 
-def pack(df: DataFrame, tokenizer, key="doc_id", text="text", capacity=CAPACITY, end=END) -> DataFrame:
+def pack(df: DataFrame, tokenizer, ranks, key="doc_id", text="text", capacity=CAPACITY, end=END) -> DataFrame:
     """One row per piece: key, start, length, crc (of its ids), doc_tokens, sequence, offset; see the module's head."""
     spark = df.sparkSession
-    found = written(pieces(df, tokenizer, key, text, capacity, end), "pieces")
+    found = written(pieces(df, tokenizer, ranks, key, text, capacity, end), "pieces")
     order = ["length", "key", "start", "doc_tokens", "crc"]
     placed = global_index(found.withColumn("_tie", F.monotonically_increasing_id()), [*order, "_tie"], "at").drop("_tie")
     whole = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
@@ -338,11 +346,15 @@ def padding(packed: DataFrame, capacity=CAPACITY) -> DataFrame:
                     F.sum(F.when(power, 0).otherwise(capacity - F.col("n"))).alias("padding"))
 
 
+def vocabulary(name=TOKENIZER, ranks=RANKS):
+    """(text of the tokenizer file, ranks by token bytes) of one of the public vocabularies."""
+    with open(public_tokenizers.path(name)) as file:
+        return file.read(), load_ranks(public_tokenizers.path(ranks))
+
+
 @query("op11_packing")
 def op11(spark, sf_dir):
     """Packs all documents into sequences of at most 1024 tokens."""
-    with open(public_tokenizers.path(TOKENIZER)) as file:
-        tokenizer = file.read()
-    return pack(table(spark, sf_dir, "documents"), tokenizer).select(
+    return pack(table(spark, sf_dir, "documents"), *vocabulary()).select(
         F.col("key").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens",
         F.col("sequence").alias("sequence_id"), "offset")

@@ -122,11 +122,9 @@ def test_odd_and_repeated_documents(spark, tokenizer, monkeypatch):
     docs = [(None, "no key " * 400), (1, None), (2, ""), (3, "word " * 5000), (4, "<|endoftext|> special"), (5, "a" * 9000),
             (6, "中文" * 700), (7, "mixed  spaces \n\n and 'tis it's " * 300), (8, "tail ")] + [(9, "same text " * 70)] * 60
     df = spark.createDataFrame([(k, t, "x", 1, None) for k, t in docs], "doc_id long, text string, length string, at int, crc long")
-    with open(PATH) as file:
-        text = file.read()
     layouts = []
     for parts in (1, 7):
-        rows = [tuple(r) for r in packing.pack(df.repartition(parts), text).collect()]
+        rows = [tuple(r) for r in packing.pack(df.repartition(parts), *packing.vocabulary()).collect()]
         assert checked(rows, docs, tokenizer) == 0
         layouts.append(sorted(rows, key=repr))
     assert layouts[0] == layouts[1]
@@ -136,6 +134,17 @@ def test_odd_and_repeated_documents(spark, tokenizer, monkeypatch):
     assert (found.tokens, found.padding) == (total, 0)
 
 
+def test_ids_equal_the_tokenizer(tokenizer, monkeypatch):
+    coder = packing.Coder(*packing.vocabulary())
+    points = [*range(0, 0xD800, 23), *range(0xE000, 0x20000, 41), 0x1F600, 0xE0001]
+    texts = ["", None, "'s 'll\r\n \t x", " " * 5000 + "x", "a" * 5000, "b" * 1999 + " c", "x<|endoftext|>y", "<|endoftext|>",
+             "1234 " * 900, "中文" * 3000]
+    texts += [f"a{chr(c)}b {chr(c)} 1{chr(c)}2{chr(c) * 2} \n{chr(c)}'s{chr(c)}  x" for c in points]
+    for size in (1 << 20, 300):
+        monkeypatch.setattr(packing, "BLOCK_CHARS", size)
+        for text in texts + [" ".join(t or "" for t in texts[:40])]:
+            assert coder.ids(text).tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
-    with open(PATH) as file:
-        assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), file.read()).collect() == []
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), *packing.vocabulary()).collect() == []
