@@ -2,8 +2,6 @@
 
 # --- status vocabularies -------------------------------------------------
 ENTRY_STATUSES = ("PENDING", "SENDING", "SENT", "FAILED", "INVALID")
-PROGRESS_STATUSES = ("RUNNING", "PAUSED", "COMPLETED", "FAILED")
-MAILING_STATUSES = ("PENDING", "QUEUED", "PROCESSING", "COMPLETED", "FAILED")
 
 # --- queues ---------------------------------------------------------------
 QUEUE_MAIN = "mailing.jobs.process"
@@ -77,6 +75,7 @@ TOKEN_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 JOB_RETRY_TEXT = "Processing failed, will retry"
 JOB_DEAD_TEXT = "Max retry attempts exceeded"
 OUTBOX_DEAD_TEXT = "Max attempts exceeded"
+NO_ANSWER_TEXT = "No answer from the broker in time"
 
 # --- metric series -----------------------------------------------------------
 SEND_BOUNDS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0)

@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from postmill.functions import keys
 from postmill.operators import intake as I
-from postmill.operators.spread import first_per_key
+from postmill.operators.spread import attach, first_per_key
 from postmill.plans import views as v
 from postmill.plans.registry import query
 from postmill.plans.validation import rows_of
@@ -160,6 +160,19 @@ def csv_email_column(spark, sf_dir):
     return rows.groupBy("mailing_id", "raw_email").agg(F.count("*").alias("n"))
 
 
+@query("csv_mixed_files", "S02 S04", sql(v.MAIL_ROWS, body="""
+SELECT encoding, CASE WHEN trim(raw_email) <> '' THEN trim(raw_email) END AS raw_email, count(*) AS n
+FROM mail_rows, (VALUES ('utf-8'), ('utf-8'), ('iso-8859-1')) t(encoding) GROUP BY ALL"""))
+def csv_mixed_files(spark, sf_dir):
+    """One load of files in two encodings and with two orders of columns, counted by the encoding found for their file."""
+    swapped = new_folder(spark, "csv")
+    csvfiles.read_csv(spark, _written_csv(spark, sf_dir)).select("line", "name", "email").write.option("header", True).csv(swapped)
+    paths = [f + "/*.csv" for f in (_written_csv(spark, sf_dir), _written_csv(spark, sf_dir, "ISO-8859-1"), swapped)]
+    files = csvfiles.detect_encodings(spark, paths).select(F.col("path").alias("source_file"), "encoding")
+    rows = attach(csvfiles.read_recipients(spark, paths, "mail-1"), files, ["source_file"])
+    return rows.groupBy("encoding", "raw_email").agg(F.count("*").alias("n"))
+
+
 @query("csv_line_numbers", "S05", sql(v.MAIL_ROWS, body="SELECT line_no AS line, true AS in_order FROM mail_rows"))
 def csv_line_numbers(spark, sf_dir):
     """Every row of one file gets the number of its line; rows are written in order, so numbers must follow them."""

@@ -3,6 +3,8 @@
 Tables are read as file streams through a path pattern; it fits a single file as well as a folder of files.
 """
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from postmill.operators import intake
@@ -11,7 +13,7 @@ from postmill.plans.intake import _written_csv
 from postmill.plans.registry import query
 from postmill.plans.views import sql
 from postmill.session import new_folder
-from postmill.streaming import jobs, runner, timers
+from postmill.streaming import jobs, poll, runner, timers
 
 
 def arriving(spark, sf_dir, name):
@@ -87,6 +89,28 @@ def stream_publish(spark, sf_dir):
     return runner.stored(spark, out).select("id", "outcome")
 
 
+@query("stream_poll", "ST4 T10 T17", sql(v.OUTBOX, """tries AS (SELECT id, attempts AS a0, last_error AS e0, (id % 6) IN (1, 4, 5) AS ok0,
+  ((id + 1) % 6) IN (1, 4, 5) AS ok1,
+  CASE WHEN id % 6 = 3 THEN 'nack 1' ELSE 'No answer from the broker in time' END AS e1,
+  CASE WHEN (id + 1) % 6 = 3 THEN 'nack 1' ELSE 'No answer from the broker in time' END AS e2
+ FROM outbox WHERE NOT published)""", body="""
+SELECT CAST(id AS VARCHAR) AS id, CASE WHEN a0 >= 5 THEN 'dead_letter' WHEN ok0 THEN 'published' WHEN a0 + 1 >= 5 THEN 'dead_letter'
+ WHEN ok1 THEN 'published' WHEN a0 + 2 >= 5 THEN 'dead_letter' ELSE 'sent' END AS outcome,
+ CAST(CASE WHEN a0 >= 5 OR ok0 THEN a0 WHEN a0 + 1 >= 5 OR ok1 THEN a0 + 1 ELSE a0 + 2 END AS INT) AS attempts,
+ CASE WHEN a0 >= 5 OR ok0 THEN e0 WHEN a0 + 1 >= 5 OR ok1 THEN e1 ELSE e2 END AS last_error FROM tries"""))
+def stream_poll(spark, sf_dir):
+    """Three polls a minute apart: answers arrive as a stream, unanswered and refused messages come back."""
+    part, path = v.table(spark, sf_dir, "part"), new_folder(spark, "stream-poll")
+    answers = v.broker_answers_from(part)
+    for n in range(3):
+        now = v.AS_OF_2024 + datetime.timedelta(minutes=n)
+        if n:
+            answers.where(F.col("poll") == n - 1).drop("poll").write.mode("append").parquet(f"{path}/answers")
+            runner.finish(poll.confirm(runner.files(spark, f"{path}/answers", answers.drop("poll").schema), path, now))
+        runner.finish(poll.send(v.outbox_from(arriving(spark, sf_dir, "part")), path, now))
+    return poll.settled(spark, path).select("id", "outcome", "attempts", "last_error")
+
+
 @query("stream_retry", "ST5", sql(v.JOB_FAILURES, body="""
 SELECT mailing_id, 'dead_letter' AS outcome, 3 AS attempts, ts AS at FROM job_failures WHERE attempt >= 2 UNION ALL
 SELECT mailing_id, 'redelivered', attempt + 1, due FROM (SELECT *,

@@ -150,6 +150,29 @@ def publish_results_from(part):
         F.when(~ok, _text("nack ", F.col("seq"))).alias("error"))
 
 
+def broker_answers_from(part):
+    """Broker answers to the first and second try of the unpublished messages, a minute apart: none, a refusal and then a
+    success, a success after the time limit, a refusal, two successes, or one."""
+    rows = outbox_from(part).where(~F.col("published")).withColumn("poll", F.explode(F.array(F.lit(0), F.lit(1))))
+    kind = (F.col("id") + F.col("poll")) % 6
+
+    def answers(*given):
+        return F.array(*[F.struct(F.lit(seq).alias("seq"), F.lit(ok).alias("ok"), F.lit(wait).alias("wait"))
+                         for seq, ok, wait in given])
+
+    given = (
+        F.when(kind == 1, answers((1, False, 5), (2, True, 10))).when(kind == 2, answers((1, True, 45)))
+        .when(kind == 3, answers((1, False, 5))).when(kind == 4, answers((1, True, 5), (2, True, 6)))
+        .when(kind == 5, answers((1, True, 20)))
+    )
+    seconds = (F.col("poll") * 60 + F.col("a.wait")).cast("decimal(18,6)")
+    return rows.withColumn("a", F.explode(given)).select(
+        F.col("id").alias("message_id"), (F.col("attempts") + F.col("poll")).alias("attempt"), "a.seq", "a.ok",
+        F.when(~F.col("a.ok"), _text("nack ", F.col("a.seq"))).alias("error"),
+        (F.lit(AS_OF_2024).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)).cast("timestamp").alias("answered_at"),
+        "poll")
+
+
 def job_failures_from(part):
     """Failed processing jobs with their attempt counter."""
     key = F.col("p_partkey")

@@ -1,15 +1,29 @@
-"""Recipient CSV files in any of the known encodings and layouts."""
+"""Recipient CSV files in any of the known encodings and layouts.
 
+What a file is like - encoding, header, place of the address - is read from its first bytes only, in tasks, whatever its
+size. All files are then read in one scan by position: bytes are taken as Latin-1, which keeps them as they are and has the
+same delimiters, and the address alone is decoded again when its file is UTF-8.
+"""
+
+import codecs
 import csv
+import re
 from dataclasses import dataclass
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from postmill import constants as K
+from postmill.operators.spread import attach
 
 UTF8, UTF8_BOM, LATIN1 = "utf-8", "utf-8-bom", "iso-8859-1"
-SMALL_FILE = 16 << 20
-HEADER_BYTES = 64 << 10
+#: The first line with content: what comes before it, and the line up to its end.
+FIRST_LINE = re.compile(rb"\s*([^\r\n]*)([\r\n]?)")
+CHUNK_BYTES = 64 << 10
+#: Characters that stand in a URI as they are.
+URI = "%/:?#[]@!$&'()*+,;=~"
 
 
 @dataclass(frozen=True)
@@ -23,65 +37,67 @@ class CsvOptions:
     multi_line: bool = False
 
 
-def head_bytes(content, size=K.ENCODING_HEAD_BYTES):
-    """The first bytes of a file without a character that the cut left incomplete."""
-    head = F.substring(content, 1, size)
-    cut = F.length(content) > size
-    back = [F.hex(F.substring(head, -i, 1)) for i in (1, 2, 3)]
-    starts = [F.conv(b, 16, 10).cast("int") for b in back]
-    # A lead byte of an n-byte character among the last n-1 bytes means that the character goes on after the cut.
-    drop = (
-        F.when(starts[0] >= 0xC0, 1)
-        .when(starts[0].between(0x80, 0xBF) & (starts[1] >= 0xE0), 2)
-        .when(starts[0].between(0x80, 0xBF) & starts[1].between(0x80, 0xBF) & (starts[2] >= 0xF0), 3)
-        .otherwise(0)
-    )
-    return F.when(cut, F.substr(head, F.lit(1), F.length(head) - drop)).otherwise(head)
+def encoding_of(head, cut):
+    """Encoding name from a file's first bytes; a character that the cut left incomplete does not count as invalid."""
+    if head.startswith(codecs.BOM_UTF8):
+        return UTF8_BOM
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head, final=not cut)
+    except UnicodeDecodeError:
+        return LATIN1
+    return UTF8
+
+
+def look(stream, limit=K.ENCODING_HEAD_BYTES):
+    """(encoding, header): from the first `limit` bytes of a binary file, and its first line with content to the line's end."""
+    start = stream.read(limit + 1)
+    encoding = encoding_of(start[:limit], len(start) > limit)
+    rest = start.removeprefix(codecs.BOM_UTF8)
+    while True:
+        line = FIRST_LINE.match(rest)
+        if line[2]:
+            break
+        more = stream.read(CHUNK_BYTES)
+        if not more:
+            break
+        rest = line[1] + more if line[1] else more
+    return encoding, line[1].decode("latin-1") if encoding == LATIN1 else line[1].decode("utf-8", "replace")
 
 
-def encoding_of(content):
-    """Encoding name from the file's first bytes."""
-    head = head_bytes(content)
-    return (
-        F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", UTF8_BOM)
-        .when(F.is_valid_utf8(head), UTF8)
-        .otherwise(LATIN1)
-    )
+def header_cells(line, delimiter=","):
+    """The cells of a header line, trimmed."""
+    return [cell.strip() for cell in next(csv.reader([line], delimiter=delimiter), [])]
 
 
-def first_line(head, encoding):
-    """First line with content of a file's leading bytes, decoded, without byte-order mark."""
-    text = F.when(encoding == LATIN1, F.decode(head, "ISO-8859-1")).otherwise(
-        F.make_valid_utf8(head.cast("string")))
-    return F.regexp_extract(text, "^[\\ufeff\\s]*([^\\r\\n]*)", 1)
+def email_place(cells, options=CsvOptions()):
+    """Position of the address cell by exact header text or by index; None when there is no such column."""
+    if options.has_header:
+        return cells.index(options.email_column) if options.email_column in cells else None
+    return options.email_index if options.email_index < len(cells) else None
 
 
-def catalogue(spark: SparkSession, paths, small=SMALL_FILE) -> DataFrame:
-    """(path, length, encoding, header) per file, header being its first line.
+def catalogue(spark: SparkSession, paths, options=CsvOptions()) -> DataFrame:
+    """(path, length, encoding, header, place) per file: its first line and the position of the address cell in it.
 
-    Small files are looked at as bytes. Of a larger one only the leading lines are kept, cut down in the scanning task:
-    4096 lines hold at least 4096 bytes. Line readers drop a byte-order mark, so larger files count as plain utf-8.
+    Spark lists the files and deals them out by size; tasks open each one and read its first bytes and its first line. The
+    store must be one that Arrow opens by the path's scheme. Files without any byte have no row.
     """
-    files = spark.read.format("binaryFile").load(paths).where(F.col("length") <= small)
-    looked = files.select("path", "length", F.col("content"))
-    lines = spark.read.text(paths).where(F.col("_metadata.file_size") > small).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
-        F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"),
-        F.substring(F.col("value").cast("binary"), 1, HEADER_BYTES).alias("_bytes"),
-    )
-    order = Window.partitionBy("path", "length").orderBy("_n")
-    heads = (
-        lines.where(F.col("_at") == 0).withColumn("_row", F.row_number().over(order))
-        .where(F.col("_row") <= K.ENCODING_HEAD_BYTES)
-        .withColumn("_before", F.sum(F.length("_bytes") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        .where(F.coalesce("_before", F.lit(0)) < HEADER_BYTES)
-        .groupBy("path", "length")
-        .agg(F.array_sort(F.collect_list(F.struct("_row", F.hex("_bytes").alias("h")))).alias("_lines"))
-        .select("path", "length", F.unhex(F.array_join(F.transform("_lines", lambda x: x["h"]), "0A")).alias("content"))
-    )
-    found = looked.unionByName(heads).withColumn("encoding", encoding_of(F.col("content")))
-    start = head_bytes(F.col("content"), HEADER_BYTES)
-    return found.select("path", "length", "encoding", first_line(start, F.col("encoding")).alias("header"))
+    def heads(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                # Spark leaves characters beyond ASCII in its paths as they are.
+                store, place = fs.FileSystem.from_uri(quote(path, safe=URI))
+                with store.open_input_file(place) as stream:
+                    encoding, header = look(stream)
+                rows.append((encoding, header, email_place(header_cells(header, options.delimiter), options)))
+            columns = zip(*rows) if rows else ((), (), ())
+            found = [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], ["path", "length", "encoding", "header", "place"])
+
+    files = spark.read.format("binaryFile").load(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"))
+    return files.mapInArrow(heads, "path string, length long, encoding string, header string, place int")
 
 
 def detect_encodings(spark: SparkSession, paths) -> DataFrame:
@@ -98,51 +114,29 @@ def read_csv(spark: SparkSession, paths, options=CsvOptions(), encoding="UTF-8",
     return (reader.schema(schema) if schema else reader).csv(paths)
 
 
-def header_cells(line, delimiter=","):
-    """The cells of a header line, trimmed."""
-    return [cell.strip() for cell in next(csv.reader([line], delimiter=delimiter), [])]
-
-
-def email_place(cells, options=CsvOptions()):
-    """Position of the address cell by exact header text or by index; None when there is no such column."""
-    if options.has_header:
-        return cells.index(options.email_column) if options.email_column in cells else None
-    return options.email_index if options.email_index < len(cells) else None
-
-
 def read_recipients(spark: SparkSession, paths, mailing_id, options=CsvOptions()) -> DataFrame:
     """Rows (mailing_id, raw_email, source_file, split_start, row_key) of files that may differ in encoding and header.
 
-    mailing_id: a text, or a Column over source_file when each file is a mailing of its own.
-
-    The catalogue of files - one short row per file with its encoding and header line - is planned on the driver, as any
-    file listing is; file contents are only read by tasks. Files that share encoding and header share one scan.
+    mailing_id: a text, or a Column over source_file when each file is a mailing of its own. One scan reads all files up to
+    the rightmost address column; of the catalogue, the driver sees that one number.
     """
-    groups = {}
-    for row in catalogue(spark, paths).toLocalIterator():
-        coding = "ISO-8859-1" if row["encoding"] == LATIN1 else "UTF-8"
-        line = row["header"] or ""
-        layout = line if options.has_header else str(line.count(options.delimiter))
-        # Files with an unusually long first line are not compared with each other.
-        own = row["path"] if len(line) >= HEADER_BYTES // 4 else ""
-        groups.setdefault((coding, layout, own), []).append(row["path"])
-    out = None
-    for (coding, layout, _), files in sorted(groups.items()):
-        cells = header_cells(layout, options.delimiter) if options.has_header else [""] * (int(layout) + 1)
-        place = email_place(cells, options)
-        # Cells are read by position: Spark would rename headers that differ in case only.
-        schema = ", ".join(f"_c{i} string" for i in range(max(1, len(cells))))
-        df = read_csv(spark, sorted(files), options, coding, schema)
-        cell = F.lit(None).cast("string") if place is None else df[f"_c{place}"]
-        part = df.select(
-            cell.alias("raw_email"), F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("row_key"),
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    files = catalogue(spark, paths, options).select(F.col("path").alias("source_file"), "encoding", "place")
+    known = files.agg(F.count("*").alias("n"), F.max("place").alias("last")).first()
+    if not known["n"]:
         raise FileNotFoundError(f"no CSV file under {paths}")
+    # Cells are read by position: Spark would rename headers that differ in case only.
+    names = [f"_c{i}" for i in range((known["last"] or 0) + 1)]
+    df = read_csv(spark, paths, options, "ISO-8859-1", ", ".join(f"{name} string" for name in names))
+    rows = df.select(
+        F.array(*names).alias("_cells"), F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("row_key"))
+    rows = attach(rows, files, ["source_file"])
+    cell = F.when(F.col("place").isNotNull(), F.get("_cells", F.col("place")))
+    decoded = F.make_valid_utf8(F.encode(cell, "ISO-8859-1").cast("string"))
+    text = (F.when(F.col("encoding") == LATIN1, cell).when(F.col("encoding") == UTF8, decoded)
+            .otherwise(F.ltrim(decoded, F.lit("\ufeff"))))
     owner = F.lit(mailing_id) if isinstance(mailing_id, str) else mailing_id
-    return out.withColumn("mailing_id", owner)
+    return rows.select(text.alias("raw_email"), "source_file", "split_start", "row_key").withColumn("mailing_id", owner)
 
 
 def with_line_numbers(rows: DataFrame) -> DataFrame:

@@ -51,12 +51,6 @@ def publish(messages: DataFrame, results_of, as_of, out, checkpoint, **options):
     return runner.to_batches(messages, out, checkpoint, step, **options)
 
 
-def publish_poll(messages: DataFrame, results_of, as_of, out, checkpoint):
-    """The standing form of `publish`: a micro-batch every few seconds."""
-    trigger = {"processingTime": f"{K.OUTBOX_POLL_SECONDS} seconds"}
-    return publish(messages, results_of, as_of, out, checkpoint, trigger=trigger)
-
-
 def live_counts(changes: DataFrame) -> DataFrame:
     """Entries per mailing and status from change rows (mailing_id, status, delta). Run in update mode."""
     return changes.groupBy("mailing_id", "status").agg(F.sum("delta").alias("count"))

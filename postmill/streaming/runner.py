@@ -3,6 +3,7 @@
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -15,6 +16,13 @@ def files(spark: SparkSession, path, schema, kind="parquet", per_trigger=None, *
     return reader.format(kind).load(path)
 
 
+def folder(spark: SparkSession, path):
+    """The path, made if it is not there yet: a stream may start before its folder has files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    return path
+
+
 def with_rocksdb(spark: SparkSession):
     """Keyed timers need the RocksDB state store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -86,15 +94,28 @@ def anything_stored(spark: SparkSession, out) -> bool:
     return bool(pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern))
 
 
-def combine_last(stream: DataFrame, keys, order) -> DataFrame:
+def combine_last(stream: DataFrame, keys, order, clock=None) -> DataFrame:
     """Keep only the last row per key of each Arrow batch before the rows are shuffled by key.
 
-    For a hot key this sends one row per Arrow batch to the task that owns its state instead of every row.
+    For a hot key this sends one row per Arrow batch to the task that owns its state instead of every row. With `clock`, a new
+    column of that name is null in these rows, so that a watermark on it finds none of them late, and the last row of the
+    batch comes once more as a tick that carries its time (the first column of `order`) there.
     """
     keys, order = list(keys), list(order)
 
     def last_rows(batches):
         for rows in batches:
-            yield rows.sort_values(order, kind="stable").drop_duplicates(keys, keep="last")
-
-    return stream.mapInPandas(last_rows, stream.schema)
+            rows = rows.sort_values(order, kind="stable")
+            kept = rows.drop_duplicates(keys, keep="last")
+            if clock is None:
+                yield kept
+            else:
+                times = kept[order[0]]
+                yield kept.assign(**{clock: times.where(times.isna())})
+                tick = rows.tail(1)
+                yield tick.assign(**{clock: tick[order[0]]})
+
+    fields = list(stream.schema.fields)
+    if clock is not None:
+        fields.append(StructField(clock, stream.schema[order[0]].dataType))
+    return stream.mapInPandas(last_rows, StructType(fields))

@@ -1,4 +1,10 @@
-"""Keyed jobs with event-time timers: delayed retry and in-flight time-out."""
+"""Keyed jobs with event-time timers: delayed retry and in-flight time-out.
+
+A key has one small state value. It is released `keep` seconds of event time after its last event when nothing is due any
+more, so the state holds the open keys and those that were closed a short while ago; within that time repeated and late
+rows are recognised. Spark's own time to live counts processing time and does not go with event-time timers, so the release
+is a timer of the key itself.
+"""
 
 import datetime
 
@@ -8,6 +14,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from postmill import constants as K
 from postmill.streaming import runner
 
+#: Seconds of event time for which a closed key is still known.
+KEEP_SECONDS = 3600
+
 
 def _micros(moment):
     return round(moment.timestamp() * 1_000_000)
@@ -18,73 +27,85 @@ def _moment(micros):
     return datetime.datetime.fromtimestamp(whole).replace(microsecond=part)
 
 
-def _with_ticks(rows, delay):
-    """Each row (with ts) twice: as a tick with `clock`, which moves the watermark, and without one, so that the row itself
-    is never too late for its state; the watermark only decides when timers fire."""
-    clock = F.explode(F.array("ts", F.lit(None).cast("timestamp")))
-    return rows.withColumn("clock", clock).withWatermark("clock", delay)
-
-
 class _Retry(StatefulProcessor):
-    """State: the attempt counters already handled, and the attempts to redeliver at each due time."""
+    """State: the attempt counters already handled, the attempts to redeliver with their due times, the last event time."""
 
-    def __init__(self, max_attempts, waits):
-        self.max_attempts = max_attempts
-        self.waits = waits
+    def __init__(self, max_attempts, waits, keep):
+        self.max_attempts, self.waits, self.keep = max_attempts, waits, 1000 * keep
 
     def init(self, handle):
         self.handle = handle
-        self.seen = handle.getMapState("seen", "attempt int", "at bigint")
-        self.due = handle.getMapState("due", "at bigint", "attempts array<int>")
+        self.job = handle.getValueState("job", "seen array<int>, due array<bigint>, next array<int>, last bigint")
 
     def handleInputRows(self, key, rows, timerValues):
+        rows = [row for row in rows if row.clock is None]
+        if not rows:
+            return
+        old = self.job.get()
+        seen, due, following, last = (list(old[0]), list(old[1]), list(old[2]), old[3]) if old else ([], [], [], 0)
+        fresh = False
         for row in rows:
-            if row.clock is not None:
+            if row.attempt in seen:
                 continue
-            if self.seen.containsKey((row.attempt,)):
-                continue
-            self.seen.updateValue((row.attempt,), (_micros(row.ts),))
-            following = row.attempt + 1
-            if following >= self.max_attempts:
+            fresh = True
+            seen.append(row.attempt)
+            micros = _micros(row.ts)
+            last = max(last, micros // 1000)
+            if row.attempt + 1 >= self.max_attempts:
                 yield Row(mailing_id=key[0], outcome="dead_letter", attempts=self.max_attempts, at=row.ts)
                 continue
-            at = _micros(row.ts) // 1000 + 1000 * self.waits[0 if following == 1 else 1]
-            waiting = list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []
-            self.due.updateValue((at,), (waiting + [following],))
+            at = micros // 1000 + 1000 * self.waits[0 if row.attempt == 0 else 1]
+            due.append(at)
+            following.append(row.attempt + 1)
             self.handle.registerTimer(at)
+        if fresh:
+            self.job.update((seen, due, following, last))
+            if not due:
+                self.handle.registerTimer(last + self.keep)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.due.containsKey((at,)):
-            attempts = self.due.getValue((at,))[0]
-            self.due.removeKey((at,))
-            for attempt in attempts:
+        old = self.job.get()
+        if not old:
+            return
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        seen, due, following, last = old
+        for at, attempt in zip(due, following):
+            if at == now:
                 yield Row(mailing_id=key[0], outcome="redelivered", attempts=attempt, at=_moment(at * 1000))
+        left = [(at, attempt) for at, attempt in zip(due, following) if at != now]
+        if left:
+            self.job.update((seen, [at for at, _ in left], [attempt for _, attempt in left], last))
+        elif last + self.keep <= max(now, timerValues.getCurrentWatermarkInMs()):
+            self.job.clear()
+        else:
+            self.job.update((seen, [], [], last))
+            self.handle.registerTimer(last + self.keep)
 
 
 def delayed_retry(
     failures: DataFrame, delay="0 seconds", max_attempts=K.JOB_MAX_ATTEMPTS,
-    waits=(K.RETRY_1_SECONDS, K.RETRY_2_SECONDS),
+    waits=(K.RETRY_1_SECONDS, K.RETRY_2_SECONDS), keep=KEEP_SECONDS,
 ) -> DataFrame:
     """Failed jobs (mailing_id, attempt, ts) -> redeliveries when their wait is over, or dead letters at once.
 
-    A failure that arrives twice counts once. `at` is the time of redelivery or of the last failure. A failure counts however
-    late it arrives; a redelivery that is overdue by then is given the next time timers fire.
+    A failure that arrives twice while its job is known counts once: while a wait of the job runs, and `keep` seconds after
+    its last failure. `at` is the time of redelivery or of the last failure. A failure counts however late it arrives; a
+    redelivery that is overdue by then is given the next time timers fire.
     """
     runner.with_rocksdb(failures.sparkSession)
     timed = failures.select("mailing_id", "attempt", F.col("ts").cast("timestamp").alias("ts"))
-    once = runner.combine_last(timed, ["mailing_id", "attempt"], ["ts"])
-    return _with_ticks(once, delay).groupBy("mailing_id").transformWithState(
-        statefulProcessor=_Retry(max_attempts, tuple(waits)),
+    once = runner.combine_last(timed, ["mailing_id", "attempt"], ["ts"], clock="clock").withWatermark("clock", delay)
+    return once.groupBy("mailing_id").transformWithState(
+        statefulProcessor=_Retry(max_attempts, tuple(waits), keep),
         outputStructType="mailing_id string, outcome string, attempts int, at timestamp",
         outputMode="append", timeMode="eventTime")
 
 
 class _Timeout(StatefulProcessor):
-    """State: last status of the key, its time and order number, and the running timer."""
+    """State: last status of the key, its time and order number, and when its clock runs out (-1: it does not run)."""
 
-    def __init__(self, limits):
-        self.limits = limits
+    def __init__(self, limits, keep):
+        self.limits, self.keep = limits, 1000 * keep
 
     def init(self, handle):
         self.handle = handle
@@ -95,40 +116,51 @@ class _Timeout(StatefulProcessor):
         if newest is None:
             return iter([])
         micros = _micros(newest.ts)
-        old = self.last.get() if self.last.exists() else None
-        if old is not None and (micros, newest.seq) <= (old[1], old[2]):
+        old = self.last.get()
+        if old and (micros, newest.seq) <= (old[1], old[2]):
             return iter([])
-        if old is not None and old[3] >= 0:
-            self.handle.deleteTimer(old[3])
-        timer = -1
-        if newest.status in self.limits:
-            timer = micros // 1000 + 1000 * self.limits[newest.status]
-            self.handle.registerTimer(timer)
-        self.last.update((newest.status, micros, newest.seq, timer))
+        if old:
+            self.handle.deleteTimer(self._timer(old))
+        timer = micros // 1000 + 1000 * self.limits[newest.status] if newest.status in self.limits else -1
+        new = (newest.status, micros, newest.seq, timer)
+        self.last.update(new)
+        self.handle.registerTimer(self._timer(new))
         return iter([])
 
+    def _timer(self, state):
+        """The key's one timer: the end of its clock, or else of the time for which it is kept."""
+        return state[3] if state[3] >= 0 else state[1] // 1000 + self.keep
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.last.exists():
+        old = self.last.get()
+        if not old:
             return
-        status, micros, seq, timer = self.last.get()
-        if timer == expiredTimerInfo.getExpiryTimeInMs():
-            self.last.update((status, micros, seq, -1))
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        status, micros, seq, timer = old
+        if timer == now:
             yield Row(mailing_id=key[0], email=key[1], status=status, last_attempt=_moment(micros),
                       timed_out_at=_moment(timer * 1000))
+        gone = micros // 1000 + self.keep
+        if gone <= max(now, timerValues.getCurrentWatermarkInMs()):
+            self.last.clear()
+        else:
+            self.last.update((status, micros, seq, -1))
+            self.handle.registerTimer(gone)
 
 
-def in_flight_timeout(events: DataFrame, delay="0 seconds", limits=None) -> DataFrame:
+def in_flight_timeout(events: DataFrame, delay="0 seconds", limits=None, keep=KEEP_SECONDS) -> DataFrame:
     """Status events (mailing_id, email, status, ts, seq) -> keys whose last status stayed in flight too long.
 
     limits: seconds per status; other statuses stop the clock. A status counts however late it arrives, if it is the key's
-    last by its time; one that is overdue by then is given the next time timers fire.
+    last by its time; one that is overdue by then is given the next time timers fire. `keep` seconds after its last event a
+    key that is not in flight is forgotten; a status older than that is then taken as the first of a new key.
     """
     runner.with_rocksdb(events.sparkSession)
     limits = limits or {"SENDING": K.RECOVERY_STALE_SECONDS, "PROCESSING": K.CLAIM_STALE_SECONDS}
     timed = events.select("mailing_id", "email", "status", F.col("ts").cast("timestamp").alias("ts"), "seq")
-    last = runner.combine_last(timed, ["mailing_id", "email"], ["ts", "seq"])
-    return _with_ticks(last, delay).groupBy("mailing_id", "email").transformWithState(
-        statefulProcessor=_Timeout(limits),
+    last = runner.combine_last(timed, ["mailing_id", "email"], ["ts", "seq"], clock="clock").withWatermark("clock", delay)
+    return last.groupBy("mailing_id", "email").transformWithState(
+        statefulProcessor=_Timeout(limits, keep),
         outputStructType="mailing_id string, email string, status string, last_attempt timestamp, "
                          "timed_out_at timestamp",
         outputMode="append", timeMode="eventTime")

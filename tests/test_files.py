@@ -77,11 +77,40 @@ def test_invalid_bytes_before_the_head_limit(spark, tmp_path):
     assert C.detect_encodings(spark, put(tmp_path / "a.csv", body)).first()["encoding"] == "iso-8859-1"
 
 
-def test_large_files_are_looked_at_by_line(spark, tmp_path):
-    put(tmp_path / "a.csv", "name,email\n" + "Zoë,z@x.org\n" * 9000, "latin-1")
-    put(tmp_path / "b.csv", "name,email\n" + "Zoë,z@x.org\n" * 9000)
-    found = {r.path[-5:]: (r.encoding, r.header) for r in C.catalogue(spark, str(tmp_path), small=1000).collect()}
-    assert found == {"a.csv": ("iso-8859-1", "name,email"), "b.csv": ("utf-8", "name,email")}
+@pytest.mark.parametrize("size", [1 << 10, 17 << 20])
+def test_files_of_any_size_are_looked_at_alike(spark, tmp_path, size):
+    for name, start, encoding in (("a b%é.csv", b"", "latin-1"), ("b.csv", b"", "utf-8"), ("c.csv", b"\xef\xbb\xbf", "utf-8")):
+        put(tmp_path / name, start + "name,email\n".encode() + "Zoë,zoë@x.org\n".encode(encoding) * (size // 14))
+    found = [(r.length, r.encoding, r.header, r.place) for r in C.catalogue(spark, str(tmp_path)).collect()]
+    assert {x[1:] for x in found} == {(e, "name,email", 1) for e in ("iso-8859-1", "utf-8", "utf-8-bom")}
+    assert all(size / 2 < x[0] < 2 * size for x in found)
+    got = C.read_recipients(spark, str(tmp_path), "m").groupBy("raw_email").count().collect()
+    assert [tuple(r) for r in got] == [("zoë@x.org", 3 * (size // 14))]
+
+
+def test_header_lines_of_any_length(spark, tmp_path, rows):
+    wide = ",".join(f"column{i}" for i in range(15_000))
+    put(tmp_path / "a.csv", f"\n  \r\n{wide},email\n" + "," * 15_000 + "a@x.org\n")
+    assert rows(C.catalogue(spark, str(tmp_path)), "place") == [(15_000,)]
+    put(tmp_path / "a.csv", "email")
+    put(tmp_path / "b.csv", "")
+    put(tmp_path / "c.csv", "\n" * 200_000 + "x,email\n1,c@x.org\n")
+    assert rows(C.catalogue(spark, str(tmp_path)), "header", "place") == [("email", 0), ("x,email", 1)]
+    assert rows(C.read_recipients(spark, str(tmp_path), "m"), "raw_email") == [("c@x.org",)]
+
+
+def test_bytes_beyond_the_head_and_marks(spark, tmp_path, rows):
+    put(tmp_path / "a.csv", b"email\n" + b"a@x.org\n" * 600 + b"z\xff@x.org\n")
+    assert rows(C.read_recipients(spark, str(tmp_path), "m").where("raw_email <> 'a@x.org'"), "raw_email") == [("z\ufffd@x.org",)]
+    put(tmp_path / "a.csv", b"\xef\xbb\xbfemail,n\n\"\xc3\xa9\n\xe2\x82\xac@x.org\",1\n")
+    put(tmp_path / "b.csv", "n,email\n1,\"é\n€@y.org\"\n")
+    got = C.read_recipients(spark, str(tmp_path), "m", C.CsvOptions(multi_line=True))
+    assert rows(got, "raw_email") == [("é\n€@x.org",), ("é\n€@y.org",)]
+    put(tmp_path / "a.csv", b"\xef\xbb\xbf\xc3\xa9@x.org\n")
+    put(tmp_path / "b.csv", "y@x.org\n")
+    for over_lines in (False, True):
+        got = C.read_recipients(spark, str(tmp_path), "m", C.CsvOptions(has_header=False, multi_line=over_lines))
+        assert rows(got, "raw_email") == [("y@x.org",), ("é@x.org",)]
 
 
 def test_files_of_mixed_encoding_and_header(spark, tmp_path, rows):
