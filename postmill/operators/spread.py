@@ -10,6 +10,10 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SPREAD = 64
 GROUP_ROWS = 2_000_000
+#: Counters of the sketch that looks for frequent keys.
+TRACKED_KEYS = 10_000
+#: Equal rows of a frequent key that go to one task.
+EQUAL_ROWS = 1000
 
 
 def fits(df: DataFrame, rows=BROADCAST_ROWS, size=BROADCAST_BYTES) -> bool:
@@ -21,18 +25,48 @@ def fits(df: DataFrame, rows=BROADCAST_ROWS, size=BROADCAST_BYTES) -> bool:
     return seen["n"] <= rows and (seen["b"] or 0) <= size
 
 
+def frequent(df: DataFrame, keys, share=SPREAD, tracked=TRACKED_KEYS) -> list:
+    """Hashes of the keys that hold more than one in `share` of the rows: at most `share` numbers.
+
+    A mergeable sketch of the most frequent values is filled per task; with `tracked` counters its error is far below the
+    limit, so no such key is missed.
+    """
+    key = F.xxhash64(*keys)
+    seen = df.select(key.alias("h")).agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k(h, {share}, {tracked})").alias("top")).first()
+    return [t["item"] for t in seen["top"] or [] if t["count"] * share > seen["n"] and t["count"] > 1]
+
+
 def attach(many: DataFrame, one: DataFrame, on, how="left", rows=BROADCAST_ROWS, spread=SPREAD) -> DataFrame:
     """Join rows to a table with at most one row per key, whatever share of the rows one key holds.
 
-    A table proven small is broadcast. A larger one is copied to `spread` slots and each row picks a slot by a hash of
-    its other columns, so the rows of a hot key go to `spread` tasks.
+    A table proven small is broadcast. Otherwise only the keys that hold more than one in `spread` rows are treated apart:
+    their few rows of `one` are copied to `spread` slots, equal rows of theirs are counted first, and each (or each
+    EQUAL_ROWS equal ones) picks a slot by a hash of its other columns. All other rows meet in a plain join.
+
+    On a stream, whose keys cannot be counted beforehand, all of `one` is copied.
     """
+    on = list(on)
     if fits(one, rows):
         return many.join(F.broadcast(one), on, how)
     others = [c for c in many.columns if c not in on]
-    slot = F.pmod(F.xxhash64(*others), F.lit(spread)).cast("int") if others else F.lit(0)
-    copies = one.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return many.withColumn("_slot", slot).join(copies, [*on, "_slot"], how).drop("_slot")
+    if many.isStreaming:
+        slot = F.pmod(F.xxhash64(*others), F.lit(spread)).cast("int") if others else F.lit(0)
+        copies = one.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        return many.withColumn("_slot", slot).join(copies, [*on, "_slot"], how).drop("_slot")
+    hot = frequent(many, on, spread)
+    if not hot:
+        return many.join(one, on, how)
+    is_hot = F.xxhash64(*on).isin(hot)
+    copies = one.where(is_hot).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    packs = many.where(is_hot).groupBy(*many.columns).agg(F.count("*").alias("_n")).withColumn(
+        "_pack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / EQUAL_ROWS))))
+    packs = packs.withColumn("_slot", F.pmod(F.xxhash64(*others, "_pack"), F.lit(spread)).cast("int"))
+    met = packs.join(copies, [*on, "_slot"], how)
+    left = F.least(F.lit(EQUAL_ROWS).cast("bigint"), F.col("_n") - F.col("_pack") * EQUAL_ROWS)
+    met = met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left))).drop("_slot", "_n", "_pack", "_copy")
+    plain = many.where(~is_hot).join(one.where(~is_hot), on, how)
+    return plain.unionByName(met.select(*plain.columns))
 
 
 def _partitions(df):

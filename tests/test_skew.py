@@ -46,6 +46,35 @@ def test_attach_spreads_the_hot_key(spark, hot):
             spark.conf.set(c, value)
 
 
+def test_equal_rows_of_a_hot_key_go_to_many_tasks(spark):
+    many = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+                                      F.lit("same").alias("x"))
+    one = many.select("k").distinct().withColumn("size", F.length("k"))
+    assert len(spread.frequent(many, ["k"])) == 1
+    assert spread.frequent(spark.range(5000).select(F.col("id").alias("k")), ["k"]) == []
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled",
+                                          "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        out = spread.attach(many, one, ["k"], rows=1)
+        tasks = out.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) >= 4 and sum(r["count"] for r in tasks) == 10_000 and out.count() == 20_000
+        assert out.where("size IS NULL").count() == 0
+    finally:
+        for c, value in old.items():
+            spark.conf.set(c, value)
+
+
+def test_attach_keeps_rows_without_a_key(spark):
+    many = spark.createDataFrame([(None, 1)] * 50 + [("a", 2), ("b", 3)], "k string, v int")
+    one = spark.createDataFrame([("a", 1.0), ("c", 2.0), ("d", 2.0)], "k string, w double")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        a, b = (spread.attach(many, one, ["k"], how, rows=n) for n in (1, 100))
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
 def test_fits_is_exact(spark, hot):
     assert spread.fits(hot, rows=6000) and not spread.fits(hot, rows=5999)
     assert not spread.fits(hot, rows=6000, size=1000)
