@@ -30,6 +30,8 @@ REASON_CHARS = 50
 PAGE_LIMIT_DEFAULT = 100
 PAGE_LIMIT_MAX = 1000
 ENCODING_HEAD_BYTES = 4096
+BUCKETS = 256
+FENCE_ROWS = 10_000
 LOCAL_PART_MAX = 64
 DOMAIN_MAX = 255
 

@@ -20,6 +20,11 @@ def row_id(*parts) -> Column:
     return F.concat_ws("-", *[F.substring(h, start, size) for start, size in cuts])
 
 
+def bucket(mailing_id) -> Column:
+    """Folder of a mailing: readers of one mailing prune to one folder."""
+    return F.pmod(F.xxhash64(mailing_id), F.lit(K.BUCKETS)).cast("int")
+
+
 def _digest(secret, mailing_id, email, part=0) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(secret), mailing_id, email, F.lit(str(part))), 256)
 

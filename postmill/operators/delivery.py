@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from postmill import constants as K
 from postmill.functions import keys, payload, retry, texts
-from postmill.operators.spread import attach, last_per_key, running
+from postmill.operators.spread import last_per_key, running
 
 KEY = ["mailing_id", "email"]
 
@@ -249,7 +249,3 @@ def send_requests(entries: DataFrame, secret="postmill") -> DataFrame:
         texts.message_subject().alias("subject"), texts.message_body(code).alias("body"),
         keys.idempotency_key(m, e, attempt).alias("idempotency_key"),
     )
-
-
-def with_mailing_filename(rows: DataFrame, mailings: DataFrame) -> DataFrame:
-    return attach(rows, mailings.select(F.col("id").alias("mailing_id"), "filename"), ["mailing_id"])

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postmill import constants as K
+from postmill.functions import keys
 from postmill.functions.texts import status_filter
-from postmill.operators.spread import attach, global_index
+from postmill.operators.spread import attach, global_index, running
 
 # Deeper pages are found by distributed numbering instead of a top-k that one task would have to hold.
 TOP_ROWS = 100_000
@@ -16,14 +17,17 @@ def moment(as_of, seconds_back=0):
 
 
 def entries_of(entries: DataFrame, mailing_id, status=None) -> DataFrame:
+    """Entries of one mailing; of a stored table only the mailing's folder is read."""
     out = entries.where(F.col("mailing_id") == mailing_id)
+    if "bucket" in entries.columns:
+        out = out.where(F.col("bucket") == keys.bucket(F.lit(mailing_id)))
     wanted = status_filter(status)
     return out.where(F.col("status") == wanted) if wanted else out
 
 
-def find(df: DataFrame, **keys) -> DataFrame:
+def find(df: DataFrame, **values) -> DataFrame:
     """Rows equal to every given column value."""
-    for name, value in keys.items():
+    for name, value in values.items():
         df = df.where(F.col(name) == value)
     return df
 
@@ -134,6 +138,52 @@ def page_after(entries, mailing_id, created_at, last_id, status=None, limit=K.PA
     return entries_of(entries, mailing_id, status).where(later).orderBy("created_at", "id").limit(limit)
 
 
+def _ordered(order, descending):
+    return [F.desc(c) if descending else F.asc(c) for c in order]
+
+
+def fences(rows: DataFrame, key=None, order=("created_at", "id"), every=K.FENCE_ROWS, descending=False) -> DataFrame:
+    """Every n-th row of the order (of each key), as key, order columns and slot, counted from 0: a table that is smaller
+    than the rows by the factor `every`."""
+    base = rows.select(*([key] if key else []), *order)
+    if key:
+        numbered = running(base, [key], _ordered(order, descending) if descending else list(order), number="slot")
+        numbered = numbered.withColumn("slot", F.col("slot") - 1)
+    else:
+        numbered = global_index(base, _ordered(order, descending), "slot")
+    return numbered.where(F.col("slot") % every == 0)
+
+
+def _from(order, values, descending):
+    """Condition that a row's place in the order is that of the values or behind it."""
+    out = F.lit(True)
+    for c, value in reversed(list(zip(order, values))):
+        further = F.col(c) < value if descending else F.col(c) > value
+        out = further | ((F.col(c) == value) & out)
+    return out
+
+
+def page_by_fences(rows: DataFrame, marks: DataFrame, limit, offset, order=("created_at", "id"), descending=False) -> DataFrame:
+    """The rows at offset ... offset + limit - 1 of an order, however deep: only the interval between the marks around them is
+    read and sorted, and the driver sees these two marks. rows and marks are those of one key."""
+    _page_size(limit, offset)
+    slot, row = F.col("slot"), F.struct("slot", *order)
+    ends = marks.agg(F.max_by(row, F.when(slot <= offset, slot)).alias("low"),
+                     F.min_by(row, F.when(slot >= offset + limit, slot)).alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    if low is None:
+        return rows.limit(0)
+    def values(mark):
+        return [F.lit(mark[c]).cast(rows.schema[c].dataType) for c in order]
+
+    # The bound of the first column alone reaches the scan.
+    first, start = F.col(order[0]), values(low)
+    part = rows.where(first <= start[0] if descending else first >= start[0]).where(_from(order, start, descending))
+    if high is not None:
+        part = part.where(~_from(order, values(high), descending))
+    return part.orderBy(*_ordered(order, descending)).offset(offset - low["slot"]).limit(limit)
+
+
 def report_rank(status):
     return F.when(status == "SENT", 1).when(status == "FAILED", 2).when(status == "INVALID", 3).otherwise(4)
 

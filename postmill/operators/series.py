@@ -1,7 +1,5 @@
 """Metric series: counters, cumulative histograms and gauges as rows (metric, labels, le, value)."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from postmill import constants as K
@@ -20,6 +18,14 @@ def counter(events: DataFrame, metric, labels, amount=None) -> DataFrame:
         F.lit(metric).alias("metric"), *labels, "value")
 
 
+def counters(events: DataFrame, *parts) -> DataFrame:
+    """Several counters in one pass: metric, label, value. parts: (metric, label Column, condition Column or None)."""
+    marks = [F.when(F.lit(True) if condition is None else condition, F.struct(F.lit(metric).alias("metric"), label.alias("label")))
+             for metric, label, condition in parts]
+    hits = events.select(F.explode(F.array(*marks)).alias("m")).where(F.col("m").isNotNull())
+    return hits.groupBy("m.metric", "m.label").agg(F.count("*").cast("double").alias("value"))
+
+
 def histogram(events: DataFrame, metric, labels, value, bounds) -> DataFrame:
     """Cumulative buckets per label combination, with le in (bounds, +Inf, sum, count). One pass over the events."""
     v = F.col(value)
@@ -45,17 +51,13 @@ def as_series(df: DataFrame, labels) -> DataFrame:
 
 
 def delivery_series(decided: DataFrame) -> DataFrame:
-    """The e-mail counters and the send-time histogram of decided attempts, in the stored shape."""
-    marked = decided.withColumns({
-        "status": F.when(F.col("success"), "SENT").otherwise("FAILED"), "reason": F.col("class_reason")})
-    failed = marked.where(~F.col("success"))
-    dead = marked.where(F.col("move_to_dlq")).withColumn("status", F.lit("DEAD_LETTER"))
-    started = marked.withColumn("status", F.lit("SENDING"))
-    parts = [
-        as_series(counter(part.select("status"), K.METRIC_EMAILS, ["status"]), ["status"])
-        for part in (marked, dead, started)
-    ]
-    parts.append(as_series(counter(failed, K.METRIC_RETRIES, ["reason"]), ["reason"]))
-    parts.append(as_series(
-        histogram(marked, K.METRIC_SEND_SECONDS, ["status"], "duration_s", K.SEND_BOUNDS), ["status"]))
-    return reduce(DataFrame.unionByName, parts)
+    """The e-mail counters and the send-time histogram of decided attempts, in the stored shape; two passes."""
+    status = F.when(F.col("success"), "SENT").otherwise("FAILED")
+    counts = counters(
+        decided, (K.METRIC_EMAILS, status, None), (K.METRIC_EMAILS, F.lit("SENDING"), None),
+        (K.METRIC_EMAILS, F.lit("DEAD_LETTER"), F.col("move_to_dlq")), (K.METRIC_RETRIES, F.col("class_reason"), ~F.col("success")))
+    name = F.when(F.col("metric") == K.METRIC_RETRIES, "reason").otherwise("status")
+    counted = counts.select("metric", F.create_map(name, F.col("label")).alias("labels"), F.lit(None).cast("string").alias("le"),
+                            "value")
+    timed = histogram(decided.withColumn("status", status), K.METRIC_SEND_SECONDS, ["status"], "duration_s", K.SEND_BOUNDS)
+    return counted.unionByName(as_series(timed, ["status"]))

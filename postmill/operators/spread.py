@@ -10,6 +10,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SPREAD = 64
 GROUP_ROWS = 2_000_000
+#: Input of at most this size is numbered without counting its keys.
+GROUP_BYTES = 128 << 20
 #: Counters of the sketch that looks for frequent keys.
 TRACKED_KEYS = 10_000
 #: Equal rows of a frequent key that go to one task.
@@ -112,14 +114,25 @@ def _local_columns(keys, order, number, total, previous):
     return out
 
 
+def input_bytes(df: DataFrame):
+    """Bytes of the tables that df reads, by the planner's knowledge and without a job; None when one is not known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else None
+
+
 def running(df: DataFrame, keys, order, number=None, total=None, previous=None, group_rows=GROUP_ROWS) -> DataFrame:
     """Row numbers, running sums and previous values per key, in a total order of each key's rows.
 
     number: name of the row-number column; total: {name: Column} summed up to the row; previous: {name: column} taken
     from the row before. Keys with more than `group_rows` rows are cut into range-sorted blocks that are worked on
-    separately; the state carried into a block is one small row per block that a key continues in.
+    separately; the state carried into a block is one small row per block that a key continues in. Input that one task can
+    sort as a whole has no such key, so nothing is counted beforehand.
     """
     keys = list(keys)
+    size = input_bytes(df)
+    if group_rows == GROUP_ROWS and size is not None and size <= GROUP_BYTES:
+        return df.withColumns(_local_columns(keys, order, number, total, previous))
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     # At most rows/group_rows keys.
     hot = cut(sizes.where(F.col("_n") > group_rows).select(*keys))
@@ -147,7 +160,7 @@ def _blockwise(df, keys, order, number, total, previous):
     for name, source in previous.items():
         rows = rows.withColumn(name, F.lag(source).over(inner))
 
-    last = F.struct(*[F.col(c) for c in order])
+    last = F.struct(*[F.col(c) for c in order]) if previous else None
     summary = placed.groupBy(*parts).agg(
         F.count("*").alias("_n"),
         *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in total],

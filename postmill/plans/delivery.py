@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postmill.functions import keys, payload, retry, texts
-from postmill.operators import delivery as D, intake, lookups as L, reports as R
+from postmill.operators import delivery as D, intake, lookups as L, recovery, reports as R
 from postmill.operators.validate import validate
 from postmill.plans import views as v
 from postmill.plans.reading import DEAD, attempts_of, entries_of
@@ -213,6 +213,24 @@ def upsert_outcomes(spark, sf_dir):
                       "invalid_reason", "validation_details", "created_at", "updated_at")
 
 
+SOME = "('m3', 'm6', 'm9')"
+
+
+@query("change_stored", "T02 T03 T14 S07", sql(v.SEND_ATTEMPTS, v.OUTCOMES, v.KNOWN, body=f"""
+SELECT mailing_id, email, token, status, attempts, last_attempt, external_id, invalid_reason FROM (
+{UPSERT.replace("FROM outcomes WINDOW", f"FROM outcomes WHERE mailing_id IN {SOME} WINDOW")}) WHERE mailing_id <> 'm0'"""))
+def change_stored(spark, sf_dir):
+    """Stored entries changed folder by folder: all known ones, then the outcomes of three mailings, then one mailing removed."""
+    path, name = new_folder(spark, "changes"), "mailing_entries"
+    tables.change(known_of(spark, sf_dir), path, name, lambda _, known: known, "load")
+    outcomes = outcomes_of(spark, sf_dir).where(F.col("mailing_id").isin("m3", "m6", "m9"))
+    tables.change(outcomes, path, name, D.upsert_outcomes, "outcomes")
+    gone = spark.createDataFrame([("m0",)], "mailing_id string")
+    tables.change(gone, path, name, lambda rows, ids: recovery.purge(ids, mailing_entries=rows)["mailing_entries"], "removal")
+    return tables.current(spark, path, name).select(
+        "mailing_id", "email", "token", "status", "attempts", "last_attempt", "external_id", "invalid_reason")
+
+
 @query("claim_entries", "T15", sql(v.SEND_ATTEMPTS, v.KNOWN, body="""
 SELECT k.id, k.mailing_id, k.email, CASE WHEN c.attempt IS NOT NULL THEN 'SENDING' ELSE k.status END AS status,
  CAST(coalesce(c.attempt, k.attempts) AS INT) AS attempts, coalesce(c.ts, k.last_attempt) AS last_attempt

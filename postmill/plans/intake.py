@@ -2,8 +2,8 @@
 
 from pyspark.sql import Window, functions as F
 
-from postmill.functions import keys
-from postmill.operators import intake as I
+from postmill.functions import keys, payload
+from postmill.operators import intake as I, outbox
 from postmill.operators.spread import attach, first_per_key
 from postmill.plans import views as v
 from postmill.plans.registry import query
@@ -229,25 +229,32 @@ def entry_tokens(spark, sf_dir):
         keys.alphanumeric_token("postmill", m, e).alias("short_token"))
 
 
-@query("register_mailings", "T01 P11", sql(v.UPLOADS, v.MAILINGS, body="""
+REGISTERED = sql(v.UPLOADS, v.MAILINGS, body="""
 SELECT u.id, u.filename, 'PENDING' AS status, 0 AS processed_lines, u.total_lines,
  'mailing.jobs.process' AS target_queue, false AS published, u.id AS payload_mailing_id,
  u.filename AS payload_filename, u.storage_url AS payload_url, 0 AS payload_attempt,
  '2024-01-02T00:00:00.000Z' AS payload_created FROM
  (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY id) AS rn FROM uploads WHERE lower(filename) LIKE '%.csv') u
-WHERE u.rn = 1 AND u.filename NOT IN (SELECT filename FROM mailings)"""))
-def register_mailings(spark, sf_dir):
-    from postmill.functions.payload import field
-    from postmill.operators import outbox
+WHERE u.rn = 1 AND u.filename NOT IN (SELECT filename FROM mailings)""")
 
-    uploads = v.uploads_from(v.table(spark, sf_dir, "customer"))
-    accepted = I.accepted_uploads(uploads, v.mailings_from(v.table(spark, sf_dir, "part")))
-    rows, messages = outbox.register(accepted, v.AS_OF_2024)
+
+def registered(rows, messages):
+    """Mailings beside their first messages."""
     sent = messages.select(
         F.col("mailing_id").alias("id"), "target_queue", "published",
-        field(F.col("payload"), "mailingId").alias("payload_mailing_id"),
-        field(F.col("payload"), "filename").alias("payload_filename"),
-        field(F.col("payload"), "storageUrl").alias("payload_url"),
-        field(F.col("payload"), "attempt").cast("int").alias("payload_attempt"),
-        field(F.col("payload"), "createdAt").alias("payload_created"))
+        *[payload.field(F.col("payload"), name).alias(alias) for name, alias in (
+            ("mailingId", "payload_mailing_id"), ("filename", "payload_filename"), ("storageUrl", "payload_url"),
+            ("createdAt", "payload_created"))],
+        payload.field(F.col("payload"), "attempt").cast("int").alias("payload_attempt"))
     return rows.select("id", "filename", "status", "processed_lines", "total_lines").join(sent, "id")
+
+
+@query("register_mailings", "T01 P11", REGISTERED)
+def register_mailings(spark, sf_dir):
+    """Both tables of a registration in one commit, read back through it."""
+    path = new_folder(spark, "registered")
+    uploads = v.uploads_from(v.table(spark, sf_dir, "customer"))
+    accepted = I.accepted_uploads(uploads, v.mailings_from(v.table(spark, sf_dir, "part")))
+    rows, messages = outbox.register(accepted, v.AS_OF_2024)
+    tables.commit(path, "load", mailings=rows, outbox_messages=messages)
+    return registered(tables.read_committed(spark, path, "mailings"), tables.read_committed(spark, path, "outbox_messages"))

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from postmill import constants as K
-from postmill.operators import delivery as D, intake, reports as R, schedule as S, series as M
+from postmill.functions import texts
+from postmill.operators import delivery as D, intake, lookups as L, reports as R, schedule as S, series as M
 from postmill.operators.validate import validate
 from postmill.plans import views as v
-from postmill.plans.reading import attempts_of, entries_of, mailings_of
+from postmill.plans.reading import attempts_of, entries_of, mailings_of, progress_of
 from postmill.plans.registry import query
 from postmill.plans.validation import rows_of
 from postmill.plans.views import AS_OF_2024_SQL, AS_OF_SQL, sql
@@ -61,27 +62,23 @@ SELECT 'mailing_crash_recoveries_total', source, CAST(sum(found) AS DOUBLE) FROM
  SELECT 'mailing', count(*) FILTER (WHERE status = 'RUNNING' AND updated_at < {AS_OF_2024_SQL} - INTERVAL '300' SECOND) FROM progress)
 GROUP BY source"""))
 def counters(spark, sf_dir):
-    from postmill.operators import lookups as L
     from postmill.plans.recovery import lifecycle_of
-    from postmill.plans.reading import progress_of
 
     decided = decided_of(spark, sf_dir)
     checked = validate(intake.normalized(rows_of(spark, sf_dir)), v.disposable(spark), raw="raw_email").select(
         F.when(F.col("is_valid"), "VALID").otherwise("INVALID").alias("status"))
-    api = decided.select(F.lit("POST").alias("method"), F.lit("/send-email").alias("route"),
-                         F.coalesce("http_status", F.lit(0)).cast("string").alias("status_code"))
-    renewals = decided.where(F.col("http_status").isin(200, 401)).select(
-        F.when(F.col("http_status") == 401, "FAILED").otherwise("SUCCESS").alias("status"))
+    status = F.col("http_status")
+    sends = M.counters(
+        decided,
+        (K.METRIC_API, F.concat_ws(" ", F.lit("POST"), F.lit("/send-email"), F.coalesce(status, F.lit(0)).cast("string")), None),
+        (K.METRIC_RETRIES, F.col("class_reason"), ~F.col("success")),
+        (K.METRIC_RENEWALS, F.when(status == 401, "FAILED").otherwise("SUCCESS"), status.isin(200, 401)))
     # A recovery run adds its count even when it found nothing.
     stale = L.stale_work(lifecycle_of(spark, sf_dir), progress_of(spark, sf_dir), v.AS_OF_2024).agg(
         F.count("*").alias("found")).select(F.lit("mailing").alias("type"), "found")
     parts = [
         M.counter(checked, K.METRIC_EMAILS, ["status"]).withColumnRenamed("status", "label"),
-        M.counter(api, K.METRIC_API, ["method", "route", "status_code"]).select(
-            "metric", F.concat_ws(" ", "method", "route", "status_code").alias("label"), "value"),
-        M.counter(decided.where(~F.col("success")), K.METRIC_RETRIES, ["class_reason"]).withColumnRenamed(
-            "class_reason", "label"),
-        M.counter(renewals, K.METRIC_RENEWALS, ["status"]).withColumnRenamed("status", "label"),
+        sends,
         M.counter(stale, K.METRIC_RECOVERIES, ["type"], F.col("found")).withColumnRenamed("type", "label"),
     ]
     out = parts[0]
@@ -123,10 +120,13 @@ def histogram_le(spark, sf_dir):
     return out.select("metric", F.col("status").alias("label"), "le", F.round("value", 3).alias("value"))
 
 
-@query("gauges_latest", "A18", sql(v.SEND_ATTEMPTS, body="""
+@query("gauges_latest", "A18", sql(v.SEND_ATTEMPTS, v.PROGRESS, body="""
 SELECT 'mailing_queue_size' AS metric, mailing_id AS label, duration_s AS value FROM
  (SELECT *, row_number() OVER (PARTITION BY mailing_id ORDER BY ts DESC, event_id DESC) AS rn FROM send_attempts)
 WHERE rn = 1 UNION ALL
+SELECT 'mailing_progress_percentage', mailing_id, CASE WHEN total_rows > 0
+ THEN CAST(round(100.0 * processed_rows / total_rows, 2) AS DOUBLE) ELSE 0.0 END FROM progress WHERE status IN ('RUNNING', 'PAUSED')
+UNION ALL
 SELECT 'mailing_active_workers', NULL, CAST(attempt AS DOUBLE) FROM
  (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM send_attempts) WHERE rn = 1"""))
 def gauges_latest(spark, sf_dir):
@@ -135,7 +135,10 @@ def gauges_latest(spark, sf_dir):
         "metric", F.col("mailing_id").alias("label"), "value")
     workers = M.gauge(readings, K.METRIC_WORKERS, [], "worker_count").select(
         "metric", F.lit(None).cast("string").alias("label"), "value")
-    return queue.unionByName(workers)
+    ongoing = L.active_progress(progress_of(spark, sf_dir)).select(
+        F.lit(K.METRIC_PROGRESS).alias("metric"), F.col("mailing_id").alias("label"),
+        texts.percent(F.col("processed_rows"), F.col("total_rows")).alias("value"))
+    return queue.unionByName(workers).unionByName(ongoing)
 
 
 @query("metric_series", "S12 A16 A17", sql(v.SEND_ATTEMPTS, v.CLASSIFIED, body=f"""

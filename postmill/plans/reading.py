@@ -8,6 +8,8 @@ from postmill.operators.outbox import table_counts
 from postmill.plans import views as v
 from postmill.plans.registry import query
 from postmill.plans.views import AS_OF_SQL, sql
+from postmill.session import new_folder
+from postmill.sources import tables
 
 
 def entries_of(spark, sf_dir):
@@ -203,6 +205,28 @@ def mailings_list(spark, sf_dir):
     return L.newest(mailings_of(spark, sf_dir), 20, 10, "QUEUED").select("id", "filename", "status", "created_at")
 
 
+@query("entries_page_deep", "O02 F01", sql(v.ENTRIES, body="""
+SELECT CAST(id AS VARCHAR) AS id, email, created_at FROM entries WHERE mailing_id = 'm3'
+ORDER BY created_at, CAST(id AS VARCHAR) LIMIT 50 OFFSET 1200"""))
+def entries_page_deep(spark, sf_dir):
+    """A deep page of stored entries by the marks stored beside them."""
+    path = new_folder(spark, "pages")
+    tables.append(entries_of(spark, sf_dir), path, "mailing_entries")
+    stored = tables.read_table(spark, path, "mailing_entries")
+    tables.write_fences(stored, path, every=100)
+    marks = L.entries_of(tables.read_fences(spark, path), "m3")
+    return L.page_by_fences(L.entries_of(stored, "m3"), marks, 50, 1200).select("id", "email", "created_at")
+
+
+@query("mailings_page_deep", "O03", sql(v.MAILINGS, body="""
+SELECT id, filename, status, created_at FROM mailings ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 170"""))
+def mailings_page_deep(spark, sf_dir):
+    """The newest mailings from a deep place on."""
+    mailings = mailings_of(spark, sf_dir)
+    marks = L.fences(mailings, every=50, descending=True)
+    return L.page_by_fences(mailings, marks, 20, 170, descending=True).select("id", "filename", "status", "created_at")
+
+
 @query("latest_dead_letters", "O04", sql(v.SEND_ATTEMPTS, v.CLASSIFIED, DEAD, body="""
 SELECT mailing_id, email, reason, created_at FROM dead ORDER BY created_at DESC LIMIT 5"""))
 def latest_dead_letters(spark, sf_dir):

@@ -4,15 +4,18 @@ Tables are read as file streams through a path pattern; it fits a single file as
 """
 
 import datetime
+from contextlib import suppress
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from postmill.operators import intake
 from postmill.plans import views as v
-from postmill.plans.intake import _written_csv
+from postmill.plans.intake import REGISTERED, _written_csv, registered
 from postmill.plans.registry import query
 from postmill.plans.views import sql
 from postmill.session import new_folder
+from postmill.sources import tables
 from postmill.streaming import jobs, poll, runner, timers
 
 
@@ -67,13 +70,23 @@ def stream_dedupe_state(spark, sf_dir):
 @query("stream_resume", "ST3", sql(v.CHECKED, body="""
 SELECT reason, count(*) AS rows FROM checked GROUP BY reason"""))
 def stream_resume(spark, sf_dir):
-    """A job started twice from one checkpoint handles every row once."""
-    rows = v.mail_rows_from(arriving(spark, sf_dir, "orders"))
-    checked = jobs.checked(rows, v.disposable(spark))
+    """A job that crashes with files left and starts again from its checkpoint, with more input, handles every row once."""
+    rows = v.mail_rows_from(v.table(spark, sf_dir, "orders"))
     folder = new_folder(spark, "stream-resume")
-    for _ in range(2):
-        runner.finish(runner.to_files(checked, f"{folder}/out", f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/out").groupBy("reason").agg(F.count("*").alias("rows"))
+    rows.where("line_no % 5 <> 4").repartition(4).write.parquet(f"{folder}/in")
+    source = runner.files(spark, f"{folder}/in", rows.schema, per_trigger=1)
+    checked = jobs.checked(source, v.disposable(spark))
+
+    def crash(batch, batch_id):
+        if batch_id == 2:
+            raise RuntimeError("stopped with input left")
+        return batch
+
+    with suppress(StreamingQueryException):
+        runner.finish(runner.to_batches(checked, f"{folder}/out", f"{folder}/checkpoint", crash))
+    rows.where("line_no % 5 = 4").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    runner.finish(runner.to_batches(checked, f"{folder}/out", f"{folder}/checkpoint"))
+    return runner.stored(spark, f"{folder}/out").groupBy("reason").agg(F.count("*").alias("rows"))
 
 
 @query("stream_publish", "ST4 T10", sql(v.OUTBOX, v.PUBLISH_RESULTS, body="""
@@ -177,3 +190,41 @@ def stream_replay(spark, sf_dir):
             commands, f"{folder}/out", f"{folder}/checkpoint-{run}", on=["mailing_id", "email", "attempt"]))
     stored = runner.stored(spark, f"{folder}/out")
     return stored.groupBy("mailing_id", "email", "attempt", "idempotency_key").agg(F.count("*").alias("n"))
+
+
+@query("stream_register", "ST9 T01", REGISTERED)
+def stream_register(spark, sf_dir):
+    """Uploads registered as they arrive, and all again after a lost checkpoint: one mailing and one message each."""
+    folder = new_folder(spark, "stream-register")
+    tables.commit(folder, "stored", mailings=v.mailings_from(v.table(spark, sf_dir, "part")))
+    for run in ("first", "again"):
+        uploads = v.uploads_from(arriving(spark, sf_dir, "customer"))
+        runner.finish(jobs.register_uploads(uploads, folder, v.AS_OF_2024, f"{folder}/checkpoint-{run}"))
+    rows = tables.read_committed(spark, folder, "mailings").where(F.col("run") != "stored")
+    return registered(rows, tables.read_committed(spark, folder, "outbox_messages"))
+
+
+@query("stream_watch", "ST1 S09", sql(v.CHECKED, body="""
+SELECT CASE WHEN email IS NULL OR email = '' THEN NULL ELSE email END AS email, is_valid, reason, 'checked' AS part, count(*) AS n
+FROM checked WHERE line_no % 3 <> 2 GROUP BY ALL UNION ALL
+SELECT NULL, NULL, NULL, 'archived', count(*) FROM checked WHERE line_no % 3 = 0 UNION ALL
+SELECT NULL, NULL, NULL, 'rejected', count(*) FROM checked WHERE line_no % 3 = 1"""))
+def stream_watch(spark, sf_dir):
+    """Files dropped into a folder in two parts, the second with rows that have a cell too few; the first files are archived
+    when the second ones come."""
+    folder = new_folder(spark, "stream-watch")
+    rows = v.mail_rows_from(v.table(spark, sf_dir, "orders")).select(
+        F.col("raw_email").alias("email"), F.concat_ws(" ", F.lit("Zoë"), "mailing_id").alias("name"), "line_no")
+    v.disposable(spark).write.parquet(f"{folder}/domains")
+    cells = {0: ["email", "name", F.col("line_no").cast("string").alias("line")], 1: ["email", "name"]}
+    for part in (0, 1):
+        rows.where(F.col("line_no") % 3 == part).select(*cells[part]).write.mode("append").option("header", True).csv(f"{folder}/in")
+        runner.finish(jobs.watch(
+            spark, f"{folder}/in", ["email", "name", "line"], f"{folder}/archive", f"{folder}/out", f"{folder}/checkpoint",
+            lambda s: s.read.parquet(f"{folder}/domains")))
+    found = runner.stored(spark, f"{folder}/out/checked").groupBy("email", "is_valid", "reason").agg(F.count("*").alias("n"))
+    out = found.select("email", "is_valid", "reason", F.lit("checked").alias("part"), "n")
+    kept = spark.read.option("recursiveFileLookup", True).option("header", True).csv(f"{folder}/archive")
+    counts = kept.agg(F.count("*").alias("n")).select(F.lit("archived").alias("part"), "n").unionByName(
+        runner.stored(spark, f"{folder}/out/rejected").agg(F.count("*").alias("n")).select(F.lit("rejected").alias("part"), "n"))
+    return out.unionByName(counts, allowMissingColumns=True)

@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 from postmill import constants as K
 from postmill.functions import keys
 from postmill.operators import outbox as outbox_ops
-from postmill.operators.intake import KEY, normalized
+from postmill.operators.intake import KEY, accepted_uploads, normalized
 from postmill.operators.validate import validate
+from postmill.sources import tables
 from postmill.streaming import runner
 
 
@@ -27,19 +28,71 @@ def dedupe_within(rows: DataFrame, time, delay, on=KEY) -> DataFrame:
 
 def store_unseen(rows: DataFrame, out, checkpoint, on=KEY, **options):
     """Store each key once without stream state: copies inside a micro-batch are combined before the shuffle, and keys that
-    any other micro-batch of any run has stored are excluded by an anti join. A repeated micro-batch ignores what it had
+    any other micro-batch of any run has stored are excluded by an anti join with the folders of the keys that arrived. A repeated micro-batch ignores what it had
     stored itself, and a run with a new checkpoint adds only keys that earlier runs have not stored."""
     on = list(on)
     rest = [c for c in rows.columns if c not in on]
+    folder = keys.bucket(F.col(on[0]).cast("string")).alias("bucket")
 
     def fresh(batch, batch_id):
         once = batch.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_r")).select(*on, "_r.*") if rest else batch.distinct()
+        once = once.select("*", folder)
         if not runner.anything_stored(batch.sparkSession, out):
             return once
+        # Only the folders that the micro-batch touches are read: at most K.BUCKETS numbers.
+        touched = [r["bucket"] for r in batch.select(folder).distinct().collect()]
         own = (F.col("run").cast("string") == runner.run_of(batch)) & (F.col("batch") == batch_id)
-        return once.join(runner.stored(batch.sparkSession, out).where(~own).select(*on), on, "left_anti")
+        known = runner.stored(batch.sparkSession, out).where(F.col("bucket").isin(touched) & ~own)
+        return once.join(known.select("bucket", *on), ["bucket", *on], "left_anti").select(*once.columns)
 
-    return runner.to_batches(rows, out, checkpoint, fresh, **options)
+    return runner.to_batches(rows, out, checkpoint, fresh, by="bucket", **options)
+
+
+def commit_batches(rows: DataFrame, path, checkpoint, work, **options):
+    """Store what work(batch, run) gives, {table: rows}, as one commit per micro-batch.
+
+    The commit's name comes from the query and the number of the micro-batch, so a micro-batch that runs again replaces
+    what it had written, and readers see all of its tables or none.
+    """
+    def store(batch, batch_id):
+        run = f"{runner.run_of(batch)}-{batch_id}"
+        tables.commit(path, run, **work(batch, run))
+
+    return runner.for_each(rows, checkpoint, store, **options)
+
+
+def register_uploads(uploads: DataFrame, path, as_of, checkpoint, **options):
+    """Register arriving uploads: a mailing and its first message in one commit; names known from other runs are left out."""
+    def work(batch, run):
+        known = tables.read_committed(batch.sparkSession, path, "mailings").where(F.col("run") != run)
+        rows, messages = outbox_ops.register(accepted_uploads(batch, known), as_of)
+        return {"mailings": rows, "outbox_messages": messages}
+
+    return commit_batches(uploads, path, checkpoint, work, **options)
+
+
+def watch(spark, folder, columns, archive, out, checkpoint, disposable_of=None, raw="email", **options):
+    """Take in CSV files dropped into a folder: rows with verdicts in out/checked, rows with another number of cells than the
+    files have columns in out/rejected too, as their text; files that are done are moved to the archive.
+
+    disposable_of(spark) gives the list of domains; it is read for each micro-batch, so a list that changes or outgrows a
+    broadcast counts from the next one on. Files move when the micro-batch after theirs begins.
+    """
+    schema = ", ".join(f"{c} string" for c in columns) + ", _text string"
+    source = runner.files(
+        spark, folder, schema, "csv", header=True, columnNameOfCorruptRecord="_text", quote='"', escape='"',
+        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, pathGlobFilter="*.csv", cleanSource="archive",
+        sourceArchiveDir=archive)
+
+    def store(batch, batch_id):
+        place = f"run={runner.run_of(batch)}/batch={batch_id}"
+        listed = disposable_of(batch.sparkSession) if disposable_of else None
+        checked(batch.drop("_text"), listed, raw=raw).write.mode("overwrite").parquet(f"{out}/checked/{place}")
+        # The reader fills the text of a bad row only when the cells are read too.
+        bad = batch.select("_text", F.struct(*columns).alias("cells")).where(F.col("_text").isNotNull())
+        bad.select(F.col("_text").alias("line"), "cells").write.mode("overwrite").parquet(f"{out}/rejected/{place}")
+
+    return runner.for_each(source, checkpoint, store, **options)
 
 
 def publish(messages: DataFrame, results_of, as_of, out, checkpoint, **options):

@@ -62,8 +62,14 @@ def run_of(batch: DataFrame) -> str:
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
-def to_batches(stream: DataFrame, out, checkpoint, work=None, mode="append", trigger=None):
-    """Write work(batch, batch_id) of every micro-batch to a folder of its own, out/run=<query>/batch=<id>.
+def for_each(stream: DataFrame, checkpoint, store, mode="append", trigger=None):
+    """Hand every micro-batch to store(batch, batch_id)."""
+    return _start(stream, stream.writeStream.foreachBatch(store).outputMode(mode), checkpoint, trigger)
+
+
+def to_batches(stream: DataFrame, out, checkpoint, work=None, mode="append", trigger=None, by=None):
+    """Write work(batch, batch_id) of every micro-batch to a folder of its own, out/run=<query>/batch=<id>, and in it by the
+    folder column `by`, if any.
 
     A micro-batch that runs again after a failure overwrites its own folder, so nothing is stored twice. A query with a
     new checkpoint is a new run, so it never replaces what an earlier one has stored.
@@ -71,9 +77,10 @@ def to_batches(stream: DataFrame, out, checkpoint, work=None, mode="append", tri
 
     def store(batch, batch_id):
         result = batch if work is None else work(batch, batch_id)
-        result.write.mode("overwrite").parquet(f"{out}/run={run_of(batch)}/batch={batch_id}")
+        writer = result.hint("rebalance", by).write.partitionBy(by) if by else result.write
+        writer.mode("overwrite").parquet(f"{out}/run={run_of(batch)}/batch={batch_id}")
 
-    return _start(stream, stream.writeStream.foreachBatch(store).outputMode(mode), checkpoint, trigger)
+    return for_each(stream, checkpoint, store, mode, trigger)
 
 
 def finish(query):
