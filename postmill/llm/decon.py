@@ -73,8 +73,8 @@ class Items:
         self.least = self.sizes - each + 1 - each * self.budgets
 
     @staticmethod
-    def _slot(values):
-        return ((values * FACTOR) >> np.uint64(64 - SLOTS)).astype(np.int64)
+    def _slot(values, bits=SLOTS):
+        return ((values * FACTOR) >> np.uint64(64 - bits)).astype(np.int64)
 
     def bands(self, data):
         """(item, first diagonal, last diagonal) of the bands of `data` that share enough q-grams."""
@@ -95,8 +95,8 @@ class Items:
             keys = (item.astype(np.uint64) << np.uint64(42)) | band.astype(np.uint64)
             keys = np.concatenate([keys, (keys - np.uint64(1))[below]])
             # A rough count first, which can only be too high, spares most of the sorting.
-            cell = self._slot(keys)
-            keys = keys[np.bincount(cell, minlength=1 << SLOTS)[cell] >= self.least[(keys >> np.uint64(42)).astype(np.int64)]]
+            cell = self._slot(keys, min(SLOTS, len(keys).bit_length() + 2))
+            keys = keys[np.bincount(cell, minlength=1)[cell] >= self.least[(keys >> np.uint64(42)).astype(np.int64)]]
             keys, many = np.unique(keys, return_counts=True)
             item = (keys >> np.uint64(42)).astype(np.int64)
             kept = many >= self.least[item]
@@ -124,6 +124,27 @@ def align(item, text, budget):
     return (int(row[end]), end) if row[end] <= budget else (None, None)
 
 
+def regions_of(wanted, part, budget):
+    """(edits, start, end) of all regions of part that match within the budget, none overlapping another: the best one (exact
+    ones first, then fewest edits, earliest end), and then those beside it."""
+    left = [(0, len(part))]
+    while left:
+        low, high = left.pop()
+        if high - low < len(wanted) - budget:
+            continue
+        piece = part[low:high]
+        if (start := piece.find(wanted)) >= 0:
+            edits, end = 0, start + len(wanted)
+        else:
+            edits, end = align(wanted, piece, budget)
+            if edits is None:
+                continue
+            start = end - align(wanted[::-1], piece[:end][::-1], budget)[1]
+        yield edits, low + start, low + end
+        if end > start:
+            left += [(low, low + start), (low + end, high)]
+
+
 def matches(items, texts):
     """(index of text, item, start, end, edits) for texts in plain bytes; overlapping regions of an id are merged."""
     joint, starts = b"\0".join(texts), np.cumsum([0, *(len(x) + 1 for x in texts)])
@@ -134,16 +155,8 @@ def matches(items, texts):
         for k in range(max(0, int(np.searchsorted(starts, begin, "right")) - 1), min(len(texts), int(np.searchsorted(starts, stop)))):
             left, right = max(begin, starts[k]) - starts[k], min(stop - starts[k], len(texts[k]))
             part = texts[k][left:right]
-            if len(part) < size - budget:
-                continue
-            if (exact := part.find(wanted)) >= 0:
-                start, end, edits = exact, exact + size, 0
-            else:
-                edits, end = align(wanted, part, budget)
-                if edits is None:
-                    continue
-                start = end - align(wanted[::-1], part[:end][::-1], budget)[1]
-            found.setdefault((k, items.ids[item]), set()).add((edits, int(left + start), int(left + end)))
+            for edits, start, end in regions_of(wanted, part, budget):
+                found.setdefault((k, items.ids[item]), set()).add((edits, int(left + start), int(left + end)))
     out = []
     for (k, item), regions in found.items():
         kept = []
