@@ -7,26 +7,26 @@ mean, and a new shard moves few rows.
 
 Rows are counted per arc (the stretch up to a place); there are shards * points arcs, so this table is bounded whatever
 the data. The clockwise walk runs over these counts and yields, for each arc, which of its rows, by rank, go to which shard.
-Rows get their rank inside an arc from counts of `parts` sub-blocks, so no arc has to be sorted in one task.
+Rows get their rank inside an arc from a distributed sort by their place on the ring.
 
-Defined cases: a null text has no bytes and checksum 0; rows with a null or a repeated doc_id are placed like others (their
-sub-block also depends on their place in the input, so a hot id is spread); an empty table gives no rows; other columns of
-the input are dropped.
+Defined cases: a null text has no bytes and checksum 0; rows with a null or a repeated doc_id are placed like others; an empty table
+gives no rows; other columns of the input are dropped.
 """
 
 import hashlib
 from collections import deque
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from postmill.llm.registry import query, table
+from postmill.operators.spread import global_index
 from postmill.session import written
 
 SHARDS = 40
 POINTS = 100
-PARTS = 64
 
 
 def ring(shards, points=POINTS):
@@ -68,7 +68,7 @@ def walk(demand, owners, room):
     return out
 
 
-def assign(df: DataFrame, shards=SHARDS, points=POINTS, slack=0.0, parts=PARTS) -> DataFrame:
+def assign(df: DataFrame, shards=SHARDS, points=POINTS, slack=0.0) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard and slot (0, 1, ... inside the shard)."""
     spark, places = df.sparkSession, ring(shards, points)
     borders = np.array([place for place, _ in places], dtype=np.int64)
@@ -84,19 +84,18 @@ def assign(df: DataFrame, shards=SHARDS, points=POINTS, slack=0.0, parts=PARTS)
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.monotonically_increasing_id().alias("at"))
     # Written once, so that counts and ranks see the same rows and the texts are read once.
-    rows = written(keys.select("*", arc_of("hash").alias("arc"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(parts)).alias("part")),
-                   "ring")
-    blocks = rows.groupBy("arc", "part").agg(F.count("*").alias("n"))  # arcs * parts rows at most
-    before = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("arc", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rows = written(keys.select("*", arc_of("hash").alias("arc")), "ring")
+    # Ranks follow the ring; only rows that agree in all else are told apart by their place in the table. The sort is
+    # distributed, so that an arc, or a key with most of the rows, is no task's alone.
+    placed = global_index(rows, ["arc", "hash", "doc_id", "text_crc32", "size", "at"], "index")
     demand = [0] * len(places)
-    for row in blocks.groupBy("arc").agg(F.sum("n").alias("n")).collect():  # shards * points rows at most
+    for row in rows.groupBy("arc").agg(F.count("*").alias("n")).collect():  # shards * points rows at most
         demand[row["arc"]] = row["n"]
+    firsts = spark.createDataFrame(list(enumerate(accumulate([0, *demand[:-1]]))), "arc int, before long")
     segments = walk(demand, [shard for _, shard in places], capacities(sum(demand), shards, slack))
     segments = spark.createDataFrame(segments, "arc int, low long, high long, shard int, first long")
-    inside = Window.partitionBy("arc", "part").orderBy("hash", "doc_id", "text_crc32", "size", "at")
-    ranked = rows.withColumn("inside", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["arc", "part"]).select(
-        "doc_id", "size", "text_crc32", "arc", (F.col("start") + F.col("inside")).alias("rank"))
+    ranked = placed.join(F.broadcast(firsts), "arc").select(
+        "doc_id", "size", "text_crc32", "arc", (F.col("index") - F.col("before")).alias("rank"))
     return ranked.join(F.broadcast(segments), (ranked["arc"] == segments["arc"]) & F.col("rank").between(
         F.col("low"), F.col("high") - 1)).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"))
