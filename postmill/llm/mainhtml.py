@@ -33,68 +33,124 @@ TRAIN_CHARS = 200_000
 LONG = 25
 TEXTS = "page_id long, url string, text string"
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
+#: Where markup may begin, a comment or declaration, and a tag.
+LEAD, DECLARED = re.compile(r"<(?:[!?]|/?[a-zA-Z])"), re.compile(r"<[!?]")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Fixed values of HTML: elements without content, elements whose content is not text, elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("title script style template iframe noscript svg math object".split())
+#: Elements whose content is never markup, up to their end tag or the page's end; and others that are left out, up to their end
+#: tag: those of the first kind of these end at a block tag too, the others do if they are never closed.
+HIDDEN = frozenset("title script style iframe noscript".split())
+DRAWN, INERT = frozenset(("svg", "math")), frozenset(("object", "template"))
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section "
     "select summary table tbody td textarea tfoot th thead tr ul".split())
+AROUND_P = BLOCK - {"p"}
 #: An opening tag closes these open ones, as far as the nearest element of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select"})}
 
 
+class Path:
+    """An open element with those around it, root first when iterated over as (tag, words of attributes). Paths that are equal
+    are one object within a page; tags and words are those of the whole path."""
+
+    __slots__ = ("up", "tag", "own", "tags", "words", "below")
+
+    def __init__(self, up=None, tag="", own=frozenset()):
+        self.up, self.tag, self.own, self.below = up, tag, own, {}
+        if up is None:
+            self.tags = self.words = frozenset()
+        else:
+            self.tags = up.tags if tag in up.tags else up.tags | {tag}
+            self.words = up.words if own <= up.words else up.words | own
+
+    def down(self, tag, own):
+        if (tag, own) not in self.below:
+            self.below[tag, own] = Path(self, tag, own)
+        return self.below[tag, own]
+
+    def __iter__(self):
+        out, path = [], self
+        while path.up is not None:
+            out.append((path.tag, path.own))
+            path = path.up
+        return reversed(out)
+
+
+def _end_of(tag, page, at, missing):
+    """Where the content of an element that is left out ends; `missing` remembers tags without a further end tag."""
+    end = None
+    if tag in DRAWN:
+        end = re.compile(rf"</{tag}\s*>|(?=<(?:{'|'.join(sorted(BLOCK))})[\s/>])", re.I).search(page, at)
+    elif tag not in missing:
+        end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if end is None:
+            missing.add(tag)
+    if end is None and tag in INERT:
+        end = re.compile(rf"(?=<(?:{'|'.join(sorted(BLOCK))})[\s/>])", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
 def blocks(page):
-    """[(path, text, characters in links)] of the leaf blocks in page order; path is a tuple of (tag, words of attributes)."""
-    out, stack, parts, linked = [], [], [], 0
+    """[(path, text, characters in links)] of the leaf blocks in page order; path is a Path."""
+    out, stack, parts, linked = [], [Path()], [], 0
+    places, missing = {}, set()  # where in the stack each tag is open; tags that have no further end tag
 
     def close():
         nonlocal parts, linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(x for x in stack), text, linked))
+                out.append((stack[-1], text, linked))
         parts, linked = [], 0
 
     def add(text):
         nonlocal linked
         parts.append(text)
-        if any(tag == "a" for tag, _ in stack):
+        if places.get("a"):
             linked += len(text)
 
     def pop(wanted, until):
         """Close the innermost of the wanted elements, unless one of `until` is nearer."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in wanted:
-                del stack[i:]
-                return
-            if stack[i][0] in until:
-                return
+        def last(tags):
+            return max((places[tag][-1] for tag in tags if places.get(tag)), default=0)
+
+        place = last(wanted)
+        if place and place > last(until):
+            for path in stack[place:]:
+                places[path.tag].pop()
+            del stack[place:]
 
     at, size = 0, len(page)
+    ends = page.rfind(">") + 1  # no tag goes beyond the last of these
     while at < size:
-        found = TOKEN.search(page, at)
-        if not found:
-            add(page[at:])
+        lead = LEAD.search(page, at)
+        start = lead.start() if lead else size
+        if start > at:
+            add(page[at:start])
+        if not lead:
             break
-        if found.start() > at:
-            add(page[at:found.start()])
-        at, tag = found.end(), (found[2] or "").lower()
-        if not tag:
+        if page[start + 1] in "!?":
+            stop = page.find("-->", start + 4) if page.startswith("<!--", start) else page.find(">", start)
+            at = size if stop < 0 else page.index(">", stop) + 1
             continue
+        if start >= ends:
+            declared = DECLARED.search(page, start)
+            add(page[start:declared.start() if declared else size])
+            break
+        found = TAG.match(page, start)
+        at, tag = found.end(), found[2].lower()
         if found[1]:
             if tag in BLOCK:
                 close()
             pop({tag}, {"body", "html"} if tag not in ("body", "html") else set())
-        elif tag in HIDDEN:
+        elif tag in HIDDEN or tag in DRAWN or tag in INERT:
             if not found[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+                at = _end_of(tag, page, at, missing)
         elif tag == "br" or tag in VOID:
             if tag == "hr":
                 close()
@@ -102,14 +158,16 @@ def blocks(page):
         else:
             if tag in BLOCK:
                 close()
-                pop({"p"}, BLOCK - {"p"})
+                if places.get("p"):
+                    pop({"p"}, AROUND_P)
                 if tag == "body":
                     pop({"head"}, set())
                 elif tag in CLOSES:
                     pop(*CLOSES[tag])
             words = frozenset(w for _, value in ATTRIBUTE.findall(found[3]) for w in re.split(r"[^a-z]+", value.lower()) if w)
             if not found[3].endswith("/"):
-                stack.append((tag, words))
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(stack[-1].down(tag, words))
     close()
     return out
 
@@ -117,9 +175,8 @@ def blocks(page):
 def features(path, text, linked):
     """Features of one block."""
     words, n = text.split(), len(text)
-    out = [f"t:{tag}" for tag in {tag for tag, _ in path}]
-    out += [f"w:{w}" for w in {w for _, own in path for w in own}]
-    out += [f"own:{path[-1][0] if path else ''}", f"up:{path[-2][0] if len(path) > 1 else ''}", f"words:{min(len(words), 40).bit_length()}",
+    out = [f"t:{tag}" for tag in path.tags] + [f"w:{w}" for w in path.words]
+    out += [f"own:{path.tag}", f"up:{path.up.tag if path.up else ''}", f"words:{min(len(words), 40).bit_length()}",
             f"links:{min(9, 10 * linked // max(n, 1))}", f"end:{text[-1] in '.!?:;'}"]
     return out + ["sign"] if "©" in text else out
 
@@ -182,8 +239,8 @@ def labelled(page, document):
     got, own = _chain(page)
     whole = " ".join(document.split())
     found = [len(text) >= LONG and text in whole for _, text, _ in got]
-    parents = {path[:-1] for (path, _, _), yes in zip(got, found) if yes}
-    marks = [int(yes or (len(text) < LONG and path[:-1] in parents)) for (path, text, _), yes in zip(got, found)]
+    parents = {path.up or path for (path, _, _), yes in zip(got, found) if yes}
+    marks = [int(yes or (len(text) < LONG and (path.up or path) in parents)) for (path, text, _), yes in zip(got, found)]
     return (own, marks) if any(marks) else None
 
 
@@ -196,7 +253,8 @@ def training_pages(pages: DataFrame, documents: DataFrame, count=TRAIN_PAGES, ch
         "html", F.when(number != "", number.cast("long")).alias("_doc"), order.alias("at")).where("_doc IS NOT NULL").orderBy(
         "at", "_doc").limit(count)
     texts = documents.select(F.col("doc_id").cast("long").alias("_doc"), "text").where(F.length("text") <= chars)
-    rows = texts.join(F.broadcast(drawn), "_doc").collect()  # a bounded number of bounded rows
+    # One text for each drawn page: a bounded number of bounded rows.
+    rows = texts.join(F.broadcast(drawn), "_doc").groupBy("_doc", "at", "html").agg(F.min("text").alias("text")).collect()
     return [(r["html"], r["text"]) for r in sorted(rows, key=lambda r: (r["at"], r["_doc"], r["text"]))]
 
 
