@@ -176,15 +176,25 @@ def _inflate(window, start):
 
 
 def _parsed(header):
-    fields = {}
+    """Fields of a header, folded lines joined to the one before; None if a line is no field."""
+    fields, name = {}, None
     for line in header.split(b"\r\n")[1:]:
+        if name is not None and line[:1] in (b" ", b"\t"):
+            fields[name] = f"{fields[name]} {line.strip().decode('utf-8', 'replace')}".strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             return None
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower().decode("latin-1")
+        fields[name] = value.strip().decode("utf-8", "replace")
     return fields
 
 
+def _number(text):
+    """The integer that a field holds, or None."""
+    return int(text) if re.fullmatch(r"-?[0-9]{1,18}", text or "") else None
+
+
 def _checked(take, start, size, with_payload):
     """The record at start as a dict, or a problem; `take(start, length)` gives bytes.
 
@@ -199,9 +209,9 @@ def _checked(take, start, size, with_payload):
         head = take(start, 2 * len(head))
         cut = head.find(b"\r\n\r\n")
     fields = _parsed(head[:cut]) if cut >= 0 else None
-    if not fields or not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+    length, body = _number((fields or {}).get("content-length")), start + cut + 4
+    if length is None or length < 0 or "warc-type" not in fields:
         return "damaged header"
-    length, body = int(fields["content-length"]), start + cut + 4
     if body + length + 4 > size:
         return "record is cut off"
     block = take(body, length + 4)
@@ -219,10 +229,16 @@ def _checked(take, start, size, with_payload):
             return {"end": body + len(block) + 4, "problem": "wrong payload digest"}
         digest = own
     elif kind == "revisit":
-        length = int((_parsed(http) or {}).get("content-length", length))
-    page, refers = fields.get("x-page-id"), re.match(r"<urn:x-page:(-?\d+):", fields.get("warc-refers-to", ""))
+        said = (_parsed(http) or {}).get("content-length", str(length))
+        length = _number(said)
+        if length is None:
+            return {"end": body + len(block) + 4, "problem": "damaged HTTP header"}
+    page = _number(fields.get("x-page-id"))
+    if page is None and fields.get("x-page-id"):
+        return {"end": body + len(block) + 4, "problem": "damaged page id"}
+    refers = re.match(r"<urn:x-page:(-?[0-9]{1,18}):", fields.get("warc-refers-to", ""))
     return {"end": body + len(block) + 4, "record_type": kind, "record_id": fields.get("warc-record-id"),
-            "target_uri": fields.get("warc-target-uri"), "page_id": int(page) if page else None, "payload_bytes": length,
+            "target_uri": fields.get("warc-target-uri"), "page_id": page, "payload_bytes": length,
             "payload_digest": digest, "refers_to": int(refers[1]) if refers else None,
             "payload": payload if with_payload and kind == "response" else None}
 
