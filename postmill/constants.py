@@ -16,7 +16,6 @@ JOB_MAX_ATTEMPTS = 3
 ENTRY_MAX_ATTEMPTS = 3
 OUTBOX_MAX_ATTEMPTS = 5
 OUTBOX_BATCH = 10
-OUTBOX_POLL_SECONDS = 5
 FAILURE_THRESHOLD = 0.2
 CHECKPOINT_LINES = 100
 CLAIM_STALE_SECONDS = 30

@@ -216,7 +216,7 @@ def upsert_outcomes(spark, sf_dir):
 SOME = "('m3', 'm6', 'm9')"
 
 
-@query("change_stored", "T02 T03 T14 S07", sql(v.SEND_ATTEMPTS, v.OUTCOMES, v.KNOWN, body=f"""
+@query("change_stored", "T02 T14 S07", sql(v.SEND_ATTEMPTS, v.OUTCOMES, v.KNOWN, body=f"""
 SELECT mailing_id, email, token, status, attempts, last_attempt, external_id, invalid_reason FROM (
 {UPSERT.replace("FROM outcomes WINDOW", f"FROM outcomes WHERE mailing_id IN {SOME} WINDOW")}) WHERE mailing_id <> 'm0'"""))
 def change_stored(spark, sf_dir):

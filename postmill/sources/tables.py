@@ -1,5 +1,7 @@
 """Scans, appends and snapshots of the six tables."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from postmill import constants as K, model
@@ -70,6 +72,21 @@ def buckets_of(df: DataFrame, mailing_ids=None) -> list:
     return [r["bucket"] for r in df.select(bucket(F.col(_key(df))).alias("bucket")).distinct().collect()]
 
 
+@contextmanager
+def _observing(spark):
+    """Keep observed counts of parts whose result turns out to be empty: such parts would be cut out of the running plan."""
+    name, rule = "spark.sql.adaptive.optimizer.excludedRules", "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, f"{old},{rule}" if old else rule)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
 def append_new_entries(candidates: DataFrame, path, mailing_ids=None):
     """Append entries whose key is not stored; returns the counts (inserted, duplicates).
 
@@ -85,7 +102,8 @@ def append_new_entries(candidates: DataFrame, path, mailing_ids=None):
         fresh = fresh.join(stored.select("bucket", *KEY), ["bucket", *KEY], "left_anti")
     columns = [*model.TABLES["mailing_entries"].names, "bucket"]
     fresh = fresh.select(*columns).observe(added, F.count(F.lit(1)).alias("rows"))
-    fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/mailing_entries")
+    with _observing(spark):
+        fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/mailing_entries")
     inserted = added.get.get("rows", 0)
     return {"inserted": inserted, "duplicates": given.get.get("rows", 0) - inserted}
 

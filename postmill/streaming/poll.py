@@ -95,12 +95,6 @@ def confirm(answers: DataFrame, path, as_of, timeout=TIMEOUT_SECONDS, late=LATE_
         outcomes(left, right, timeout, late), f"{path}/outcomes", f"{path}/checkpoint-confirm", trigger)
 
 
-def standing(new: DataFrame, answers: DataFrame, path, as_of, **options):
-    """Both jobs as standing queries with a micro-batch every few seconds, for a cluster."""
-    trigger = {"processingTime": f"{K.OUTBOX_POLL_SECONDS} seconds"}
-    return send(new, path, as_of, trigger=trigger), confirm(answers, path, as_of, trigger=trigger, **options)
-
-
 def settled(spark: SparkSession, path) -> DataFrame:
     """The last state of every message that was taken up: id, outcome, attempts, last_error, published_at."""
     sends = spark.read.schema(SENDS).parquet(f"{path}/sends").withColumns(
