@@ -17,10 +17,12 @@ kinds every score is 0; repeated rows are scored alike; an empty table gives no
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from postmill.llm import crf
 from postmill.llm.registry import Sent, query, table
@@ -175,8 +177,10 @@ def training_sample(documents: DataFrame, labels: DataFrame, docs=TRAIN_DOCS, ch
     ids = F.broadcast(drawn[0].union(drawn[1]))  # 2 * docs rows at most
     # Another hash than the one that drew them, so that every stretch of the sample has both labels in proportion.
     place = F.xxhash64(F.col("doc_id"), F.lit("place"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars).join(
-        ids, "doc_id").dropDuplicates(["doc_id"]).select(place.alias("at"), "text", "toxic").collect()
+    # Of rows that repeat a doc_id the text with the smallest hash, whatever the order of the table.
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars).join(
+        ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    rows = texts.select(place.alias("at"), "text", "toxic").collect()
     return [(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: (r.at, r.text))]
 
 
@@ -225,20 +229,21 @@ def without_toxic(df: DataFrame, model, least=0.5) -> DataFrame:
     """The rows of df whose text scores under `least`, with all their columns."""
     sent = Sent(df.sparkSession, model)
 
-    def keep_part(batches):
+    @F.arrow_udf(DoubleType())
+    def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.get()
-        for batch in batches:
-            kept, block, held = [], [], 0
-            texts = batch.column("text")
+        for texts in parts:
+            out, block, held = [], [], 0
             for i in range(len(texts)):
                 block.append(texts[i].as_py())
                 held += len(block[-1] or "")
                 if held > BLOCK_CHARS or i + 1 == len(texts):
-                    kept += [model.score(m) < least for m in model.tag(block)] if model else [True] * len(block)
+                    out += [model.score(m) for m in model.tag(block)] if model else [0.0] * len(block)
                     block, held = [], 0
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.array(out, pa.float64())
 
-    return df.mapInArrow(keep_part, df.schema)
+    # Texts alone go to Python; the other columns wait in the JVM.
+    return df.where(scores("text") < least)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
