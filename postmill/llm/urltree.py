@@ -3,15 +3,16 @@
 All steps are DataFrame expressions. Per host, a path is cut into segments; segments that vary become `*`:
 
 1. by shape: numbers (with or without a file ending), long hexadecimal words, dates;
-2. by statistics: under one host and parent template, a position with many different words that are seldom repeated.
+2. by statistics, from the top down: under one host and the template above, a position with many different words that few
+   distinct paths share.
 
 Templates of one host that differ in one literal segment are branches of the same parent. A branch whose share of good
 labels does not differ from its parent's (two-proportion z-test) is judged by the parent's counts, others by their own.
 A template is rejected when its smoothed purity, (good + strength * prior) / (labelled + strength), is under `least`.
 
 Defined cases: a null url, or one without `://`, has an empty host and an empty path, fits no rule and belongs to a
-template of its own that is judged like any other; repeated rows count as often as they occur; rows without a label are
-judged but do not count; an empty table gives no rows; with no labels at all the prior is 1 and nothing is rejected.
+template of its own that is judged like any other; repeated rows count as often as they occur for purity and not at all for
+templates; rows without a label are judged but do not count; an empty table gives no rows; with no labels at all the prior is 1 and nothing is rejected.
 Hosts and paths of any
 length are returned whole.
 """
@@ -19,11 +20,13 @@ length are returned whole.
 from pyspark.sql import DataFrame, functions as F
 
 from postmill.llm.registry import query, table
+from postmill.operators.spread import attach
+from postmill.session import written
 
 #: (action, host, path): a rule fits the host and its subdomains when the url's path starts with the rule's path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: A position is variable from so many different words on, if a word occurs less often than REPEATS times on average.
+#: A position is variable from so many different words on, if a word has less than REPEATS distinct paths on average.
 VARIANTS = 8
 REPEATS = 4.0
 #: A branch joins its parent while its share of good labels is within this many standard errors.
@@ -57,28 +60,30 @@ def matching_rule(host, path, rules=RULES):
 def templates(pages: DataFrame, variants=VARIANTS, repeats=REPEATS) -> DataFrame:
     """One row per (host, path) of the pages, with its template and its parent.
 
-    Pages are reduced to counted paths before anything else, so a hot page costs one row; hot hosts are spread by path.
+    Pages are reduced to distinct paths before anything else, so neither a hot page nor pages that occur again count more.
+    The tree is gone down level by level: the words at a position are counted under the template of what is above, with
+    variable positions already generalised. Each level is written, so a lost executor costs one level.
     """
-    paths = pages.groupBy("host", "path").agg(F.count("*").alias("n"))
     segments = F.split("path", "/", DEPTH + 1)
-    shaped = paths.withColumn("shape", F.transform(segments, lambda s, i: F.when(
-        (i == DEPTH) | F.rlike(s, F.lit(VARIABLE)), "*").otherwise(s)))
-    places = shaped.select("host", "n", "shape", F.posexplode("shape").alias("at", "word")).where("word NOT IN ('', '*')").select(
-        "host", "n", "word", F.array_join(F.slice("shape", F.lit(1), F.col("at")), "/").alias("above"))
-    words = places.groupBy("host", "above", "word").agg(F.sum("n").alias("n"))
-    varied = words.groupBy("host", "above").agg(F.count("*").alias("words"), F.sum("n").alias("n")).where(
-        (F.col("words") >= variants) & (F.col("n") < F.col("words") * repeats))
-    # Back to paths position by position, so that no host's parents are gathered in one value.
-    spots = shaped.select("host", "path", "shape", F.posexplode("shape").alias("at", "word")).select(
-        "host", "path", "at", "word", F.array_join(F.slice("shape", F.lit(1), F.col("at")), "/").alias("above"))
-    marked = spots.join(varied.select("host", "above", F.lit(True).alias("varied")), ["host", "above"], "left")
-    word = F.when((F.col("word") != "") & F.col("varied"), "*").otherwise(F.col("word"))
-    final = marked.groupBy("host", "path").agg(F.sort_array(F.collect_list(F.struct("at", word.alias("word")))).alias("spots"))
-    last = F.array_max(F.transform(F.filter("spots", lambda s: ~s["word"].isin("", "*")), lambda s: s["at"]))
-    return final.withColumn("_last", last).select(
-        "host", "path", F.array_join(F.transform("spots", lambda s: s["word"]), "/").alias("template"),
-        F.array_join(F.transform("spots", lambda s: F.when(s["at"] == F.col("_last"), "+").otherwise(s["word"])), "/"
-                     ).alias("parent"))
+    shape = F.transform(segments, lambda s, i: F.when((i == DEPTH) | F.rlike(s, F.lit(VARIABLE)), "*").otherwise(s))
+    rows = written(pages.select("host", "path").distinct().select(
+        "host", "path", shape.alias("shape"), F.lit("").alias("template"), F.lit("").alias("parent")), "url-tree")
+    deepest = rows.agg(F.max(F.size("shape"))).first()[0] or 0  # at most DEPTH + 1
+    for at in range(deepest):
+        word, here = F.get("shape", F.lit(at)), F.size("shape") > at
+        words = rows.where(here & ~word.isin("", "*")).groupBy("host", "template", word.alias("word")).agg(F.count("*").alias("n"))
+        varied = words.groupBy("host", "template").agg(F.count("*").alias("words"), F.sum("n").alias("n")).where(
+            (F.col("words") >= variants) & (F.col("n") < F.col("words") * repeats)).select(
+            "host", "template", F.lit(True).alias("varied"))
+        own = F.when((word != "") & F.col("varied"), "*").otherwise(word)
+        between = F.lit("/" if at else "")
+        template = F.concat("template", between, own)
+        # The parent has a plus sign for the last literal word.
+        parent = F.when(own.isin("", "*"), F.concat("parent", between, own)).otherwise(F.concat("template", between, F.lit("+")))
+        rows = written(attach(rows, varied, ["host", "template"]).select(
+            "host", "path", "shape", F.when(here, template).otherwise(F.col("template")).alias("template"),
+            F.when(here, parent).otherwise(F.col("parent")).alias("parent")), "url-tree")
+    return rows.select("host", "path", "template", "parent")
 
 
 def template_verdicts(labelled: DataFrame, z=Z, strength=STRENGTH, least=LEAST) -> DataFrame:
@@ -119,6 +124,21 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
         marks, "_doc", "left").select("page_id", "url", "good")
 
 
+def _level(i):
+    """SQL of one level: which positions vary under what is above, and the templates one segment longer."""
+    between = "'/' || " if i > 1 else ""
+    return f"""varied{i} AS MATERIALIZED (SELECT host, template FROM (
+    SELECT host, template, shape[{i}] AS word, count(*) AS n FROM level{i - 1}
+    WHERE len(shape) >= {i} AND shape[{i}] NOT IN ('', '*') GROUP BY ALL)
+  GROUP BY ALL HAVING count(*) >= 8 AND sum(n) < count(*) * 4.0),
+level{i} AS MATERIALIZED (
+  SELECT host, path, shape, CASE WHEN w IS NULL THEN template ELSE template || {between}w END AS template,
+    CASE WHEN w IS NULL THEN parent WHEN w IN ('', '*') THEN parent || {between}w ELSE template || {between}'+' END AS parent
+  FROM (SELECT l.*, CASE WHEN l.shape[{i}] <> '' AND v.host IS NOT NULL THEN '*' ELSE l.shape[{i}] END AS w
+    FROM level{i - 1} l LEFT JOIN varied{i} v ON v.host = l.host AND v.template = l.template)),
+"""
+
+
 SQL = r"""
 WITH cut AS (
   SELECT page_id, url, CASE WHEN instr(coalesce(url, ''), '://') > 0
@@ -130,25 +150,12 @@ marks AS (SELECT doc_id, max(CAST(quality AS BIGINT)) AS good FROM labels WHERE
 r AS (
   SELECT p.*, m.good FROM rows0 p LEFT JOIN marks m
   ON m.doc_id = TRY_CAST(regexp_extract(p.path, '(\d{1,18})(\.\w+)?/?$', 1) AS BIGINT)),
-paths AS (SELECT host, path, count(*) AS n FROM r GROUP BY ALL),
-shaped AS (
-  SELECT *, list_transform(string_split(path, '/')[1:17], lambda s, i: CASE WHEN i = 17 OR regexp_matches(s,
-    '^(\d+([-_.]\d+)*(\.\w{1,5})?|[0-9a-f]{8,}([-][0-9a-f]{4,})*|\d{4}-\d{2}-\d{2}.*)$') THEN '*' ELSE s END) AS shape FROM paths),
-spots AS (SELECT host, n, shape, unnest(range(1, len(shape) + 1)) AS i FROM shaped),
-words AS (
-  SELECT host, array_to_string(shape[1:i - 1], '/') AS above, shape[i] AS word, sum(n) AS n FROM spots
-  WHERE shape[i] NOT IN ('', '*') GROUP BY ALL),
-varied AS (SELECT host, above FROM words GROUP BY ALL HAVING count(*) >= 8 AND sum(n) < count(*) * 4.0),
-spots2 AS (
-  SELECT s.host, s.path, s.i, CASE WHEN s.w <> '' AND v.host IS NOT NULL THEN '*' ELSE s.w END AS w
-  FROM (SELECT host, path, shape[i] AS w, i, array_to_string(shape[1:i - 1], '/') AS above
-        FROM (SELECT host, path, shape, unnest(range(1, len(shape) + 1)) AS i FROM shaped)) s
-  LEFT JOIN varied v ON v.host = s.host AND v.above = s.above),
-lasts AS (SELECT host, path, max(CASE WHEN w NOT IN ('', '*') THEN i END) AS last FROM spots2 GROUP BY ALL),
-tree AS (
-  SELECT s.host, s.path, string_agg(w, '/' ORDER BY i) AS template,
-    string_agg(CASE WHEN i = last THEN '+' ELSE w END, '/' ORDER BY i) AS parent
-  FROM spots2 s JOIN lasts l ON l.host = s.host AND l.path = s.path GROUP BY s.host, s.path),
+level0 AS MATERIALIZED (
+  SELECT host, path, '' AS template, '' AS parent, list_transform(string_split(path, '/')[1:17], lambda s, i: CASE WHEN i = 17
+    OR regexp_matches(s, '^(\d+([-_.]\d+)*(\.\w{1,5})?|[0-9a-f]{8,}([-][0-9a-f]{4,})*|\d{4}-\d{2}-\d{2}.*)$') THEN '*' ELSE s END)
+    AS shape FROM (SELECT DISTINCT host, path FROM r)),
+LEVELS
+tree AS (SELECT host, path, template, parent FROM level17),
 placed AS (SELECT r.*, t.template, t.parent FROM r JOIN tree t ON t.host = r.host AND t.path = r.path),
 own AS (SELECT host, template, parent, count(good) AS n, coalesce(sum(good), 0) AS g FROM placed GROUP BY ALL),
 above AS (SELECT host, parent, sum(n) AS pn, sum(g) AS pg FROM own GROUP BY ALL),
@@ -171,7 +178,7 @@ ruled AS (
 SELECT u.page_id, u.host, u.path, u.rule, CASE WHEN u.rule IN ('com/', 'www.example.com/en/') THEN 'allow'
   WHEN u.rule IS NOT NULL THEN 'block' ELSE j.judged END AS verdict
 FROM ruled u JOIN judged j ON j.host = u.host AND j.template = u.template
-"""
+""".replace("LEVELS", "".join(_level(i) for i in range(1, DEPTH + 2)))
 
 
 @query("op8_url_filter", SQL)

@@ -1,3 +1,7 @@
+import random
+import re
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from postmill.llm import urltree
@@ -33,6 +37,39 @@ def test_templates_generalise_and_bad_ones_are_rejected(spark):
     assert {r.verdict for k, r in got.items() if k < 1000 and not k % 2} == {"block"}
 
 
+def test_two_variable_levels_and_repeated_pages(spark):
+    rows = [(100 * i + j, f"http://h.org/u/{chr(97 + i)}name/{chr(97 + j)}{chr(97 + i)}post", 1) for i in range(10) for j in range(3)]
+    rows += [(5000 + i, f"http://h.org/x/{chr(97 + i)}word", 1) for i in range(10)]
+    rows += [(6000 + i, f"http://h.org/fixed/{'ab'[i % 2]}/{i}", 1) for i in range(40)]
+    want = {"/u/*/*", "/x/*", "/fixed/a/*", "/fixed/b/*"}
+    for times in (1, 4):
+        assert {r.template for r in judged(spark, rows * times).values()} == want
+    again = judged(spark, [(k, f"http://{h}.net/p/q{k % 9}", 1) for k in range(9) for h in "ab"])
+    assert {r.template for r in again.values()} == {"/p/*"}
+
+
+def test_levels_equal_a_walk_of_the_tree(spark):
+    rng = random.Random(4)
+    paths = sorted({"/" + "/".join(rng.choice(["a", "b", "c", f"w{rng.randint(0, 30)}x", str(rng.randint(0, 9)), ""])
+                                   for _ in range(rng.randint(0, 5))) for _ in range(400)})
+    shapes = {p: [w if not re.fullmatch(r"\d+", w) else "*" for w in p.split("/")] for p in paths}
+    known = {p: () for p in paths}
+    for at in range(max(map(len, shapes.values()))):
+        groups = defaultdict(list)
+        for p in paths:
+            if len(shapes[p]) > at and shapes[p][at] not in ("", "*"):
+                groups[known[p]].append(shapes[p][at])
+        varied = {t for t, words in groups.items() if len(set(words)) >= 8 and len(words) < 4 * len(set(words))}
+        known = {p: (*t, "*" if t in varied and shapes[p][at] else shapes[p][at]) if len(shapes[p]) > at else t
+                 for p, t in known.items()}
+    df = spark.createDataFrame([("h", p) for p in paths], "host string, path string")
+    got = {r.path: (r.template, r.parent) for r in urltree.templates(df).collect()}
+    assert {p: t for p, (t, _) in got.items()} == {p: "/".join(t) for p, t in known.items()}
+    for p, (_, parent) in got.items():
+        literal = [i for i, w in enumerate(known[p]) if w not in ("", "*")]
+        assert parent == "/".join("+" if literal and i == literal[-1] else w for i, w in enumerate(known[p]))
+
+
 def test_similar_branches_share_their_counts(spark):
     # One bad label in a small branch among good ones says nothing on its own.
     rows = [(i, f"http://h.org/{'abc'[i % 3]}/{i}", 0 if i == 1 else 1) for i in range(9)]
