@@ -1,7 +1,7 @@
 """Fuzzy line de-duplication: of all lines that are alike, over all documents, the first one stays.
 
 Lines are compared with A-Z in lower case, runs of white space as one space, and none at the ends. Equal lines are one item.
-Items are alike when their sets of shingles (SHINGLE bytes of UTF-8 text each; a shorter line is one shingle) have a
+Items are alike when their sets of shingles (SHINGLE code points each; a shorter line is one shingle) have a
 Jaccard similarity of `percent` or more, which is checked on the full sets. Candidates come from MinHash signatures and
 banding: lines at a similarity of 0.8 share a band with a probability of about 0.9998. Lines with fewer than SHORT shingles
 have BANDS * ROWS independent MinHash functions, longer ones the minima of one hash in as many bins (empty bins borrow from
@@ -33,7 +33,7 @@ BINS = BANDS * ROWS
 SHORT = 100
 #: Items that a task remembers, so that a repeated line enters the candidate search once per task.
 KEPT_LINES = 500_000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 256 << 10
 LINES = "doc_id long, row long, line_no int, item long"
 KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
@@ -48,15 +48,53 @@ def _mixed(x):
     return x ^ (x >> np.uint64(32))
 
 
-def _shingles(lines):
-    """All shingles of lines (bytes) as 64-bit numbers, and how many each line has."""
+def _places(lengths, counts):
+    """Start of every window of lines that stand one behind the other."""
+    first = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts)
+    return first + np.arange(counts.sum())
+
+
+def _ascii_shingles(lines):
+    """Shingles of lines of plain ASCII, as the numbers that their eight bytes are, and how many each line has."""
     padded = [line.ljust(SHINGLE, b"\0") for line in lines]
     lengths = np.array([len(x) for x in padded], np.int64)
     counts = lengths - (SHINGLE - 1)
     data = b"".join(padded)
-    windows = np.ndarray((len(data) - SHINGLE + 1,), "<u8", data, strides=(1,))
-    first = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts)
-    return windows[first + np.arange(counts.sum())], counts
+    return np.ndarray((len(data) - SHINGLE + 1,), "<u8", data, strides=(1,))[_places(lengths, counts)], counts
+
+
+def _wide_shingles(lines):
+    """The same of any lines: eight code points; windows that are all ASCII have the numbers of _ascii_shingles."""
+    padded = [line.decode().ljust(SHINGLE, "\0") for line in lines]
+    lengths = np.array([len(x) for x in padded], np.int64)
+    counts = lengths - (SHINGLE - 1)
+    points = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.uint64)
+    at = _places(lengths, counts)
+    packed, hashed = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    narrow = np.ones(len(at), bool)
+    for i in range(SHINGLE):
+        own = points[at + i]
+        narrow &= own < 128
+        packed |= (own & np.uint64(127)) << np.uint64(8 * i)
+        hashed = _mixed(hashed + own + np.uint64(1))
+    return np.where(narrow, packed, hashed), counts
+
+
+def _shingles(lines):
+    """All shingles of lines (UTF-8) as 64-bit numbers, and how many each line has."""
+    plain = np.array([line.isascii() for line in lines], bool)
+    if plain.all():
+        return _ascii_shingles(lines)
+    wide, wide_counts = _wide_shingles([line for line, yes in zip(lines, plain) if not yes])
+    counts = np.empty(len(lines), np.int64)
+    counts[~plain] = wide_counts
+    if not plain.any():
+        return wide, counts
+    narrow, counts[plain] = _ascii_shingles([line for line, yes in zip(lines, plain) if yes])
+    out = np.empty(counts.sum(), np.uint64)
+    of_plain = np.repeat(plain, counts)
+    out[of_plain], out[~of_plain] = narrow, wide
+    return out, counts
 
 
 def _functions():
@@ -287,12 +325,19 @@ def without_duplicates(df: DataFrame, percent=PERCENT, **columns) -> DataFrame:
     dropped = written(dropped.withColumnRenamed("doc_id", "id"), "lines-dropped")
     others, maybe = parted(df, dropped.where("id IS NOT NULL").select("id"))
     nulls = others.where("doc_id IS NULL").unionByName(maybe)
+    # Names that no column of the documents has.
+    own = "_own"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own += "_"
+    dropped = dropped.select(*[F.col(c).alias(f"{own}{c}") for c in ("id", "row", "_dropped", "_left")])
+    gone, left = F.col(f"{own}_dropped"), F.col(f"{own}_left")
     # By the hash of the text first, so that rows without a doc_id are not gathered in one task.
-    joined = nulls.join(dropped, (_row() == F.col("row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left")
-    lines = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("_dropped", at))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = joined.where("_left IS NULL OR _left > 0").withColumn("text", text)
-    changed = {name: F.when(F.col("_dropped").isNull(), F.col(name)).otherwise(make(F.col("text"))) for name, make in columns.items()}
+    joined = nulls.join(
+        dropped, (_row() == F.col(f"{own}row")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}id")), "left")
+    lines = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(gone, at))
+    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    out = joined.where(left.isNull() | (left > 0)).withColumn("text", text)
+    changed = {name: F.when(gone.isNull(), F.col(name)).otherwise(make(F.col("text"))) for name, make in columns.items()}
     return others.where("doc_id IS NOT NULL").unionByName(out.withColumns(changed).select(*df.columns))
 
 
