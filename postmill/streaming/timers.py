@@ -3,7 +3,12 @@
 A key has one small state value. It is released `keep` seconds of event time after its last event when nothing is due any
 more, so the state holds the open keys and those that were closed a short while ago; within that time repeated and late
 rows are recognised. Spark's own time to live counts processing time and does not go with event-time timers, so the release
-is a timer of the key itself.
+is a timer too.
+
+Every call between a processor and its state store is a message to another process. Keys are therefore dealt into `buckets`
+by their hash; a bucket's keys are read, written and timed together, so a micro-batch costs a few messages per bucket that it
+touches, however many rows it has. More buckets suit states of many millions of open keys; a query keeps the number of its
+first start.
 """
 
 import datetime
@@ -16,6 +21,12 @@ from postmill.streaming import runner
 
 #: Seconds of event time for which a closed key is still known.
 KEEP_SECONDS = 3600
+#: Groups of keys whose state is kept together.
+BUCKETS = 512
+
+
+def _bucketed(rows, keys, buckets):
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
 
 
 def _micros(moment):
@@ -27,64 +38,101 @@ def _moment(micros):
     return datetime.datetime.fromtimestamp(whole).replace(microsecond=part)
 
 
-class _Retry(StatefulProcessor):
-    """State: the attempt counters already handled, the attempts to redeliver with their due times, the last event time."""
+class _Bucket(StatefulProcessor):
+    """The keys of one bucket, as rows of `fields` in one value, and one timer for the first of them that wants one.
 
-    def __init__(self, max_attempts, waits, keep):
-        self.max_attempts, self.waits, self.keep = max_attempts, waits, 1000 * keep
+    A subclass has `fields`; `read` and `rows`, from these rows to its keys by name and back; `deadline` of a key in
+    milliseconds; `take(keys, rows)`, which yields output of new rows; `fire(keys, name, now)`, which yields output of a key whose
+    deadline has come and drops the key or moves its deadline beyond now.
+    """
+
+    fields = {}
 
     def init(self, handle):
         self.handle = handle
-        self.job = handle.getValueState("job", "seen array<int>, due array<bigint>, next array<int>, last bigint")
+        arrays = ", ".join(f"{name} array<{kind}>" for name, kind in self.fields.items())
+        self.state = handle.getValueState("keys", f"{arrays}, timer bigint")
+
+    def _load(self):
+        old = self.state.get()
+        return (self.read(zip(*old[:-1])), old[-1]) if old else ({}, None)
+
+    def _store(self, keys, timer, now=None):
+        """now: the time that has come, when called for a timer."""
+        if not keys:
+            self.state.clear()
+            return
+        first = min(map(self.deadline, keys.values()))
+        if first != timer or now is not None:
+            if timer is not None and now is None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self.state.update((*map(list, zip(*self.rows(keys))), first))
 
     def handleInputRows(self, key, rows, timerValues):
         rows = [row for row in rows if row.clock is None]
-        if not rows:
+        if rows:
+            keys, timer = self._load()
+            yield from self.take(keys, rows)
+            self._store(keys, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        keys, timer = self._load()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        if timer is None or timer > now:
             return
-        old = self.job.get()
-        seen, due, following, last = (list(old[0]), list(old[1]), list(old[2]), old[3]) if old else ([], [], [], 0)
-        fresh = False
+        for name in [name for name, value in keys.items() if self.deadline(value) <= now]:
+            yield from self.fire(keys, name, now)
+        self._store(keys, timer, now)
+
+
+class _Retry(_Bucket):
+    """A key: the last event time, and by attempt counter handled when to redeliver it (None: not, or not any more)."""
+
+    fields = {"mailing_id": "string", "last": "bigint", "attempt": "int", "due": "bigint"}
+
+    def __init__(self, max_attempts, waits, keep):
+        self.max_attempts, self.waits, self.keep = max_attempts, waits, 1000 * keep
+
+    def read(self, rows):
+        jobs = {}
+        for mailing_id, last, attempt, due in rows:
+            jobs.setdefault(mailing_id, (last, {}))[1][attempt] = due
+        return jobs
+
+    def rows(self, jobs):
+        return ((name, last, *seen) for name, (last, tries) in jobs.items() for seen in tries.items())
+
+    def deadline(self, job):
+        last, tries = job
+        return min((due for due in tries.values() if due is not None), default=last + self.keep)
+
+    def take(self, jobs, rows):
         for row in rows:
-            if row.attempt in seen:
+            last, tries = jobs.get(row.mailing_id) or (0, {})
+            if row.attempt in tries:
                 continue
-            fresh = True
-            seen.append(row.attempt)
-            micros = _micros(row.ts)
-            last = max(last, micros // 1000)
+            at, due = _micros(row.ts) // 1000, None
             if row.attempt + 1 >= self.max_attempts:
-                yield Row(mailing_id=key[0], outcome="dead_letter", attempts=self.max_attempts, at=row.ts)
-                continue
-            at = micros // 1000 + 1000 * self.waits[0 if row.attempt == 0 else 1]
-            due.append(at)
-            following.append(row.attempt + 1)
-            self.handle.registerTimer(at)
-        if fresh:
-            self.job.update((seen, due, following, last))
-            if not due:
-                self.handle.registerTimer(last + self.keep)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        old = self.job.get()
-        if not old:
-            return
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        seen, due, following, last = old
-        for at, attempt in zip(due, following):
-            if at == now:
-                yield Row(mailing_id=key[0], outcome="redelivered", attempts=attempt, at=_moment(at * 1000))
-        left = [(at, attempt) for at, attempt in zip(due, following) if at != now]
-        if left:
-            self.job.update((seen, [at for at, _ in left], [attempt for _, attempt in left], last))
-        elif last + self.keep <= max(now, timerValues.getCurrentWatermarkInMs()):
-            self.job.clear()
-        else:
-            self.job.update((seen, [], [], last))
-            self.handle.registerTimer(last + self.keep)
+                yield Row(mailing_id=row.mailing_id, outcome="dead_letter", attempts=self.max_attempts, at=row.ts)
+            else:
+                due = at + 1000 * self.waits[0 if row.attempt == 0 else 1]
+            tries[row.attempt] = due
+            jobs[row.mailing_id] = max(last, at), tries
+
+    def fire(self, jobs, name, now):
+        last, tries = jobs[name]
+        for attempt, due in tries.items():
+            if due is not None and due <= now:
+                tries[attempt] = None
+                yield Row(mailing_id=name, outcome="redelivered", attempts=attempt + 1, at=_moment(due * 1000))
+        if self.deadline(jobs[name]) <= now:
+            del jobs[name]
 
 
 def delayed_retry(
     failures: DataFrame, delay="0 seconds", max_attempts=K.JOB_MAX_ATTEMPTS,
-    waits=(K.RETRY_1_SECONDS, K.RETRY_2_SECONDS), keep=KEEP_SECONDS,
+    waits=(K.RETRY_1_SECONDS, K.RETRY_2_SECONDS), keep=KEEP_SECONDS, buckets=BUCKETS,
 ) -> DataFrame:
     """Failed jobs (mailing_id, attempt, ts) -> redeliveries when their wait is over, or dead letters at once.
 
@@ -95,60 +143,51 @@ def delayed_retry(
     runner.with_rocksdb(failures.sparkSession)
     timed = failures.select("mailing_id", "attempt", F.col("ts").cast("timestamp").alias("ts"))
     once = runner.combine_last(timed, ["mailing_id", "attempt"], ["ts"], clock="clock").withWatermark("clock", delay)
-    return once.groupBy("mailing_id").transformWithState(
+    return _bucketed(once, ["mailing_id"], buckets).transformWithState(
         statefulProcessor=_Retry(max_attempts, tuple(waits), keep),
         outputStructType="mailing_id string, outcome string, attempts int, at timestamp",
         outputMode="append", timeMode="eventTime")
 
 
-class _Timeout(StatefulProcessor):
-    """State: last status of the key, its time and order number, and when its clock runs out (-1: it does not run)."""
+class _Timeout(_Bucket):
+    """A key: its last status, the time and order number of it, and when its clock runs out (None: it does not run)."""
+
+    fields = {"mailing_id": "string", "email": "string", "status": "string", "micros": "bigint", "seq": "bigint", "timer_at": "bigint"}
 
     def __init__(self, limits, keep):
         self.limits, self.keep = limits, 1000 * keep
 
-    def init(self, handle):
-        self.handle = handle
-        self.last = handle.getValueState("last", "status string, micros bigint, seq bigint, timer bigint")
+    def read(self, rows):
+        return {(mailing_id, email): value for mailing_id, email, *value in rows}
 
-    def handleInputRows(self, key, rows, timerValues):
-        newest = max((r for r in rows if r.clock is None), key=lambda r: (r.ts, r.seq), default=None)
-        if newest is None:
-            return iter([])
-        micros = _micros(newest.ts)
-        old = self.last.get()
-        if old and (micros, newest.seq) <= (old[1], old[2]):
-            return iter([])
-        if old:
-            self.handle.deleteTimer(self._timer(old))
-        timer = micros // 1000 + 1000 * self.limits[newest.status] if newest.status in self.limits else -1
-        new = (newest.status, micros, newest.seq, timer)
-        self.last.update(new)
-        self.handle.registerTimer(self._timer(new))
-        return iter([])
+    def rows(self, keys):
+        return ((*name, *value) for name, value in keys.items())
 
-    def _timer(self, state):
-        """The key's one timer: the end of its clock, or else of the time for which it is kept."""
-        return state[3] if state[3] >= 0 else state[1] // 1000 + self.keep
+    def deadline(self, value):
+        _, micros, _, timer = value
+        return micros // 1000 + self.keep if timer is None else timer
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        old = self.last.get()
-        if not old:
-            return
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        status, micros, seq, timer = old
-        if timer == now:
-            yield Row(mailing_id=key[0], email=key[1], status=status, last_attempt=_moment(micros),
+    def take(self, keys, rows):
+        for row in rows:
+            name, micros = (row.mailing_id, row.email), _micros(row.ts)
+            old = keys.get(name)
+            if old and (micros, row.seq) <= (old[1], old[2]):
+                continue
+            timer = micros // 1000 + 1000 * self.limits[row.status] if row.status in self.limits else None
+            keys[name] = [row.status, micros, row.seq, timer]
+        return iter([])
+
+    def fire(self, keys, name, now):
+        status, micros, _, timer = keys[name]
+        if timer is not None:
+            yield Row(mailing_id=name[0], email=name[1], status=status, last_attempt=_moment(micros),
                       timed_out_at=_moment(timer * 1000))
-        gone = micros // 1000 + self.keep
-        if gone <= max(now, timerValues.getCurrentWatermarkInMs()):
-            self.last.clear()
-        else:
-            self.last.update((status, micros, seq, -1))
-            self.handle.registerTimer(gone)
+            keys[name][3] = None
+        if micros // 1000 + self.keep <= now:
+            del keys[name]
 
 
-def in_flight_timeout(events: DataFrame, delay="0 seconds", limits=None, keep=KEEP_SECONDS) -> DataFrame:
+def in_flight_timeout(events: DataFrame, delay="0 seconds", limits=None, keep=KEEP_SECONDS, buckets=BUCKETS) -> DataFrame:
     """Status events (mailing_id, email, status, ts, seq) -> keys whose last status stayed in flight too long.
 
     limits: seconds per status; other statuses stop the clock. A status counts however late it arrives, if it is the key's
@@ -159,7 +198,7 @@ def in_flight_timeout(events: DataFrame, delay="0 seconds", limits=None, keep=KE
     limits = limits or {"SENDING": K.RECOVERY_STALE_SECONDS, "PROCESSING": K.CLAIM_STALE_SECONDS}
     timed = events.select("mailing_id", "email", "status", F.col("ts").cast("timestamp").alias("ts"), "seq")
     last = runner.combine_last(timed, ["mailing_id", "email"], ["ts", "seq"], clock="clock").withWatermark("clock", delay)
-    return last.groupBy("mailing_id", "email").transformWithState(
+    return _bucketed(last, ["mailing_id", "email"], buckets).transformWithState(
         statefulProcessor=_Timeout(limits, keep),
         outputStructType="mailing_id string, email string, status string, last_attempt timestamp, "
                          "timed_out_at timestamp",

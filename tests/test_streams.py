@@ -198,3 +198,23 @@ def test_checked_stream_equals_batch(spark, tmp_path, rows):
     want = intake.validate(intake.normalized(lines), listed, v.domain_mx(spark), raw="raw_email")
     columns = ("line_no", "email", "is_valid", "reason", "details")
     assert rows(spark.read.parquet(str(tmp_path / "out")), *columns) == rows(want, *columns)
+
+
+def test_timers_touch_a_bounded_number_of_states(spark, tmp_path, rows):
+    sec = lambda n: START + datetime.timedelta(seconds=n)
+    schema = "mailing_id string, attempt int, ts timestamp_ntz"
+    source = str(tmp_path / "in")
+    add(spark, source, [(f"m{i}", i % 3, sec(i % 50)) for i in range(2000)] + [(None, 0, sec(5))], schema)
+    add(spark, source, [("m0", 0, sec(0)), ("m1", 2, sec(1)), ("z", 2, sec(9000))], schema)
+    add(spark, source, [("m0", 0, sec(9001)), ("z", 2, sec(9002))], schema)
+    stream = runner.files(spark, source, schema, per_trigger=1)
+    query = runner.finish(runner.to_files(
+        timers.delayed_retry(stream, buckets=16), str(tmp_path / "out"), str(tmp_path / "check")))
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "mailing_id", "outcome", "attempts", F.col("at").cast("timestamp_ntz"))
+    want = [(f"m{i}", *(("dead_letter", 3, sec(i % 50)) if i % 3 == 2 else
+                        ("redelivered", i % 3 + 1, sec(i % 50 + (60, 300)[i % 3])))) for i in range(2000)]
+    want += [(None, "redelivered", 1, sec(65)), ("m1", "dead_letter", 3, sec(1)), ("z", "dead_letter", 3, sec(9000))]
+    assert got == sorted(want, key=repr)
+    assert max(s.numRowsUpdated for p in query.recentProgress for s in p.stateOperators) <= 16 * 4
+    # What is closed for an hour is forgotten: the states hold z, and m0, which came again as a new job.
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal <= 2 * 4
