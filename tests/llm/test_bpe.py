@@ -56,3 +56,19 @@ def test_empty_table_and_null_ids(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     df = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [bytes(r[0]) for r in df.select(bpe.decoded(F.col("ids"), spark, PATH)).collect()] == [b"", b""]
+
+
+def test_words_of_one_length_are_merged_together(library):
+    rng = random.Random(9)
+    pairs = bpe.Pairs(RANKS)
+    for size in (1, 2, 3, 8, 17, bpe.SHORT):
+        words = [bytes(rng.choices(b"  aaabeehinorstt\xc3\xa9\xff0", k=size)) for _ in range(400)] + [b"a" * size, b"ab" * size]
+        words = [word[:size] for word in words]
+        got = bpe.replay_alike(words, pairs)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library._encode_single_piece(w) for w in words]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == bpe.replay(words, RANKS)
+    # Short words take no step of Python per merge: rounds, not words, are counted.
+    calls, of = [], pairs.of
+    pairs.of = lambda left, right: calls.append(len(left)) or of(left, right)
+    bpe.replay_alike([bytes(rng.choices(b"aehinorst", k=12)) for _ in range(5000)], pairs)
+    assert len(calls) <= 1 + 2 * 12
