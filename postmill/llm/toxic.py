@@ -42,8 +42,9 @@ ENDING = 3
 SPAN = 0.5
 #: Weight of clean documents, which are the rule, against toxic ones in the document score.
 CLEAN_WEIGHT = 8.0
-BLOCK_CHARS = 2 << 20
-KEPT_WORDS = 400_000
+#: Characters of texts that are tagged together and words that a task remembers: they bound its memory, not its results.
+BLOCK_CHARS = 512 << 10
+KEPT_WORDS = 100_000
 WORD = re.compile(r"\w+")
 SCORED = "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>"
 
@@ -163,6 +164,19 @@ def fit(docs):
     return model
 
 
+def _blocks(texts):
+    """The texts of an Arrow column in lists of about BLOCK_CHARS."""
+    block, held = [], 0
+    for text in texts:
+        block.append(text.as_py())
+        held += len(block[-1] or "")
+        if held > BLOCK_CHARS:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
 def held_out(doc_id):
     """Column: true for documents that are never learnt from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -208,17 +222,12 @@ def score(df: DataFrame, model) -> DataFrame:
         model = sent.get()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
-            scores, spans, block, held = [], [], [], 0
-            texts = batch.column("text")
-            for i in range(len(texts)):
-                block.append(texts[i].as_py())
-                held += len(block[-1] or "")
-                if held > BLOCK_CHARS or i + 1 == len(texts):
-                    tagged = model.tag(block) if model else [np.zeros(0) for _ in block]
-                    for text, m in zip(block, tagged):
-                        scores.append(model.score(m) if model else 0.0)
-                        spans.append(spans_of(text, m) if len(m) and m.max() >= SPAN else [])
-                    block, held = [], 0
+            scores, spans = [], []
+            for block in _blocks(batch.column("text")):
+                tagged = model.tag(block) if model else [np.zeros(0) for _ in block]
+                for text, m in zip(block, tagged):
+                    scores.append(model.score(m) if model else 0.0)
+                    spans.append(spans_of(text, m) if len(m) and m.max() >= SPAN else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
@@ -233,13 +242,9 @@ def without_toxic(df: DataFrame, model, least=0.5) -> DataFrame:
     def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.get()
         for texts in parts:
-            out, block, held = [], [], 0
-            for i in range(len(texts)):
-                block.append(texts[i].as_py())
-                held += len(block[-1] or "")
-                if held > BLOCK_CHARS or i + 1 == len(texts):
-                    out += [model.score(m) for m in model.tag(block)] if model else [0.0] * len(block)
-                    block, held = [], 0
+            out = []
+            for block in _blocks(texts):
+                out += [model.score(m) for m in model.tag(block)] if model else [0.0] * len(block)
             yield pa.array(out, pa.float64())
 
     # Texts alone go to Python; the other columns wait in the JVM.

@@ -100,3 +100,20 @@ def test_held_out_accuracy(spark):
     held = out.where("held_out").join(labels, "doc_id").collect()
     assert sum(r.predicted == r.toxic for r in held) >= 0.93 * len(held)
     assert sum(r.predicted and not r.toxic for r in held) <= 1
+
+
+def test_a_task_holds_little_whatever_the_table(monkeypatch):
+    import pyarrow as pa
+
+    model = toxic.Model({}, -4.0, np.ones((2, 2)), np.zeros(4))
+    texts = [None, "", *(" ".join(f"w{i}x{j}" for j in range(200)) for i in range(2000))]
+    blocks = list(toxic._blocks(pa.array(texts)))
+    assert sum(blocks, []) == texts and max(sum(map(len, filter(None, b))) for b in blocks) <= 530_000
+    got, most = [], 0
+    for block in blocks:
+        got += model.tag(block)
+        most = max(most, len(model.known))
+    assert most <= 100_000
+    monkeypatch.setattr(toxic, "KEPT_WORDS", 10)
+    small = toxic.Model({}, -4.0, np.ones((2, 2)), np.zeros(4))
+    assert all(np.array_equal(a, b) for a, b in zip(got, small.tag(texts)))
