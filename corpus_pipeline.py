@@ -15,14 +15,26 @@ from postmill.llm import bpe, decon, linedup, neardup, toxic
 from postmill.llm.registry import table
 from postmill.session import written
 
+#: Rows of documents that go to Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark):
+    """Fewer whole texts at a time on their way to Python: a batch stands several times in an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents whose score of a model fitted on the labelled ones among them is under 0.5."""
+    small_batches(spark)
     return toxic.without_toxic(docs, toxic.fit(toxic.training_sample(docs, table(spark, sf_dir, "labels"))))
 
 
 def dedupe_lines(spark, docs, sf_dir):
     """Documents without lines that are like an earlier line; n_chars is that of the new text."""
+    small_batches(spark)
     return linedup.without_duplicates(docs, n_chars=F.length)
 
 

@@ -17,6 +17,7 @@ named by 64-bit hashes of their text.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType
@@ -32,10 +33,9 @@ BINS = BANDS * ROWS
 #: Lines with fewer different shingles have independent functions.
 SHORT = 100
 #: Items that a task remembers, so that a repeated line enters the candidate search once per task.
-KEPT_LINES = 500_000
-BLOCK_BYTES = 256 << 10
-LINES = "doc_id long, row long, line_no int, item long"
-KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+KEPT_LINES = 200_000
+BLOCK_BYTES = 128 << 10
+LINES = "doc_id long, row long, line_no int, item long, line binary"
 
 
 def normal(line):
@@ -43,9 +43,12 @@ def normal(line):
 
 
 def _mixed(x):
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _places(lengths, counts):
@@ -68,15 +71,16 @@ def _wide_shingles(lines):
     padded = [line.decode().ljust(SHINGLE, "\0") for line in lines]
     lengths = np.array([len(x) for x in padded], np.int64)
     counts = lengths - (SHINGLE - 1)
-    points = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.uint64)
-    at = _places(lengths, counts)
-    packed, hashed = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    narrow = np.ones(len(at), bool)
-    for i in range(SHINGLE):
-        own = points[at + i]
-        narrow &= own < 128
-        packed |= (own & np.uint64(127)) << np.uint64(8 * i)
-        hashed = _mixed(hashed + own + np.uint64(1))
+    points = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4")
+    at, shape = _places(lengths, counts), (len(points) - SHINGLE + 1,)
+    # Eight neighbours at once: their low bits as bytes, and whether any of them is beyond ASCII.
+    packed = np.ndarray(shape, "<u8", (points & 127).astype(np.uint8).tobytes(), strides=(1,))[at]
+    narrow = np.ndarray(shape, "<u8", (points > 127).tobytes(), strides=(1,))[at] == 0
+    # Hashes of two, four and eight neighbours, each from those of its halves.
+    hashed = points.astype(np.uint64)
+    for width in (1, 2, 4):
+        hashed = _mixed((hashed[:-width] + np.uint64(width)) * np.uint64(0x9FB21C651E98DF25) + hashed[width:])
+    hashed = hashed[at]
     return np.where(narrow, packed, hashed), counts
 
 
@@ -103,17 +107,25 @@ def _functions():
     return [(np.uint64(a) | np.uint64(1), np.uint64(b)) for a, b in rng.integers(1 << 63, dtype=np.uint64, size=(BINS, 2)) * np.uint64(2)]
 
 
-def _different(hashes, counts):
-    """How many different shingles each line has; lines with fewer than SHORT in all are not looked at more closely."""
+def _different(hashes, counts, enough):
+    """How many different shingles each line has, or a number above `enough` for lines with more than these; lines with
+    fewer than SHORT in all are not looked at more closely."""
     out = counts.copy()
-    long = counts >= SHORT
-    if long.any():
+    # Most long lines fill more than `enough` of some slots, and so have more different shingles than that.
+    long = np.flatnonzero(counts > 2 * enough)
+    if len(long):
+        slots = np.zeros(len(long) << 10, bool)
+        own = hashes[np.repeat(counts > 2 * enough, counts)] & np.uint64(1023)
+        slots[np.repeat(np.arange(len(long)) << 10, counts[long]) + own.astype(np.int64)] = True
+        out[long] = slots.reshape(-1, 1024).sum(axis=1)
+    unsure = (counts >= SHORT) & (out <= enough) | (counts >= SHORT) & (counts <= 2 * enough)
+    if unsure.any():
         # One sort for all lines; so few bits of two shingles of a line are hardly ever equal by chance.
-        line = np.repeat(np.arange(long.sum(), dtype=np.uint64), counts[long])
-        bits = np.uint64(max(int(long.sum()), 2).bit_length())
-        keys = np.sort((line << (np.uint64(64) - bits)) | (hashes[np.repeat(long, counts)] >> bits))
+        line = np.repeat(np.arange(unsure.sum(), dtype=np.uint64), counts[unsure])
+        bits = np.uint64(max(int(unsure.sum()), 2).bit_length())
+        keys = np.sort((line << (np.uint64(64) - bits)) | (hashes[np.repeat(unsure, counts)] >> bits))
         first = np.append(True, keys[1:] != keys[:-1])
-        out[long] = np.bincount((keys[first] >> (np.uint64(64) - bits)).astype(np.int64), minlength=long.sum())
+        out[unsure] = np.bincount((keys[first] >> (np.uint64(64) - bits)).astype(np.int64), minlength=unsure.sum())
     return out
 
 
@@ -121,9 +133,10 @@ def band_keys(lines, percent=PERCENT):
     """(number of a line, key) for each band of each line, as arrays."""
     hashes, counts = _shingles(lines)
     hashes = _mixed(hashes)
-    different = _different(hashes, counts)
     # A line like one with fewer than SHORT shingles has fewer than SHORT * 100 / percent; some more for equal bits.
-    few, many = different <= SHORT * 100 // max(percent, 1) + 5, different >= SHORT
+    enough = SHORT * 100 // max(percent, 1) + 5
+    different = _different(hashes, counts, enough)
+    few, many = different <= enough, different >= SHORT
     out = []
     for mine, keys_of in ((few, _independent_keys), (many, _sketch_keys)):
         if mine.any():
@@ -169,8 +182,8 @@ def _sketch_keys(hashes, counts):
 
 def _items(text):
     """(line number, item, line in normal form) of the lines of a text that are not blank."""
-    for number, line in enumerate((text or "").encode().split(b"\n")):
-        if line := normal(line):
+    for number, line in enumerate((text or "").encode().lower().split(b"\n")):
+        if line := b" ".join(line.split()):  # normal(), all lines in lower case at once
             yield number, xxhash.xxh3_64_intdigest(line) - (1 << 63), line
 
 
@@ -179,20 +192,38 @@ def _row():
     return F.xxhash64("text")
 
 
-def lines_of(df: DataFrame) -> DataFrame:
-    """doc_id, row, line_no (from 0) and item of every line that is not blank; `row` tells rows of a doc_id apart."""
-    names = ["doc_id", "row", "line_no", "item"]
+def lines_of(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, row, line_no (from 0), item and line of every line that is not blank; `row` tells rows of a doc_id apart.
+
+    `line` is the line in normal form where its item is among `ids` (id), once per task while the task remembers it; other
+    lines may have it too, and else it is null.
+    """
+    names, wanted = ["doc_id", "row", "line_no", "item", "line"], Wanted(ids)
 
     def lines_part(batches):
+        seen = set()
         for batch in batches:
-            rows = []
-            for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text")):
-                rows += [(doc, row, number, item) for number, item, _ in _items(text.as_py())]
-                if len(rows) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), KINDS)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), KINDS)], names)
+            places, numbers, items, lines, held = [], [], [], [], 0
+            for place, text in enumerate(batch.column("text")):
+                for number, item, line in _items(text.as_py()):
+                    places.append(place)
+                    numbers.append(number)
+                    items.append(item)
+                    lines.append(line)
+                    held += len(line)
+                if held > BLOCK_BYTES or place + 1 == batch.num_rows:
+                    own = np.array(items, np.int64)
+                    told = [None] * len(lines)
+                    for at in np.flatnonzero(wanted(own)).tolist():
+                        if items[at] not in seen:
+                            told[at] = lines[at]
+                            if len(seen) < KEPT_LINES:
+                                seen.add(items[at])
+                    at = pa.array(places, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(numbers, pa.int32()),
+                         pa.array(own), pa.array(told, pa.binary())], names)
+                    places, numbers, items, lines, held = [], [], [], [], 0
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").mapInArrow(lines_part, LINES)
 
@@ -225,30 +256,8 @@ def index_of(df: DataFrame, percent=PERCENT) -> DataFrame:
     return df.select("text").mapInArrow(index_part, "id long, key long")
 
 
-def _lines_of_items(df, ids):
-    """(id, line) for the items named in column id of `ids`, and maybe others; found where the texts are read."""
-    wanted = Wanted(ids)
-
-    def items_part(batches):
-        for batch in batches:
-            lines, held = {}, 0
-            for i, text in enumerate(batch.column("text")):
-                for _, item, line in _items(text.as_py()):
-                    lines[item] = line
-                    held += len(line)
-                if held > BLOCK_BYTES or i + 1 == batch.num_rows:
-                    items = np.array(list(lines), np.int64)
-                    among = wanted(items) if len(items) else items.astype(bool)
-                    if among.any():
-                        texts = [line for line, yes in zip(lines.values(), among) if yes]
-                        yield pa.RecordBatch.from_arrays([pa.array(items[among]), pa.array(texts, pa.binary())], ["id", "line"])
-                    lines, held = {}, 0
-
-    return df.select("text").mapInArrow(items_part, "id long, line binary").groupBy("id").agg(F.min("line").alias("line"))
-
-
-def _sets_of(df):
-    """A function from items (id) to their shingle sets (id, own)."""
+def _sets_of(lines):
+    """A function from items (id) to their shingle sets (id, own), from lines (id, line)."""
 
     def sets_part(batches):
         for batch in batches:
@@ -260,24 +269,44 @@ def _sets_of(df):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.ListArray.from_arrays(ends, np.concatenate(own))], ["id", "own"])
 
-    return lambda ids: written(_lines_of_items(df, ids).mapInArrow(sets_part, "id long, own array<long>"), "lines-sets")
+    return lambda ids: written(
+        lines.join(ids, "id", "left_semi").mapInArrow(sets_part, "id long, own array<long>"), "lines-sets")
+
 
+def _alike(left, right, percent):
+    """Whether the lines of two lists are alike, pair by pair; an array.
 
-def _confirm(df, percent):
+    All pairs are sorted at once, the number of the pair before at least 56 bits of each mixed shingle.
+    """
+    bits = np.uint64(max(len(left) - 1, 1).bit_length())
+    low = np.uint64(64) - bits
+    sides = []
+    for lines in (left, right):
+        hashes, counts = _shingles(lines)
+        pair = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
+        keys = np.sort((pair << low) | (_mixed(hashes) >> bits))
+        sides.append(keys[np.append(True, keys[1:] != keys[:-1])])
+    both = np.sort(np.concatenate(sides))
+    of = lambda keys: np.bincount((keys >> low).astype(np.int64), minlength=len(left))
+    common = of(both[1:][both[1:] == both[:-1]])
+    return 100 * common >= percent * (of(both) - common)
+
+
+def _confirm(lines, percent):
     """A function from pairs (a, b) to those that are alike. Lines travel to their pairs, being far smaller than their sets."""
 
     @F.arrow_udf(BooleanType())
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(left.to_pylist(), right.to_pylist()):
-            a, b = np.unique(_shingles([a])[0]), np.unique(_shingles([b])[0])
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * common >= percent * (len(a) + len(b) - common))
-        return pa.array(out, pa.bool_())
+        out, held, start = [], 0, 0
+        size = pa.compute.add(pa.compute.binary_length(left), pa.compute.binary_length(right)).to_pylist()
+        for at in range(len(left)):
+            held += size[at]
+            if held > BLOCK_BYTES or at + 1 - start == 256 or at + 1 == len(left):
+                out.append(_alike(left[start:at + 1].to_pylist(), right[start:at + 1].to_pylist(), percent))
+                held, start = 0, at + 1
+        return pa.array(np.concatenate(out) if out else [], pa.bool_())
 
     def confirm(pairs):
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        lines = written(_lines_of_items(df, ids), "lines-texts")
         return pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("_la")), "a").join(
             lines.select(F.col("id").alias("b"), F.col("line").alias("_lb")), "b").where(alike("_la", "_lb")).select("a", "b")
 
@@ -294,15 +323,18 @@ def duplicate_lines(df: DataFrame, percent=PERCENT) -> DataFrame:
 
 def _judged(df, percent):
     """The columns of duplicate_lines, and row."""
-    lines = written(lines_of(df), "lines")
     index = index_of(df, percent)
     # One shuffle: rows of a key meet once, distinct items of one key are few unless they are alike.
     inside = Window.partitionBy("key")
     members = index.withColumns({"low": F.min("id").over(inside), "high": F.max("id").over(inside)}).where("low < high").select(
         "key", "id").distinct()
     members = written(members.withColumn("n", F.lit(1)), "lines-keys")
-    groups = united(members, _sets_of(df), percent, confirm=_confirm(df, percent))
-    named = lines.join(groups.withColumnRenamed("node", "item"), "item", "left").select(
+    lines = written(lines_of(df, members.select("id")), "lines")
+    texts = lines.where("line IS NOT NULL").select(F.col("item").alias("id"), "line").join(
+        members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    texts = written(texts, "lines-texts")
+    groups = united(members, _sets_of(texts), percent, confirm=_confirm(texts, percent))
+    named = lines.drop("line").join(groups.withColumnRenamed("node", "item"), "item", "left").select(
         "doc_id", "row", "line_no", F.coalesce("component", "item").alias("group"))
     named = written(named, "lines-groups")
     first = named.groupBy("group").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count("*").alias("n")).where(

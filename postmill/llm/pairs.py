@@ -16,6 +16,8 @@ from postmill.session import written
 
 #: Bits of the filter that names wanted items to tasks: 4 MB, whatever the data. More items only make it less selective.
 FILTER_BITS = 1 << 25
+#: Members of a key that are all compared with each other.
+FEW = 32
 
 
 class Wanted:
@@ -69,7 +71,7 @@ def sharing_rare(left, sets_of, percent):
     """Pairs (a, b) of different groups among `left` (id, group) that pass the prefix and positional filters.
 
     With both sets in one order, rarest shingle first, the first common shingle of a pair that overlaps enough must stand
-    early enough to leave room for that overlap. The filters are exact.
+    early enough to leave room for that overlap. The filters are exact, and a pair is made once, at that shingle.
     """
     sets = sets_of(left.select("id").distinct())
     tokens = sets.select("id", F.size("own").alias("size"), F.explode("own").alias("token"))
@@ -77,19 +79,27 @@ def sharing_rare(left, sets_of, percent):
     ranked = tokens.join(known, "token", "left").groupBy("id", "size").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "token"))).alias("all"))
     length = (F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1).cast("int")
-    prefix = ranked.join(left, "id").select(
-        "id", "group", "size", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "t")).where("t.often > 1").select(
-        "id", "group", "size", "at", "t.token")
+    prefix = ranked.join(left, "id").select("id", "group", "size", F.slice("all", 1, length).alias("all"))
+    # Shingles of one item alone stand first; they take places, but meet nothing.
+    alone = F.size(F.filter("all", lambda t: t["often"] == 1))
+    shared = F.transform(F.filter("all", lambda t: t["often"] > 1), lambda t: t["token"])
+    prefix = prefix.select("id", "group", "size", alone.alias("alone"), shared.alias("shared")).select(
+        "id", "group", "size", "alone", "shared", F.posexplode("shared").alias("place", "token")).select(
+        "id", "group", "size", (F.col("alone") + F.col("place")).alias("at"), "token",
+        F.slice("shared", F.lit(1), F.col("place")).alias("before"))
     prefix = written(prefix, "pairs-prefixes")
     # Every pair of two groups has a side outside the token's most common group, so a large group never meets itself.
     common = prefix.groupBy("token", "group").agg(F.count("*").alias("n")).groupBy("token").agg(
         F.max_by("group", F.struct("n", "group")).alias("main"))
-    outside = prefix.join(common, "token").where("group <> main").drop("main")
-    other = prefix.select("token", F.col("id").alias("b"), F.col("group").alias("_group"), F.col("size").alias("_size"),
-                          F.col("at").alias("_at"))
+    sided = prefix.join(common, "token").withColumn("inside", F.col("group") == F.col("main")).drop("main")
+    outside = sided.where("NOT inside").drop("inside")
+    other = sided.select("token", F.col("id").alias("b"), F.col("group").alias("_group"), F.col("size").alias("_size"),
+                         F.col("at").alias("_at"), "inside", F.col("before").alias("_before"))
+    # Two items outside it meet from one side, and any two at their first common shingle.
+    side, first = F.col("inside") | (F.col("a") < F.col("b")), ~F.arrays_overlap("before", "_before")
     room = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
     enough = (100 + percent) * room >= percent * (F.col("size") + F.col("_size"))
-    return outside.withColumnRenamed("id", "a").join(other, "token").where((F.col("group") != F.col("_group")) & enough).select(
+    return outside.withColumnRenamed("id", "a").join(other, "token").where((F.col("group") != F.col("_group")) & side & enough & first).select(
         "a", "b")
 
 
@@ -102,8 +112,8 @@ def united(members, sets_of, percent, near=lambda pairs: pairs, confirm=None):
 
     Members of a key are first compared with its hub: the member with the most company over all its keys, which in a group
     of copies is their common original, if it is there. `near` may drop pairs that cannot be alike; `confirm` may tell linked
-    pairs in another way than by the sets. What is left are keys
-    whose other members are not all united; their pairs go through `sharing_rare`.
+    pairs in another way than by the sets. What is left are keys whose other members are not all united. Where these are FEW
+    at most, each is compared with each, without their sets; those of larger keys go through `sharing_rare`.
     """
     confirm = confirm or (lambda pairs: confirmed(pairs, sets_of, percent))
     central = members.groupBy("id").agg(F.sum("n").alias("company"))
@@ -114,8 +124,13 @@ def united(members, sets_of, percent, near=lambda pairs: pairs, confirm=None):
     # The hub has met every member; what is left are keys whose other members are not all united.
     placed = starred.join(components(found).withColumnRenamed("node", "id"), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("group"))
-    mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    rest = written(placed.join(mixed.select("key"), "key", "left_semi").select("id", "group").distinct(), "pairs-rest")
-    pairs = ordered(sharing_rare(rest, sets_of, percent)).join(tried, ["a", "b"], "left_anti")
-    more = written(near(pairs), "pairs-tried")
+    mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where(
+        "low < high")
+    rest = written(placed.join(mixed.select("key", "n"), "key"), "pairs-rest")
+    few, many = rest.where(F.col("n") <= FEW), rest.where(F.col("n") > FEW)
+    pairs = few.select("key", F.col("id").alias("a"), F.col("group").alias("_a")).join(
+        few.select("key", F.col("id").alias("b"), F.col("group").alias("_b")), "key").where("a < b AND _a <> _b").select("a", "b")
+    if not many.isEmpty():
+        pairs = pairs.union(sharing_rare(many.select("id", "group").distinct(), sets_of, percent))
+    more = written(near(ordered(pairs).join(tried, ["a", "b"], "left_anti")), "pairs-tried")
     return components(found.union(confirm(more)))
