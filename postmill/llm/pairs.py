@@ -18,6 +18,8 @@ from postmill.session import written
 FILTER_BITS = 1 << 25
 #: Members of a key that are all compared with each other.
 FEW = 32
+#: Shingles that are remembered beside each one of a prefix, so that rows grow in proportion to the prefixes.
+BEFORE = 16
 
 
 class Wanted:
@@ -71,7 +73,8 @@ def sharing_rare(left, sets_of, percent):
     """Pairs (a, b) of different groups among `left` (id, group) that pass the prefix and positional filters.
 
     With both sets in one order, rarest shingle first, the first common shingle of a pair that overlaps enough must stand
-    early enough to leave room for that overlap. The filters are exact, and a pair is made once, at that shingle.
+    early enough to leave room for that overlap. The filters are exact. A pair is made at that shingle, and again only at one
+    that stands more than BEFORE others behind.
     """
     sets = sets_of(left.select("id").distinct())
     tokens = sets.select("id", F.size("own").alias("size"), F.explode("own").alias("token"))
@@ -83,10 +86,11 @@ def sharing_rare(left, sets_of, percent):
     # Shingles of one item alone stand first; they take places, but meet nothing.
     alone = F.size(F.filter("all", lambda t: t["often"] == 1))
     shared = F.transform(F.filter("all", lambda t: t["often"] > 1), lambda t: t["token"])
-    prefix = prefix.select("id", "group", "size", alone.alias("alone"), shared.alias("shared")).select(
-        "id", "group", "size", "alone", "shared", F.posexplode("shared").alias("place", "token")).select(
-        "id", "group", "size", (F.col("alone") + F.col("place")).alias("at"), "token",
-        F.slice("shared", F.lit(1), F.col("place")).alias("before"))
+    prefix = prefix.select("id", "group", "size", alone.alias("alone"), shared.alias("shared"))
+    entries = F.transform("shared", lambda token, place: F.struct(
+        (F.col("alone") + place).alias("at"), token.alias("token"),
+        F.slice("shared", F.greatest(place - (BEFORE - 1), F.lit(1)), F.least(place, F.lit(BEFORE))).alias("before")))
+    prefix = prefix.select("id", "group", "size", F.explode(entries).alias("entry")).select("id", "group", "size", "entry.*")
     prefix = written(prefix, "pairs-prefixes")
     # Every pair of two groups has a side outside the token's most common group, so a large group never meets itself.
     common = prefix.groupBy("token", "group").agg(F.count("*").alias("n")).groupBy("token").agg(
@@ -95,7 +99,7 @@ def sharing_rare(left, sets_of, percent):
     outside = sided.where("NOT inside").drop("inside")
     other = sided.select("token", F.col("id").alias("b"), F.col("group").alias("_group"), F.col("size").alias("_size"),
                          F.col("at").alias("_at"), "inside", F.col("before").alias("_before"))
-    # Two items outside it meet from one side, and any two at their first common shingle.
+    # Two items outside it meet from one side, and any two not again soon after a common shingle.
     side, first = F.col("inside") | (F.col("a") < F.col("b")), ~F.arrays_overlap("before", "_before")
     room = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
     enough = (100 + percent) * room >= percent * (F.col("size") + F.col("_size"))

@@ -32,6 +32,18 @@ def test_rare_shingles_make_every_pair_once(spark):
     assert all(a // 4 != b // 4 for a, b in got)
 
 
+def test_long_prefixes_make_rows_in_proportion(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(pairs, "written", lambda df, label: kept.setdefault(label, df))
+    base = set(range(3000))
+    sets = {0: base, 1: base | {5000}, 2: base | {5001}}
+    left = spark.createDataFrame([(i, i) for i in sets], "id long, group long")
+    got = pairs.ordered(pairs.sharing_rare(left, lambda ids: table(spark, sets), 80)).collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (0, 2), (1, 2)]
+    assert kept["pairs-prefixes"].agg({"size": "count"}).first()[0] > 1700
+    assert kept["pairs-prefixes"].selectExpr("max(size(before))").first()[0] == pairs.BEFORE
+
+
 def grouped(sets, percent):
     parent = {i: i for i in sets}
 
